@@ -49,12 +49,10 @@ class Logit:
 
     def predict(self, df: DataFrame, name: str = "pscore") -> DataFrame:
         """Add the predicted probability; NULL where a regressor is missing."""
-        table = driver_table(df.sparkSession, {"_b": ("double", [self.intercept])} | {
-            f"_b{i}": ("double", [b]) for i, b in enumerate(self.coefficients)})
-        score = " + ".join(["_b", *[f"_b{i} * {t.expr}" for i, t in enumerate(self.terms)]])
-        # a one-row table of coefficients on every row
-        return df.join(F.broadcast(table)).selectExpr(
-            *[f"`{c}`" for c in df.columns], f"1.0D / (1.0D + exp(-({score}))) AS `{name}`")
+        score = " + ".join([
+            f"({self.intercept!r}D)",
+            *[f"({b!r}D) * {t.expr}" for b, t in zip(self.coefficients, self.terms, strict=True)]])
+        return df.withColumn(name, F.expr(f"1.0D / (1.0D + exp(-({score})))"))
 
 
 class _Fit:
