@@ -1,6 +1,6 @@
 """Weights, effect estimates and jackknife queries.
 
-The SQL solves the same problems in other ways: unit weights by a diagonal fixed-point
+The SQL solves the same problems in other ways: unit weights by a damped diagonal
 iteration on the optimality conditions, time weights by exchanging weight between pairs
 of periods, leave-out estimates by demeaning and re-fitting without each unit or cluster.
 """
@@ -60,14 +60,14 @@ def unit_weights_sql(r: int, steps: int) -> str:
     sums = ", ".join(f"sum(w * z{k}) AS t{k}, sum(CASE WHEN w > 0 THEN z{k} * z{k} ELSE 0 END) AS g{k}" for k in ks)
     top = " + ".join(f"c{k} * (q{k} - (eta * q{k} - t{k}) / (eta + g{k}))" for k in ks)
     low = " + ".join(f"c{k} * c{k} / (eta + g{k})" for k in ks)
-    new = ", ".join(f"q{k} - (eta * q{k} - t{k} - c{k} * w0) / (eta + g{k})" for k in ks)
+    new = ", ".join(f"q{k} - 0.3 * (eta * q{k} - t{k} - c{k} * w0) / (eta + g{k})" for k in ks)
     return f"""
 , z AS MATERIALIZED (SELECT unit, {z} FROM units, st WHERE d = 0),
 c AS (SELECT {c}, eta, n0, s_min FROM ridge),
 solve(i, {q}, mu, w0) AS (
     SELECT 0, {', '.join('CAST(0 AS DOUBLE)' for _ in ks)}, 1.0 / n0, CAST(0 AS DOUBLE) FROM c
     UNION ALL
-    SELECT i + 1, {new}, mu + (1 - sw) / n, w0 FROM (
+    SELECT i + 1, {new}, mu + 0.3 * (1 - sw) / n, w0 FROM (
         SELECT s.* EXCLUDE (w0), c.*, -({top}) / ({low}) AS w0 FROM (
             SELECT i, {q}, mu, w0, sum(w) AS sw, count(*) FILTER (w > 0) AS n, {sums}
             FROM (SELECT solve.*, z.*, greatest(0, mu - ({fit_})) AS w FROM solve, z WHERE i < {steps})
@@ -150,7 +150,7 @@ def regularization_covariates(spark, d):
     return _differences(spark, unit_table(complete_part_panel(spark, d), PART))
 
 
-@query(PART_RECURSIVE + units_sql(PART_ROWS) + unit_weights_sql(6, 120) + """
+@query(PART_RECURSIVE + units_sql(PART_ROWS) + unit_weights_sql(6, 250) + """
 SELECT unit, d AS treated, round(unit_weight, 11) AS unit_weight, round(unit_shift, 3) AS unit_shift FROM uw""")
 def unit_weights_cov(spark, d):
     model = fit(unit_table(complete_part_panel(spark, d), PART), jackknife=False)
@@ -230,13 +230,13 @@ def _line_table(spark, model, names=None):
     return table.filter(~F.col("name").isin(model.units.spec.treatment, "t"))
 
 
-@query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 120) + diagnostics_sql(PART.covariates)
+@query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 250) + diagnostics_sql(PART.covariates)
        + "SELECT name, round(value, 8) AS value FROM lines")
 def sdid_diagnostics(spark, d):
     return _line_table(spark, fit(unit_table(complete_part_panel(spark, d), PART), jackknife=False))
 
 
-@query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 120) + diagnostics_sql(PART.covariates) + """
+@query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 250) + diagnostics_sql(PART.covariates) + """
 SELECT CAST(time AS INTEGER) AS time, round(treated, 3) AS treated, round(control, 3) AS control,
        round(time_weight, 8) AS time_weight FROM paths""")
 def sdid_paths(spark, d):
@@ -244,7 +244,7 @@ def sdid_paths(spark, d):
     return rounded(rounded(model.paths.drop(SCENARIO), 3, "treated", "control"), 8, "time_weight")
 
 
-@query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 120) + """, sums AS (
+@query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 250) + """, sums AS (
     SELECT cluster, sum(unit_weight) AS cluster_weight FROM (SELECT DISTINCT unit, cluster, unit_weight FROM rows WHERE treated = 0)
     GROUP BY cluster),
 best AS (SELECT cluster, cluster_weight FROM (SELECT *, dense_rank() OVER (ORDER BY cluster_weight DESC) AS r FROM sums)
@@ -256,7 +256,7 @@ def sdid_cluster_weights(spark, d):
     return rounded(model.clusters().drop(SCENARIO), 9, "cluster_weight")
 
 
-@query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 120) + "SELECT round(tau, 3) AS tau, observations FROM effect")
+@query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 250) + "SELECT round(tau, 3) AS tau, observations FROM effect")
 def sdid_effect(spark, d):
     model = fit(unit_table(complete_part_panel(spark, d), PART), jackknife=False)
     return driver_table(spark, {
@@ -265,7 +265,7 @@ def sdid_effect(spark, d):
     })
 
 
-@query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 120) + """
+@query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 250) + """
 SELECT unit, CAST(time AS INTEGER) AS time, round(unit_weight * time_weight, 11) AS reg_weight,
     round(outcome - avg(outcome) OVER (PARTITION BY unit) - avg(outcome) OVER (PARTITION BY time) + avg(outcome) OVER (), 4)
         AS outcome_twfe FROM rows""")
@@ -289,15 +289,23 @@ SELECT round(tau, 3) AS tau, round(sqrt(variance), 3) AS std_error, round(tau /
             )
 
 
+def _round(x: float | None, digits: int) -> float | None:
+    return None if x is None else round(x, digits)
+
+
+def _root(x: float | None, digits: int) -> float | None:
+    return None if x is None else round(x**0.5, digits)
+
+
 def _estimate_row(spark, model, folds: int):
     e = model.estimate
     return driver_table(spark, {
         "tau": ("double", [round(e.tau, 3)]),
-        "std_error": ("double", [round(e.variance**0.5, 3)]),
-        "t_statistic": ("double", [round(e.t_statistic, 8)]),
+        "std_error": ("double", [_root(e.variance, 3)]),
+        "t_statistic": ("double", [_round(e.t_statistic, 8)]),
         "t_df": ("double", [float(e.t_df)]),
-        "ci_low": ("double", [round(e.ci_low, 3)]),
-        "ci_high": ("double", [round(e.ci_high, 3)]),
+        "ci_low": ("double", [_round(e.ci_low, 3)]),
+        "ci_high": ("double", [_round(e.ci_high, 3)]),
         "folds": ("bigint", [folds]),
     })
 
@@ -318,7 +326,7 @@ def jackknife_cluster(spark, d):
     return _estimate_row(spark, model, int(model.estimate.t_df) + 1)
 
 
-_SUPPLIER_SDID = _sdid_sql(SUPPLIER_SQL, SUPPLIER_ROWS, 400).replace(
+_SUPPLIER_SDID = _sdid_sql(SUPPLIER_SQL, SUPPLIER_ROWS, 1500).replace(
     ", rows AS (", ", rows AS MATERIALIZED (", 1)
 _SUPPLIER_SDID = _SUPPLIER_SDID[: _SUPPLIER_SDID.index(", effect_x AS")]
 
@@ -354,8 +362,9 @@ def _interaction_sql(name: str, source: str, fold: bool) -> str:
 , {name}_x AS (SELECT {f}w, {_within('outcome', f)} AS y, {_within('x1', f)} AS u, {_within('x2', f)} AS v
     FROM (SELECT *, CASE WHEN time > 1998 THEN treated ELSE 0 END AS x1,
           CASE WHEN time > 1998 THEN treated * s_acctbal ELSE 0 END AS x2 FROM {source})),
-{name} AS (SELECT {f}(uy * vv - vy * uv) / (uu * vv - uv * uv) AS tau, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS inter
-    FROM (SELECT {f}{cells} FROM {name}_x {'GROUP BY left_out' if fold else ''}))
+{name} AS (SELECT {f}(uy * vv - vy * uv) / det AS tau, (vy * uu - uy * uv) / det AS inter
+    FROM (SELECT *, CASE WHEN uu * vv - uv * uv > 1e-10 * uu * vv THEN uu * vv - uv * uv END AS det
+          FROM (SELECT {f}{cells} FROM {name}_x {'GROUP BY left_out' if fold else ''})))
 """
 
 
@@ -364,8 +373,9 @@ def _interaction_sql(name: str, source: str, fold: bool) -> str:
          "WHERE r.unit <> f.left_out)"
        + _interaction_sql("refit", "folds", True) + """
 , v AS (SELECT any_value(e.tau) AS tau, any_value(e.inter) AS inter,
-    (count(*) - 1.0) / count(*) * sum((f.tau - e.tau) ** 2) AS v1,
-    (count(*) - 1.0) / count(*) * sum((f.inter - e.inter) ** 2) AS v2 FROM refit f, hat e)
+    CASE WHEN count(f.tau) = count(*) THEN (count(*) - 1.0) / count(*) * sum((f.tau - e.tau) ** 2) END AS v1,
+    CASE WHEN count(f.tau) = count(*) THEN (count(*) - 1.0) / count(*) * sum((f.inter - e.inter) ** 2) END AS v2
+    FROM refit f, hat e)
 SELECT round(tau, 2) AS tau, round(sqrt(v1), 2) AS tau_error, round(inter, 6) AS interaction,
        round(sqrt(v2), 6) AS interaction_error FROM v""")
 def interaction_jackknife(spark, d):
@@ -373,9 +383,9 @@ def interaction_jackknife(spark, d):
         fit(unit_table(supplier_panel(spark, d), SUPPLIER), jackknife=False), "s_acctbal")
     return driver_table(spark, {
         "tau": ("double", [round(got.tau, 2)]),
-        "tau_error": ("double", [round(got.tau_variance**0.5, 2)]),
+        "tau_error": ("double", [_root(got.tau_variance, 2)]),
         "interaction": ("double", [round(got.interaction, 6)]),
-        "interaction_error": ("double", [round(got.interaction_variance**0.5, 6)]),
+        "interaction_error": ("double", [_root(got.interaction_variance, 6)]),
     })
 
 

@@ -84,53 +84,46 @@ def spread_years(spark, d):
 
 
 @query(PART_SQL + """
-SELECT unit, time, round((outcome - b) / nullif(b, 0), 8) AS pc_outcome,
-       round((quantity - q) / nullif(q, 0), 8) AS pc_quantity
+SELECT unit, time, (outcome - b) / nullif(b, 0) AS pc_outcome, (quantity - q) / nullif(q, 0) AS pc_quantity
 FROM (SELECT *, lag(outcome) OVER w AS b, lag(quantity) OVER w AS q FROM part_panel
       WINDOW w AS (PARTITION BY unit ORDER BY time))""")
 def pct_change(spark, d):
     out = prep.pct_changes(part_panel(spark, d), ["outcome", "quantity"], "unit", "time")
-    return rounded(out.select("unit", "time", "pc_outcome", "pc_quantity"), 8, "pc_outcome", "pc_quantity")
+    return out.select("unit", "time", "pc_outcome", "pc_quantity")
 
 
 @query(PART_SQL + """, lagged AS (
     SELECT *, lag(outcome) OVER w AS b, lag(quantity) OVER w AS q FROM part_panel
     WINDOW w AS (PARTITION BY unit ORDER BY time))
-SELECT e.unit, e.cluster, e.p_size, round((e.outcome - e.b) / nullif(e.b, 0), 8) AS pc_outcome,
-       round((e.quantity - e.q) / nullif(e.q, 0), 8) AS pc_quantity,
+SELECT e.unit, e.cluster, e.p_size, (e.outcome - e.b) / nullif(e.b, 0) AS pc_outcome,
+       (e.quantity - e.q) / nullif(e.q, 0) AS pc_quantity,
        s.outcome AS outcome_1998, s.quantity AS quantity_1998,
        e.outcome AS outcome_2001, e.quantity AS quantity_2001
 FROM lagged e JOIN lagged s USING (unit) WHERE s.time = 1998 AND e.time = 2001""")
 def start_end_changes(spark, d):
-    out = prep.changes_between(
+    return prep.changes_between(
         part_panel(spark, d), ["outcome", "quantity"], TIME_PRE, LAST, ["unit", "cluster"], "time", ["p_size"])
-    return rounded(out, 8, "pc_outcome", "pc_quantity")
 
 
 @query(PART_SQL + """
-SELECT s.unit, s.treated, s.outcome, round((e.outcome - s.outcome) / nullif(s.outcome, 0), 8) AS outcome_pc
+SELECT s.unit, s.treated, s.outcome, (e.outcome - s.outcome) / nullif(s.outcome, 0) AS outcome_pc
 FROM part_panel s JOIN part_panel e USING (unit)
 WHERE s.time = 1998 AND e.time = 2001 AND s.outcome <> 0""")
 def two_period_change(spark, d):
-    out = prep.two_period_change(
+    return prep.two_period_change(
         part_panel(spark, d), ["outcome"], TIME_PRE, LAST, "unit", "time", ["treated"])
-    return rounded(out, 8, "outcome_pc")
 
 
 @query(PART_SQL + """
-SELECT unit, time, round(flag_a / nullif(quantity, 0), 8) AS p_flag_a,
-       round(flag_n / nullif(quantity, 0), 8) AS p_flag_n,
-       round(flag_r / nullif(flag_n, 0), 8) AS late_flag_r,
-       round(outcome / nullif(p_size, 0), 6) AS d_outcome
+SELECT unit, time, flag_a / nullif(quantity, 0) AS p_flag_a, flag_n / nullif(quantity, 0) AS p_flag_n,
+       flag_r / nullif(flag_n, 0) AS late_flag_r, outcome / nullif(p_size, 0) AS d_outcome
 FROM part_panel""")
 def shares_densities(spark, d):
     panel = part_panel(spark, d)
     out = prep.shares(panel, ["flag_r"], "flag_n", prefix="late", drop=True)
     out = prep.shares(out, ["flag_a", "flag_n"], "quantity", drop=True)
     out = prep.shares(out, ["outcome"], "p_size", prefix="d")
-    out = rounded(out, 8, "p_flag_a", "p_flag_n", "late_flag_r")
-    return rounded(out, 6, "d_outcome").select(
-        "unit", "time", "p_flag_a", "p_flag_n", "late_flag_r", "d_outcome")
+    return out.select("unit", "time", "p_flag_a", "p_flag_n", "late_flag_r", "d_outcome")
 
 
 _INDEX_SQL = """, prices AS (
@@ -166,12 +159,12 @@ def year_dependent_sum(spark, d):
 
 @query(PART_SQL + """
 SELECT unit, time, CAST(sum(p_size) OVER w AS BIGINT) AS area,
-       round(outcome / sum(p_size) OVER w, 6) AS d_outcome
+       outcome / sum(p_size) OVER w AS d_outcome
 FROM part_panel WINDOW w AS (PARTITION BY cluster, time)""")
 def area_totals(spark, d):
     out = prep.area_totals(part_panel(spark, d), "p_size", "cluster", "time", "area")
     out = prep.shares(out, ["outcome"], "area", prefix="d")
-    return rounded(out, 6, "d_outcome").select("unit", "time", "area", "d_outcome")
+    return out.select("unit", "time", "area", "d_outcome")
 
 
 @query(PART_SQL + """

@@ -317,8 +317,10 @@ def leave_out_estimates(
         det = "(xx0_0 * xx1_1 - xx0_1 * xx0_1)"
         taus = [f"try_divide(xy0 * xx1_1 - xy1 * xx0_1, {det})",
                 f"try_divide(xy1 * xx0_0 - xy0 * xx0_1, {det})"]
-    # both groups remain, and the regressor varies by more than rounding
+    # both groups remain, and the regressors vary (apart from each other) by more than rounding
     defined = "r_d > 0.5 AND r_n - r_d > 0.5 AND xx0_0 > size * 1e-12"
+    if k == 2:
+        defined += f" AND {det} > xx0_0 * xx1_1 * 1e-10"
     return normal.selectExpr(
         SCENARIO, "left_out", *[f"IF({defined}, {t}, NULL) AS tau_{i}" for i, t in enumerate(taus)])
 
