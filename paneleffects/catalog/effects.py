@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 
 from ..operators import effects, weights
 from ..operators.demean import twoway_demean, twoway_effect
-from ..operators.unit_table import SCENARIO, unit_table
+from ..operators.unit_table import SCENARIO
 from ..plans.estimate import fit, interaction_effect
 from ..sources.stages import driver_table
 from . import query
 from .tables import (
     PART,
     PART_SQL,
-    SUPPLIER,
     SUPPLIER_SQL,
     complete_part_panel,
+    part_units,
     rounded,
-    supplier_panel,
+    supplier_units,
 )
 
 PART_RECURSIVE = PART_SQL.replace("WITH flow", "WITH RECURSIVE flow", 1)
@@ -142,32 +142,32 @@ def _differences(spark, units):
 
 @query(_differences_sql(PART_SQL, ()))
 def regularization(spark, d):
-    return _differences(spark, unit_table(complete_part_panel(spark, d), PART.with_(covariates=())))
+    return _differences(spark, part_units(spark, d, PART.with_(covariates=())))
 
 
 @query(_differences_sql(PART_SQL, PART.covariates))
 def regularization_covariates(spark, d):
-    return _differences(spark, unit_table(complete_part_panel(spark, d), PART))
+    return _differences(spark, part_units(spark, d))
 
 
 @query(PART_RECURSIVE + units_sql(PART_ROWS) + unit_weights_sql(6, 250) + """
 SELECT unit, d AS treated, round(unit_weight, 11) AS unit_weight, round(unit_shift, 3) AS unit_shift FROM uw""")
 def unit_weights_cov(spark, d):
-    model = fit(unit_table(complete_part_panel(spark, d), PART), jackknife=False)
+    model = fit(part_units(spark, d), jackknife=False)
     out = model.unit_weights().drop(SCENARIO).withColumn("treated", F.col("treated").cast("int"))
     return rounded(rounded(out, 11, "unit_weight"), 3, "unit_shift")
 
 
 @query()
 def unit_weights(spark, d):
-    model = fit(unit_table(complete_part_panel(spark, d), PART.with_(covariates=())), jackknife=False)
+    model = fit(part_units(spark, d, PART.with_(covariates=())), jackknife=False)
     return model.unit_weights().drop(SCENARIO)
 
 
 @query(PART_RECURSIVE + units_sql(PART_ROWS) + time_weights_sql(900) + """
 SELECT CAST(time AS INTEGER) AS time, round(time_weight, 8) AS time_weight, round(time_shift, 2) AS time_shift FROM tw""")
 def time_weights(spark, d):
-    units = unit_table(complete_part_panel(spark, d), PART)
+    units = part_units(spark, d)
     out = fit(units, jackknife=False).time_weights().drop(SCENARIO)
     return rounded(rounded(out, 8, "time_weight"), 2, "time_shift")
 
@@ -233,14 +233,14 @@ def _line_table(spark, model, names=None):
 @query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 250) + diagnostics_sql(PART.covariates)
        + "SELECT name, round(value, 8) AS value FROM lines")
 def sdid_diagnostics(spark, d):
-    return _line_table(spark, fit(unit_table(complete_part_panel(spark, d), PART), jackknife=False))
+    return _line_table(spark, fit(part_units(spark, d), jackknife=False))
 
 
 @query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 250) + diagnostics_sql(PART.covariates) + """
 SELECT CAST(time AS INTEGER) AS time, round(treated, 3) AS treated, round(control, 3) AS control,
        round(time_weight, 8) AS time_weight FROM paths""")
 def sdid_paths(spark, d):
-    model = fit(unit_table(complete_part_panel(spark, d), PART), jackknife=False)
+    model = fit(part_units(spark, d), jackknife=False)
     return rounded(rounded(model.paths.drop(SCENARIO), 3, "treated", "control"), 8, "time_weight")
 
 
@@ -252,13 +252,13 @@ best AS (SELECT cluster, cluster_weight FROM (SELECT *, dense_rank() OVER (ORDER
 SELECT cluster, round(cluster_weight, 9) AS cluster_weight, false AS is_total FROM best
 UNION ALL SELECT 'Total', round(sum(cluster_weight), 9), true FROM best""")
 def sdid_cluster_weights(spark, d):
-    model = fit(unit_table(complete_part_panel(spark, d), PART), jackknife=False)
+    model = fit(part_units(spark, d), jackknife=False)
     return rounded(model.clusters().drop(SCENARIO), 9, "cluster_weight")
 
 
 @query(_sdid_sql(PART_RECURSIVE, PART_ROWS, 250) + "SELECT round(tau, 3) AS tau, observations FROM effect")
 def sdid_effect(spark, d):
-    model = fit(unit_table(complete_part_panel(spark, d), PART), jackknife=False)
+    model = fit(part_units(spark, d), jackknife=False)
     return driver_table(spark, {
         "tau": ("double", [round(model.estimate.tau, 3)]),
         "observations": ("bigint", [model.estimate.observations]),
@@ -270,7 +270,7 @@ SELECT unit, CAST(time AS INTEGER) AS time, round(unit_weight * time_weight, 11)
     round(outcome - avg(outcome) OVER (PARTITION BY unit) - avg(outcome) OVER (PARTITION BY time) + avg(outcome) OVER (), 4)
         AS outcome_twfe FROM rows""")
 def sdid_regression_rows(spark, d):
-    model = fit(unit_table(complete_part_panel(spark, d), PART), jackknife=False)
+    model = fit(part_units(spark, d), jackknife=False)
     out = model.regression_rows().select("unit", "time", "reg_weight", "outcome_twfe")
     return rounded(rounded(out, 11, "reg_weight"), 4, "outcome_twfe")
 
@@ -316,13 +316,13 @@ _PANEL_DF = "7 * (SELECT count(DISTINCT unit) FROM panel) - ((SELECT count(DISTI
 
 @query(_jackknife_sql(SUPPLIER_SQL + _UNIFORM_ROWS, "unit", _PANEL_DF))
 def jackknife_unit(spark, d):
-    model = fit(unit_table(supplier_panel(spark, d), SUPPLIER), uniform=True)
+    model = fit(supplier_units(spark, d), uniform=True)
     return _estimate_row(spark, model, model.estimate.units)
 
 
 @query(_jackknife_sql(SUPPLIER_SQL + _UNIFORM_ROWS, "cluster", "folds - 1"))
 def jackknife_cluster(spark, d):
-    model = fit(unit_table(supplier_panel(spark, d), SUPPLIER), cluster_errors=True, uniform=True)
+    model = fit(supplier_units(spark, d), cluster_errors=True, uniform=True)
     return _estimate_row(spark, model, int(model.estimate.t_df) + 1)
 
 
@@ -333,20 +333,20 @@ _SUPPLIER_SDID = _SUPPLIER_SDID[: _SUPPLIER_SDID.index(", effect_x AS")]
 
 @query(_jackknife_sql(_SUPPLIER_SDID, "unit", _PANEL_DF))
 def sdid_jackknife_unit(spark, d):
-    model = fit(unit_table(supplier_panel(spark, d), SUPPLIER))
+    model = fit(supplier_units(spark, d))
     return _estimate_row(spark, model, model.estimate.units)
 
 
 @query(_jackknife_sql(_SUPPLIER_SDID, "cluster", "folds - 1"))
 def sdid_jackknife_cluster(spark, d):
-    model = fit(unit_table(supplier_panel(spark, d), SUPPLIER), cluster_errors=True)
+    model = fit(supplier_units(spark, d), cluster_errors=True)
     return _estimate_row(spark, model, int(model.estimate.t_df) + 1)
 
 
 @query()
 def sdid_full(spark, d):
     """Report table of the weighted estimate with unit jackknife errors."""
-    return fit(unit_table(complete_part_panel(spark, d), PART)).table()
+    return fit(part_units(spark, d)).table()
 
 
 def _within(c: str, f: str) -> str:
@@ -380,7 +380,7 @@ SELECT round(tau, 2) AS tau, round(sqrt(v1), 2) AS tau_error, round(inter, 6) AS
        round(sqrt(v2), 6) AS interaction_error FROM v""")
 def interaction_jackknife(spark, d):
     got = interaction_effect(
-        fit(unit_table(supplier_panel(spark, d), SUPPLIER), jackknife=False), "s_acctbal")
+        fit(supplier_units(spark, d), jackknife=False), "s_acctbal")
     return driver_table(spark, {
         "tau": ("double", [round(got.tau, 2)]),
         "tau_error": ("double", [_root(got.tau_variance, 2)]),
@@ -406,7 +406,7 @@ def prediction_error_given_weights(spark, d):
     from ..operators.prep import attach
     from ..plans.estimate import report_lines
 
-    units = unit_table(complete_part_panel(spark, d), PART)
+    units = part_units(spark, d)
     stats = weights.group_stats(units)
     equal = {0: weights.TimeWeightSolution(weights.np.full(4, 0.25), 0.0, True)}
     profiles = effects.time_profiles(units, stats, equal)

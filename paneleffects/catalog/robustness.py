@@ -16,10 +16,12 @@ from .tables import (
     LAST,
     PART,
     PART_SQL,
-    SUPPLIER,
+    PERIODS,
     SUPPLIER_SQL,
     complete_part_panel,
-    supplier_panel,
+    part_panel,
+    part_units,
+    supplier_units,
 )
 
 
@@ -35,8 +37,7 @@ def backdating_uniform(spark, d):
 
 @query()
 def backdating(spark, d):
-    model = robustness.backdated(complete_part_panel(spark, d), PART, 1998, 1996, cluster_errors=True)
-    return model.table()
+    return robustness.backdated(part_units(spark, d), 1998, 1996, cluster_errors=True).table()
 
 
 _PAIRS_SQL = SUPPLIER_SQL + """, sizes AS (
@@ -50,7 +51,7 @@ rows AS (SELECT a.cluster AS first, b.cluster AS second, 100 * a.cluster + b.clu
 @query(_PAIRS_SQL + slope_sql("effect", "rows", "pair") + """
 SELECT CAST(pair // 100 AS INTEGER) AS first, CAST(pair % 100 AS INTEGER) AS second, round(tau, 3) AS tau, observations FROM effect""")
 def leave_two_out_uniform(spark, d):
-    units = unit_table(supplier_panel(spark, d), SUPPLIER)
+    units = supplier_units(spark, d)
     base = fit(units, uniform=True, jackknife=False)
     ranked = effects.cluster_weights(base.weighted, 3).filter("NOT is_total")
     names = sorted(int(r["cluster"]) for r in ranked.collect())  # a few leading clusters
@@ -65,7 +66,7 @@ def leave_two_out_uniform(spark, d):
 
 @query()
 def leave_two_out(spark, d):
-    units = unit_table(complete_part_panel(spark, d), PART)
+    units = part_units(spark, d)
     _, _, table = robustness.leave_two_out(units)
     return table
 
@@ -77,26 +78,26 @@ def pscore_trim(spark, d):
         F.max(F.when(F.col("time") == t, F.col("outcome"))).alias(f"outcome_{t}") for t in (1996, 1997, 1998)])
     _, _, kept = robustness.trimmed_units(
         panel.join(lags, "unit"), PART, LAST, CANDIDATES[1:], ["p_size"])
-    return fit(unit_table(kept, PART)).table()
+    return fit(unit_table(kept, PART, PERIODS)).table()
 
 
 @query()
 def many_outcomes(spark, d):
     """Two outcomes, each without and with covariates, side by side."""
-    panel = complete_part_panel(spark, d)
-    models = many_models(panel, [
+    models = many_models(part_panel(spark, d), [
         PART.with_(name="revenue", covariates=("p_size",)),
         PART.with_(name="revenue_covs"),
         PART.with_(name="quantity", outcome="quantity", covariates=("p_size",)),
         PART.with_(name="quantity_covs", outcome="quantity"),
-    ])
+    ], periods=PERIODS, incomplete="drop")
     return robustness.results_side_by_side(models)
 
 
 @query()
 def leading_cluster_union(spark, d):
-    models = many_models(complete_part_panel(spark, d), [
-        PART, PART.with_(name="quantity", outcome="quantity")], jackknife=False)
+    models = many_models(part_panel(spark, d), [
+        PART, PART.with_(name="quantity", outcome="quantity")],
+        jackknife=False, periods=PERIODS, incomplete="drop")
     return robustness.leading_cluster_union(models, 3)
 
 

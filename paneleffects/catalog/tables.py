@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prep import complete_units
+from ..operators.unit_table import UnitTable, unit_table, unit_tables
+from ..sources.stages import stage
 from ..spec import PanelSpec
 
 # fixed values: the ship years in the tables and the study design on them
@@ -52,7 +54,19 @@ def part_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def complete_part_panel(spark: SparkSession, folder: str) -> DataFrame:
-    return complete_units(part_panel(spark, folder), "unit", len(PERIODS), ["outcome", "p_size", "p_retailprice"])
+    """Staged first: the filter reads the panel twice, the order lines only once."""
+    panel = stage(part_panel(spark, folder), "panel")
+    return complete_units(panel, "unit", len(PERIODS), ["outcome", "p_size", "p_retailprice"])
+
+
+def part_units(spark: SparkSession, folder: str, *specs: PanelSpec) -> UnitTable | list[UnitTable]:
+    """Unit tables of the complete parts, straight from the order lines in one shuffle chain."""
+    found = unit_tables(part_panel(spark, folder), specs or (PART,), PERIODS, incomplete="drop")
+    return found if len(specs) > 1 else found[0]
+
+
+def supplier_units(spark: SparkSession, folder: str) -> UnitTable:
+    return unit_table(supplier_panel(spark, folder), SUPPLIER, PERIODS)
 
 
 def supplier_panel(spark: SparkSession, folder: str) -> DataFrame:

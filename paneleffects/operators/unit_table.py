@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import any_of, is_finite
+from ..functions.columns import all_finite, any_of
 from ..sources.stages import stage
 from ..spec import PanelSpec
 
@@ -108,13 +108,19 @@ def unit_tables(
     panel: DataFrame,
     specs: Sequence[PanelSpec],
     periods: Sequence[int] | None = None,
+    incomplete: str = "error",
 ) -> list[UnitTable]:
     """Unit tables of several models over one panel, from a single shuffle.
 
+    Name the ``periods`` where they are known: otherwise a pass over the panel finds them.
+    ``incomplete='drop'`` leaves out, per model, the units without a usable row in every
+    period: the complete-panel filter, in the same shuffle.
+
     All models share the unit, time, treatment and cluster columns. The result is
     staged once; each model reads only its own columns. Raises ``PanelError`` for
     duplicate or missing (unit, time) rows, missing values, a treatment flag other
-    than 0/1, or a treatment, cluster or covariate that moves within a unit.
+    than 0/1, or a treatment, cluster or covariate that moves within a unit. (A unit seen
+    in several clusters counts as several incomplete units.)
     """
     first = specs[0]
     shared = ("unit", "time", "treatment", "cluster")
@@ -133,10 +139,10 @@ def unit_tables(
         *[F.col(c).cast("double").alias(f"cov_{j}") for j, c in enumerate(covariates)],
     )
     wide = stage(
-        source.groupBy("unit").agg(
+        # text columns are keys, not aggregates: the aggregate stays a hash aggregate
+        source.groupBy("unit", "cluster").agg(
             F.count(F.lit(1)).alias("n_rows"),
             _steady("treated"),
-            _steady("cluster"),
             *[_steady(f"cov_{j}") for j in range(len(covariates))],
             F.expr("struct(" + ", ".join(
                 f"max(IF(time = {t}, out_{j}, NULL)) AS y_{j}_{k}"
@@ -145,29 +151,31 @@ def unit_tables(
         "units",
     )
 
+    if incomplete not in ("error", "drop"):
+        raise ValueError("incomplete is 'error' or 'drop'")
     tables, faults = [], []
     for i, spec in enumerate(specs):
         j = outcomes.index(spec.outcome)
         xs = [covariates.index(c) for c in spec.covariates]
         ys = [f"y_{j}_{k}" for k in range(len(periods))]
-        faults += [
-            F.count_if(F.col("n_rows") != len(periods)).alias(f"{i}|rows per unit"),
-            F.count_if(any_of(~is_finite(y) for y in ys)).alias(f"{i}|missing outcomes"),
-            F.count_if(any_of(~is_finite(f"cov_{x}.value") for x in xs)).alias(
-                f"{i}|missing covariates"),
-            F.count_if(any_of(F.col(f"cov_{x}.moves") for x in xs)).alias(
-                f"{i}|covariates that move within a unit"),
-            F.count_if(
-                F.col("treated.moves") | ~F.coalesce(F.col("treated.value").isin(0.0, 1.0), F.lit(False))
-            ).alias(f"{i}|treatment flags that move or are not 0/1"),
-            F.count_if(F.col("cluster.moves")).alias(f"{i}|clusters that move within a unit"),
-            F.count_if(F.col("unit").isNull()).alias(f"{i}|NULL units"),
-        ]
-        data = wide.select(
+        usable = (F.col("n_rows") == len(periods)) & all_finite(
+            [*ys, *[f"cov_{x}.value" for x in xs]])
+        kept = usable if incomplete == "drop" else F.lit(True)
+        checks = {
+            "rows per unit and cluster": F.col("n_rows") != len(periods),
+            "missing outcomes": ~all_finite(ys),
+            "missing covariates": ~all_finite([f"cov_{x}.value" for x in xs]),
+            "covariates that move within a unit": any_of(F.col(f"cov_{x}.moves") for x in xs),
+            "treatment flags that move or are not 0/1": F.col("treated.moves") | ~F.coalesce(
+                F.col("treated.value").isin(0.0, 1.0), F.lit(False)),
+            "NULL units": F.col("unit").isNull(),
+        }
+        faults += [F.count_if(kept & bad).alias(f"{i}|{name}") for name, bad in checks.items()]
+        data = wide.filter(kept).select(
             F.lit(0).alias(SCENARIO),
             "unit",
             F.col("treated.value").alias("treated"),
-            F.col("cluster.value").alias("cluster"),
+            "cluster",
             *[F.col(y).alias(f"y_{k}") for k, y in enumerate(ys)],
             *[F.col(f"cov_{x}.value").alias(f"x_{k}") for k, x in enumerate(xs)],
         )
@@ -181,5 +189,8 @@ def unit_tables(
     return tables
 
 
-def unit_table(panel: DataFrame, spec: PanelSpec, periods: Sequence[int] | None = None) -> UnitTable:
-    return unit_tables(panel, [spec], periods)[0]
+def unit_table(
+    panel: DataFrame, spec: PanelSpec, periods: Sequence[int] | None = None,
+    incomplete: str = "error",
+) -> UnitTable:
+    return unit_tables(panel, [spec], periods, incomplete)[0]

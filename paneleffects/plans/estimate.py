@@ -164,9 +164,12 @@ def many_models(
     specs: Sequence[PanelSpec],
     cluster_errors: bool = False,
     jackknife: bool = True,
+    periods: Sequence[int] | None = None,
+    incomplete: str = "error",
 ) -> list[SyntheticDiD]:
     """Several outcomes or covariate sets over one panel, from one shuffle of the panel."""
-    return [fit(u, cluster_errors, jackknife) for u in unit_tables(panel, specs)]
+    tables = unit_tables(panel, specs, periods, incomplete)
+    return [fit(u, cluster_errors, jackknife) for u in tables]
 
 
 @dataclass(frozen=True)

@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from ..operators import propensity
 from ..operators.reshape import side_by_side, stack_rows, union_keys
-from ..operators.unit_table import UnitTable, unit_table
+from ..operators.unit_table import UnitTable
 from ..spec import PanelSpec
 from .estimate import SyntheticDiD, fit
 
 
 def backdated(
-    panel: DataFrame, spec: PanelSpec, last: int, time_pre: int, cluster_errors: bool = False
+    units: UnitTable, last: int, time_pre: int, cluster_errors: bool = False
 ) -> SyntheticDiD:
-    """Placebo: drop the periods after ``last`` and let treatment start after ``time_pre``."""
-    early = panel.filter(F.col(spec.time) <= last)
-    return fit(unit_table(early, spec.with_(time_pre=time_pre)), cluster_errors)
+    """Placebo: drop the periods after ``last`` and let treatment start after ``time_pre``.
+
+    Works on an existing unit table: the later periods are columns that are not read.
+    """
+    return fit(units.until(last, time_pre), cluster_errors)
 
 
 def leading_clusters(model: SyntheticDiD, top: int = 10) -> list:
