@@ -36,7 +36,8 @@ SUPPLIER_ROWS = [*_PART_ROWS, "max(s_acctbal)"]
 # ------------------------------------------------------------------ SQL building blocks
 
 
-def units_sql(rows: list[str]) -> str:
+def units_sql(rows: list[str], n_pre: int = 4, time_pre: int = 1998) -> str:
+    """Unit rows (pre-periods first, then covariates), their statistics and the ridge strength."""
     cols = ", ".join(f"{e} AS a{k}" for k, e in enumerate(rows))
     stats = ", ".join(
         f"avg(a{k}) FILTER (d = 1) AS b{k}, avg(a{k}) FILTER (d = 0) AS m{k}, "
@@ -45,16 +46,17 @@ def units_sql(rows: list[str]) -> str:
     nd = ", ".join(f"abs(b{k} - m{k}) / sqrt((v{k} + s{k} * s{k}) / 2)" for k in range(len(rows)))
     return f"""
 , units AS MATERIALIZED (SELECT unit, max(treated) AS d, any_value(cluster) AS cluster, {cols},
-    avg(CASE WHEN time > 1998 THEN outcome END) AS p FROM panel GROUP BY unit),
+    avg(CASE WHEN time > {time_pre} THEN outcome END) AS p FROM panel GROUP BY unit),
 st AS (SELECT count(*) FILTER (d = 0) AS n0, count(*) FILTER (d = 1) AS n1, {stats} FROM units),
-ridge AS (SELECT *, 1 / greatest({nd}) AS zeta, 3 / greatest({nd}) AS eta, least(s0, s1, s2, s3) AS s_min FROM st)
+ridge AS (SELECT *, 1 / greatest({nd}) AS zeta, {n_pre - 1} / greatest({nd}) AS eta,
+    least({', '.join(f's{k}' for k in range(n_pre))}) AS s_min FROM st)
 """
 
 
-def unit_weights_sql(r: int, steps: int) -> str:
+def unit_weights_sql(r: int, steps: int, n_pre: int = 4) -> str:
     ks = range(r)
     z = ", ".join(f"(a{k} - b{k}) / s{k} AS z{k}" for k in ks)
-    c = ", ".join(f"s_min / s{k} AS c{k}" if k < 4 else f"0.0 AS c{k}" for k in ks)
+    c = ", ".join(f"s_min / s{k} AS c{k}" if k < n_pre else f"0.0 AS c{k}" for k in ks)
     q = ", ".join(f"q{k}" for k in ks)
     fit_ = " + ".join(f"q{k} * z{k}" for k in ks)
     sums = ", ".join(f"sum(w * z{k}) AS t{k}, sum(CASE WHEN w > 0 THEN z{k} * z{k} ELSE 0 END) AS g{k}" for k in ks)
@@ -79,29 +81,52 @@ uw AS MATERIALIZED (
 """
 
 
-def time_weights_sql(steps: int) -> str:
-    g = ", ".join("[" + ", ".join(f"covar_pop(a{j}, a{k})" for k in range(4)) + "]" for j in range(4))
-    h = ", ".join(f"covar_pop(a{j}, p)" for j in range(4))
-    means = ", ".join(f"avg(a{j})" for j in range(4))
+def time_weights_sql(steps: int, pre: tuple[int, ...] = (1995, 1996, 1997, 1998),
+                     post: tuple[int, ...] = (1999, 2000, 2001)) -> str:
+    n = len(pre)
+    ks = ", ".join(str(k + 1) for k in range(n))
+    pairs = [[a + 1, b + 1] for a in range(n) for b in range(a + 1, n)]
+    g = ", ".join("[" + ", ".join(f"covar_pop(a{j}, a{k})" for k in range(n)) + "]" for j in range(n))
+    h = ", ".join(f"covar_pop(a{j}, p)" for j in range(n))
+    means = ", ".join(f"avg(a{j})" for j in range(n))
     return f"""
 , gram AS MATERIALIZED (SELECT [{g}] AS g, [{h}] AS h, [{means}] AS m, avg(p) AS mp FROM units WHERE d = 0),
-pairs AS (SELECT [[1, 2], [3, 4], [1, 3], [2, 4], [1, 4], [2, 3]] AS p),
+pairs AS (SELECT {pairs} AS p),
 trade(i, x) AS (
-    SELECT 0, [0.25::DOUBLE, 0.25, 0.25, 0.25]
+    SELECT 0, [{', '.join(f'CAST(1 AS DOUBLE) / {n}' for _ in pre)}]
     UNION ALL
-    SELECT i + 1, [CASE k WHEN a THEN x[k] + step WHEN b THEN x[k] - step ELSE x[k] END FOR k IN [1, 2, 3, 4]] FROM (
+    SELECT i + 1, [CASE k WHEN a THEN x[k] + step WHEN b THEN x[k] - step ELSE x[k] END FOR k IN [{ks}]] FROM (
         SELECT i, x, a, b, least(greatest((
             (list_dot_product(g[b], x) - h[b]) - (list_dot_product(g[a], x) - h[a])) / (g[a][a] + g[b][b] - 2 * g[a][b]),
             -x[a]), x[b]) AS step
-        FROM (SELECT i, x, p[i % 6 + 1][1] AS a, p[i % 6 + 1][2] AS b FROM trade, pairs WHERE i < {steps}), gram)),
+        FROM (SELECT i, x, p[i % {len(pairs)} + 1][1] AS a, p[i % {len(pairs)} + 1][2] AS b
+              FROM trade, pairs WHERE i < {steps}), gram)),
 tw AS MATERIALIZED (
-    SELECT 1994 + k AS time, x[k] AS time_weight, mp - list_dot_product(m, x) AS time_shift
-    FROM (SELECT x FROM trade WHERE i = {steps}), gram, (SELECT unnest([1, 2, 3, 4]) AS k)
-    UNION ALL SELECT unnest([1999, 2000, 2001]), CAST(1 AS DOUBLE) / 3, 0)
+    SELECT {list(pre)}[k] AS time, x[k] AS time_weight, mp - list_dot_product(m, x) AS time_shift
+    FROM (SELECT x FROM trade WHERE i = {steps}), gram, (SELECT unnest([{ks}]) AS k)
+    UNION ALL SELECT unnest({list(post)}), CAST(1 AS DOUBLE) / {len(post)}, 0)
 """
 
 
-def slope_sql(name: str, source: str, fold: str | None = None) -> str:
+def p_value_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t by Simpson's rule on its density."""
+    h = f"(abs({t}) / 2000)"
+    density = f"pow(1 + pow(k * {h}, 2) / ({df}), -(({df}) + 1) / 2)"
+    weight = "CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum([{weight} * {density} FOR k IN range(2001)]) * {h} / 3"
+    return (f"(1 - 2 * {area} * exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi()))")
+
+
+def stars_sql(p: str) -> str:
+    return f"CASE WHEN {p} <= 0.01 THEN '***' WHEN {p} <= 0.05 THEN '**' WHEN {p} <= 0.1 THEN '*' ELSE '' END"
+
+
+def number_sql(x: str, digits: int) -> str:
+    return (rf"regexp_replace(CAST(CAST(round_even({x}, {digits}) AS DECIMAL(38,{digits})) AS VARCHAR), "
+            rf"'\.?0+$', '')")
+
+
+def slope_sql(name: str, source: str, fold: str | None = None, time_pre: int = 1998) -> str:
     """tau per fold from rows (fold, unit, time, outcome, treated, w), demeaned within the fold."""
     f, by = (f"{fold}, ", f"PARTITION BY {fold}") if fold else ("", "")
     one = f"PARTITION BY {f}"
@@ -109,7 +134,7 @@ def slope_sql(name: str, source: str, fold: str | None = None) -> str:
 , {name}_x AS (
     SELECT {f}w, outcome - avg(outcome) OVER ({one}unit) - avg(outcome) OVER ({one}time) + avg(outcome) OVER ({by}) AS y,
         x - avg(x) OVER ({one}unit) - avg(x) OVER ({one}time) + avg(x) OVER ({by}) AS x
-    FROM (SELECT *, CASE WHEN time > 1998 THEN treated ELSE 0 END AS x FROM {source})),
+    FROM (SELECT *, CASE WHEN time > {time_pre} THEN treated ELSE 0 END AS x FROM {source})),
 {name} AS (SELECT {f}count(*) AS observations,
     (sum(w * x * y) * sum(w) - sum(w * x) * sum(w * y)) / nullif(sum(w * x * x) * sum(w) - sum(w * x) * sum(w * x), 0) AS tau
     FROM {name}_x {'GROUP BY ' + fold if fold else ''})
@@ -203,7 +228,7 @@ def _sdid_sql(base: str, rows: list[str], steps: int) -> str:
             + slope_sql("effect", "rows"))
 
 
-def diagnostics_sql(covariates: tuple[str, ...]) -> str:
+def diagnostics_sql(covariates: tuple[str, ...], time_pre: int = 1998) -> str:
     """Prediction errors, covariate gaps and weight norm as (name, value) lines."""
     gaps = " ".join(
         f"UNION ALL SELECT '{c}', (c - t) / t FROM (SELECT sum(v * w) FILTER (treated = 0) AS c, "
@@ -213,10 +238,10 @@ def diagnostics_sql(covariates: tuple[str, ...]) -> str:
 , paths AS (SELECT time, sum((outcome + unit_shift) * unit_weight) FILTER (treated = 1) AS treated,
     sum((outcome + unit_shift) * unit_weight) FILTER (treated = 0) AS control, any_value(time_weight) AS time_weight
     FROM rows GROUP BY time),
-spans AS (SELECT unit, sum((outcome + time_shift) * time_weight) FILTER (time <= 1998) AS pre,
-    sum((outcome + time_shift) * time_weight) FILTER (time > 1998) AS post FROM rows WHERE treated = 0 GROUP BY unit),
+spans AS (SELECT unit, sum((outcome + time_shift) * time_weight) FILTER (time <= {time_pre}) AS pre,
+    sum((outcome + time_shift) * time_weight) FILTER (time > {time_pre}) AS post FROM rows WHERE treated = 0 GROUP BY unit),
 lines AS (
-    SELECT 'omega' AS name, sqrt(avg((treated - control) ** 2)) / avg(treated) AS value FROM paths WHERE time <= 1998
+    SELECT 'omega' AS name, sqrt(avg((treated - control) ** 2)) / avg(treated) AS value FROM paths WHERE time <= {time_pre}
     UNION ALL SELECT 'lambda', sqrt(avg((post - pre) ** 2)) / avg(post) FROM spans
     {gaps}
     UNION ALL SELECT 'Weight Norm', sqrt(sum(w * w)) FROM (SELECT DISTINCT unit, unit_weight AS w FROM rows WHERE treated = 0)
@@ -343,6 +368,29 @@ def sdid_jackknife_cluster(spark, d):
     return _estimate_row(spark, model, int(model.estimate.t_df) + 1)
 
 
+_REPORT_SQL = _SUPPLIER_SDID + diagnostics_sql(("s_acctbal",)) + slope_sql("effect", "rows") + """
+, folds AS (SELECT f.left_out, r.* FROM (SELECT DISTINCT unit AS left_out FROM rows) f, rows r WHERE r.unit <> f.left_out)
+""" + slope_sql("refit", "folds", "left_out") + f"""
+, v AS (SELECT any_value(e.tau) AS tau, any_value(e.tau) / sqrt((count(*) - 1.0) / count(*) * sum((f.tau - e.tau) ** 2)) AS t,
+    CAST(6 * count(*) - 7 AS DOUBLE) AS df FROM refit f, effect e),
+p AS (SELECT *, {p_value_sql('t', 'df')} AS p FROM v)
+SELECT 'supplier' AS model, 'treated' AS name, round(tau, 3) AS value, {number_sql('tau', 2)} || {stars_sql('p')} AS label,
+       round(p, 8) AS p_value FROM p
+UNION ALL SELECT 'supplier', 't', round(t, 8), '(' || {number_sql('t', 2)} || ')', NULL FROM p
+UNION ALL SELECT 'supplier', name, round(value, 8), CASE WHEN name IN ('Units', 'Observations')
+    THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE {number_sql('value', 4)} END, NULL FROM lines"""
+
+
+@query(_REPORT_SQL)
+def sdid_report(spark, d):
+    """The whole report table, with p value and labels, on suppliers."""
+    model = fit(supplier_units(spark, d))
+    effect = F.col("name") == "treated"
+    return model.table().select(
+        "model", "name", F.when(effect, F.round("value", 3)).otherwise(F.round("value", 8)).alias("value"), "label",
+        F.when(effect, F.lit(_round(model.estimate.p_value, 8))).alias("p_value"))
+
+
 @query()
 def sdid_full(spark, d):
     """Report table of the weighted estimate with unit jackknife errors."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import row_sum
 from ..operators import prep, reshape
+from ..operators.unit_table import distinct_periods
+from ..sources import files
+from ..sources.stages import stage_folder
 from . import query
 from .tables import (
     FLOW_SQL,
@@ -230,3 +235,38 @@ def top_destinations(spark, d):
     rich = by_nation.join(overall, F.col("mine") > F.col("all"), "left_semi")
     out = top(nation_flows(spark, d), rich, "home", "work", ["quantity", "lines"], "quantity", ["year"])
     return rounded(out, 6, "quantity", "lines")
+
+
+_FILES_SQL = """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_custkey AS VARCHAR) AS customer, o_orderpriority AS priority,
+       o_totalprice AS price FROM orders"""
+
+
+@query(_FILES_SQL)
+def csv_files_per_year(spark, d):
+    """Orders written as one CSV folder per year, read back in one scan stamped with the year."""
+    path = f"{stage_folder(spark)}/orders-{uuid.uuid4().hex}"
+    orders = table(spark, d, "orders").select(
+        F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("customer"),
+        F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+    files.write_table(orders, path, "csv", ["year"])
+    years = {t: f"{path}/year={t}" for t in distinct_periods(orders, "year")}
+    return files.cast_key(
+        files.read_periods(spark, years, "customer long, priority string, price double"), "customer")
+
+
+@query("""
+SELECT CAST(n_nationkey AS VARCHAR) AS unit, n_name AS area, CAST(n_regionkey AS DOUBLE) AS code, s.balance
+FROM nation JOIN (SELECT s_nationkey, CAST(count(*) AS BIGINT) AS balance FROM supplier GROUP BY 1) s
+ON n_nationkey = s_nationkey""")
+def csv_dimension_lookup(spark, d):
+    """A crosswalk stored as CSV, read with renamed columns, text keys and an overridden type."""
+    path = f"{stage_folder(spark)}/nation-{uuid.uuid4().hex}"
+    files.write_table(table(spark, d, "nation"), path, "csv")
+    typed = files.read_csv(spark, path, types={"n_regionkey": "double"})
+    crosswalk = files.cast_key(typed, "n_nationkey").withColumnsRenamed(
+        {"n_nationkey": "unit", "n_name": "area", "n_regionkey": "code"})
+    counts = files.cast_key(
+        table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("unit")).agg(
+            F.count(F.lit(1)).alias("balance")), "unit")
+    return crosswalk.join(counts, "unit")

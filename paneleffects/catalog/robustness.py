@@ -11,7 +11,18 @@ from ..plans.estimate import fit, many_models
 from ..sources.stages import driver_table
 from . import query
 from .choice import CANDIDATES
-from .effects import slope_sql
+from .effects import (
+    PART_RECURSIVE,
+    PART_ROWS,
+    diagnostics_sql,
+    number_sql,
+    p_value_sql,
+    slope_sql,
+    stars_sql,
+    time_weights_sql,
+    unit_weights_sql,
+    units_sql,
+)
 from .tables import (
     LAST,
     PART,
@@ -26,7 +37,7 @@ from .tables import (
 
 
 @query(PART_SQL + ", rows AS (SELECT *, 1.0 AS w FROM panel WHERE time <= 1998)"
-       + slope_sql("effect", "rows").replace("time > 1998", "time > 1996")
+       + slope_sql("effect", "rows", time_pre=1996)
        + "SELECT round(tau, 4) AS tau, observations FROM effect")
 def backdating_uniform(spark, d):
     from ..operators.demean import twoway_effect
@@ -35,9 +46,32 @@ def backdating_uniform(spark, d):
     return twoway_effect(early, PART.with_(time_pre=1996)).withColumn("tau", F.round("tau", 4))
 
 
-@query()
+_EARLY_ROWS = [PART_ROWS[0], PART_ROWS[1], *PART_ROWS[4:]]
+_BACKDATED_SQL = (
+    PART_RECURSIVE.replace("panel AS (SELECT * FROM part_panel", "full_panel AS (SELECT * FROM part_panel")
+    + ", panel AS (SELECT * FROM full_panel WHERE time <= 1998)"
+    + units_sql(_EARLY_ROWS, 2, 1996) + unit_weights_sql(4, 250, 2) + time_weights_sql(10, (1995, 1996), (1997, 1998))
+    + ", rows AS MATERIALIZED (SELECT panel.*, unit_weight, time_weight, unit_shift, time_shift, "
+      "unit_weight * time_weight AS w FROM panel JOIN uw USING (unit) JOIN tw USING (time))"
+    + slope_sql("effect", "rows", time_pre=1996) + diagnostics_sql(PART.covariates, 1996)
+    + ", folds AS (SELECT f.left_out, r.* FROM (SELECT DISTINCT cluster AS left_out FROM rows) f, rows r "
+      "WHERE r.cluster <> f.left_out)"
+    + slope_sql("refit", "folds", "left_out", 1996) + f"""
+, v AS (SELECT any_value(e.tau) AS tau, any_value(e.tau) / sqrt((count(*) - 1.0) / count(*) * sum((f.tau - e.tau) ** 2)) AS t,
+    CAST(count(*) - 1 AS DOUBLE) AS df FROM refit f, effect e),
+p AS (SELECT *, {p_value_sql('t', 'df')} AS p FROM v)
+SELECT 'treated' AS name, round(tau, 3) AS value, {number_sql('tau', 2)} || {stars_sql('p')} AS label FROM p
+UNION ALL SELECT 't', round(t, 8), '(' || {number_sql('t', 2)} || ')' FROM p
+UNION ALL SELECT name, round(value, 8), CASE WHEN name IN ('Units', 'Observations')
+    THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE {number_sql('value', 4)} END FROM lines""")
+
+
+@query(_BACKDATED_SQL)
 def backdating(spark, d):
-    return robustness.backdated(part_units(spark, d), 1998, 1996, cluster_errors=True).table()
+    table = robustness.backdated(part_units(spark, d), 1998, 1996, cluster_errors=True).table()
+    return table.select(
+        "name", F.when(F.col("name") == "treated", F.round("value", 3)).otherwise(F.round("value", 8)).alias("value"),
+        "label")
 
 
 _PAIRS_SQL = SUPPLIER_SQL + """, sizes AS (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import summary
 from . import query
+from .effects import number_sql, p_value_sql, stars_sql
 from .tables import (
     FLOW_SQL,
     PART_SQL,
@@ -179,10 +180,17 @@ def welch_t(spark, d):
     return rounded(rounded(rounded(out, 4, "mean_treated", "mean_control", "difference"), 8, "t"), 6, "df")
 
 
-@query()
+@query(_WELCH_SQL.replace("SELECT variable, round(t.m, 4)", ", w AS (SELECT variable, round(t.m, 4)").replace(
+    "AS mean_treated, round(c.m, 4) AS mean_control, round(t.m - c.m, 4) AS difference,",
+    "AS mean_treated, t.m - c.m AS difference,").replace("round((t.m - c.m) / sqrt(t.s + c.s), 8) AS t,",
+    "(t.m - c.m) / sqrt(t.s + c.s) AS t,").replace(", 6) AS df", ", 12) AS df") + f"""),
+p AS (SELECT *, {p_value_sql('t', 'df')} AS p FROM w)
+SELECT variable, round(difference, 4) AS difference, round(t, 8) AS t, round(df, 6) AS df, round(p, 8) AS p_value,
+       {number_sql('difference', 2)} || {stars_sql('p')} AS label, '(' || {number_sql('t', 2)} || ')' AS t_label FROM p""")
 def welch_report(spark, d):
     last = complete_part_panel(spark, d).filter("time = 2001")
-    return summary.welch_report(last, "treated", ["outcome", *_VARIABLES])
+    out = summary.welch_report(last, "treated", ["outcome", *_VARIABLES])
+    return rounded(rounded(rounded(out, 4, "difference"), 8, "t", "p_value"), 6, "df")
 
 
 @query(PART_SQL + f""", sums AS (

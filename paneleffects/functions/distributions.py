@@ -62,3 +62,11 @@ def stars(p: float | None) -> str:
     if p is None:
         return ""
     return "***" if p <= 0.01 else "**" if p <= 0.05 else "*" if p <= 0.1 else ""
+
+
+def plain_number(x: float | None, digits: int) -> str | None:
+    """A rounded number as text without trailing zeros; zero has no sign."""
+    if x is None:
+        return None
+    text = f"{round(x, digits) + 0.0:.{digits}f}"
+    return text.rstrip("0").rstrip(".") if "." in text else text

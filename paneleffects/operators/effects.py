@@ -36,6 +36,7 @@ class TimeProfile:
     shift: float         # level shift of the pre-periods
     post: np.ndarray     # h_t
     centre: np.ndarray   # period mean minus overall mean of the outcome
+    share: float         # treated units over all units
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,8 @@ def time_profiles(
         share = st.n[1] / sum(st.n)
         period_mean = share * st.mean[1][at] + (1.0 - share) * st.mean[0][at]
         result[s] = TimeProfile(
-            weight, time_weights[s].shift, flag - n_post / t, period_mean - period_mean.mean())
+            weight, time_weights[s].shift, flag - n_post / t,
+            period_mean - period_mean.mean(), share)
     return result
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bracketed, finite_or_null, is_finite, number_text, ratio
-from ..functions.distributions import stars, student_t_two_sided
+from ..functions.distributions import plain_number, stars, student_t_two_sided
 from ..sources.stages import driver_table, stage
 
 
@@ -207,18 +207,15 @@ def welch_report(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     rows = welch_statistics(df, group, cols).collect()  # as many rows as columns named
     p = [student_t_two_sided(r["t"], r["df"]) for r in rows]
 
-    def text(x):
-        return None if x is None else f"{round(x, 2):.2f}".rstrip("0").rstrip(".")
-
     return driver_table(df.sparkSession, {
         "variable": ("string", [r["variable"] for r in rows]),
         "difference": ("double", [r["difference"] for r in rows]),
         "t": ("double", [r["t"] for r in rows]),
         "df": ("double", [r["df"] for r in rows]),
         "p_value": ("double", p),
-        "label": ("string", [None if r["difference"] is None else text(r["difference"]) + stars(x)
+        "label": ("string", [None if r["difference"] is None else plain_number(r["difference"], 2) + stars(x)
                              for r, x in zip(rows, p, strict=True)]),
-        "t_label": ("string", [None if r["t"] is None else f"({text(r['t'])})" for r in rows]),
+        "t_label": ("string", [None if r["t"] is None else f"({plain_number(r['t'], 2)})" for r in rows]),
     })
 
 

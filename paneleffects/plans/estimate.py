@@ -10,9 +10,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.distributions import stars
+from ..functions.distributions import plain_number, stars
 from ..operators import effects, weights
 from ..operators.unit_table import SCENARIO, UnitTable, unit_tables
 from ..sources.stages import driver_table
@@ -61,9 +60,8 @@ class SyntheticDiD:
         for k in range(t):
             columns[f"_c{k}"] = ("double", [self.profiles[s].centre[k] for s in keys])
             columns[f"_l{k}"] = ("double", [self.profiles[s].weight[k] for s in keys])
-        shares = self.weighted.groupBy(SCENARIO).agg(F.avg("treated").alias("_p"))
-        rows = self.weighted.join(driver_table(self.weighted.sparkSession, columns), SCENARIO).join(
-            F.broadcast(shares), SCENARIO)  # one row per scenario
+        columns["_p"] = ("double", [self.profiles[s].share for s in keys])
+        rows = self.weighted.join(driver_table(self.weighted.sparkSession, columns), SCENARIO)
         pieces = ", ".join(
             f"struct({time} AS time, y_{k} AS outcome, y_{k} - _c{k} - {units.mean} AS outcome_twfe, "
             f"(treated - _p) * {float(first.post[k])!r}D AS treatment_twfe, "
@@ -89,9 +87,7 @@ class SyntheticDiD:
 
 def report_lines(spec: PanelSpec, e: effects.Estimate) -> list[tuple]:
     """(position, name, value, label) of one model, in report order."""
-    def text(x: float | None, digits: int) -> str | None:
-        return None if x is None else f"{round(x, digits):.{digits}f}".rstrip("0").rstrip(".")
-
+    text = plain_number
     lines = [
         (spec.treatment, e.tau, None if e.tau is None else text(e.tau, 2) + stars(e.p_value)),
         ("t", e.t_statistic, None if e.t_statistic is None else f"({text(e.t_statistic, 2)})"),
@@ -187,23 +183,18 @@ class Interaction:
     undefined_folds: int
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        def label(x, p):
-            return f"{round(x, 2):.2f}".rstrip("0").rstrip(".") + stars(p)
         return driver_table(df.sparkSession, {
             "model": ("string", [name] * 4),
             "position": ("int", [0, 1, 2, 3]),
             "name": ("string", ["tau", "tau t", "interaction", "interaction t"]),
             "value": ("double", [self.tau, self.tau_t, self.interaction, self.interaction_t]),
             "label": ("string", [
-                label(self.tau, self.tau_p), _plain(self.tau_t),
-                label(self.interaction, self.interaction_p), _plain(self.interaction_t)]),
+                plain_number(self.tau, 2) + stars(self.tau_p), plain_number(self.tau_t, 2),
+                plain_number(self.interaction, 2) + stars(self.interaction_p),
+                plain_number(self.interaction_t, 2)]),
         })
 
 
-def _plain(x: float | None) -> str | None:
-    return None if x is None else f"{round(x, 2):.2f}".rstrip("0").rstrip(".")
-
-
 def interaction_effect(
     model: SyntheticDiD, modifier: str, intercept: bool = False
 ) -> Interaction:

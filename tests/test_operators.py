@@ -6,7 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneleffects.functions.columns import is_finite, number_text, ratio, round_even, row_sum
-from paneleffects.functions.distributions import incomplete_beta, normal_quantile, student_t_two_sided
+from paneleffects.functions.distributions import (
+    incomplete_beta,
+    normal_quantile,
+    plain_number,
+    student_t_two_sided,
+)
 from paneleffects.operators import prep, reshape, summary
 from paneleffects.sources import files
 
@@ -145,6 +150,12 @@ def test_distributions():
     assert normal_quantile(0.975) == pytest.approx(1.959963985, abs=1e-9)
 
 
+def test_plain_numbers():
+    assert [plain_number(x, 2) for x in (2.0, 2.5, 0.005, -0.001, 100.0, 1e7, None)] == [
+        "2", "2.5", "0.01", "0", "100", "10000000", None]
+    assert plain_number(12.5, 0) == "12"
+
+
 def test_files_round_trip(spark, tmp_path):
     for year in (2002, 2003):
         df = spark.createDataFrame([("0361", float(year))], "GEO string, v double")
