@@ -458,7 +458,7 @@ def prediction_error_given_weights(spark, d):
     stats = weights.group_stats(units)
     equal = {0: weights.TimeWeightSolution(weights.np.full(4, 0.25), 0.0, True)}
     profiles = effects.time_profiles(units, stats, equal)
-    weighted = attach(units.data, ["treated"], {"size": F.sum("x_0")}).withColumns(
+    weighted = attach(units.data, ["treated"], {"size": F.sum("x_0")}, few_groups=True).withColumns(
         {"unit_weight": F.col("x_0") / F.col("size"), "unit_shift": F.lit(0.0)})
     _, groups = effects.effect_totals(weighted, units, stats, profiles)
     omega, lam, gaps, norm = effects.fit_diagnostics(units, stats[0], groups[0])

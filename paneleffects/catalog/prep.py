@@ -22,6 +22,7 @@ from .tables import (
     nation_flows,
     part_panel,
     rounded,
+    staged_part_panel,
     table,
 )
 
@@ -83,7 +84,7 @@ SELECT unit, time, outcome,
 FROM part_panel""")
 def spread_years(spark, d):
     out = prep.spread_periods(
-        part_panel(spark, d).select("unit", "time", "outcome", "quantity"),
+        staged_part_panel(spark, d).select("unit", "time", "outcome", "quantity"),
         ["outcome", "quantity"], [1995, 1998], "unit", "time")
     return out.drop("quantity", "quantity_1995")
 
@@ -147,7 +148,7 @@ def deflate(spark, d):
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"))
     index = prep.attach(
         yearly.withColumn("everything", F.lit(1)), ["everything"],
-        {"base": F.max(F.when(F.col("time") == TIME_PRE, F.col("price")))},
+        {"base": F.max(F.when(F.col("time") == TIME_PRE, F.col("price")))}, few_groups=True,
     ).select("time", F.round(F.col("base") / F.col("price"), 8).alias("ratio"))
     out = prep.deflate(part_panel(spark, d), ["outcome"], index, ["time"])
     return rounded(out, 4, "outcome").select("unit", "time", "outcome", "quantity")
@@ -167,7 +168,7 @@ SELECT unit, time, CAST(sum(p_size) OVER w AS BIGINT) AS area,
        outcome / sum(p_size) OVER w AS d_outcome
 FROM part_panel WINDOW w AS (PARTITION BY cluster, time)""")
 def area_totals(spark, d):
-    out = prep.area_totals(part_panel(spark, d), "p_size", "cluster", "time", "area")
+    out = prep.area_totals(staged_part_panel(spark, d), "p_size", "cluster", "time", "area")
     out = prep.shares(out, ["outcome"], "area", prefix="d")
     return out.select("unit", "time", "area", "d_outcome")
 

@@ -14,6 +14,7 @@ from .tables import (
     nation_flows,
     part_panel,
     rounded,
+    staged_part_panel,
     table,
 )
 
@@ -116,8 +117,8 @@ FROM (SELECT cluster, outcome / sum(outcome) OVER () AS w FROM part_panel) GROUP
 def weight_norm(spark, d):
     from ..operators.prep import attach
 
-    panel = attach(part_panel(spark, d).withColumn("everything", F.lit(1)), ["everything"],
-                   {"total": F.sum("outcome")})
+    panel = attach(staged_part_panel(spark, d).withColumn("everything", F.lit(1)), ["everything"],
+                   {"total": F.sum("outcome")}, few_groups=True)
     weights = panel.withColumn("w", F.col("outcome") / F.col("total"))
     return rounded(summary.weight_norm(weights, "w", ["cluster"]), 8, "norm")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import checked_small
 from ..spec import PanelSpec
 
 
@@ -19,8 +20,8 @@ def twoway_demean(panel: DataFrame, spec: PanelSpec) -> DataFrame:
 
     The flag itself is kept as ``treatment_id``; the treatment column becomes the masked
     one. Unit means come from a window over the unit's few periods. Time means hold a
-    large share of the rows each, so they are aggregated first and joined back as a
-    table of one row per period.
+    large share of the rows each, so they are aggregated first (an action) and joined back
+    as a broadcast table of one row per period.
     """
     marked = panel.withColumn("treatment_id", F.col(spec.treatment)).withColumn(
         spec.treatment, mask_treatment(spec.treatment, spec.time, spec.time_pre))
@@ -37,7 +38,7 @@ def twoway_demean(panel: DataFrame, spec: PanelSpec) -> DataFrame:
         )
     )
     within_unit = Window.partitionBy(spec.unit)
-    joined = marked.join(times, F.col(spec.time).eqNullSafe(F.col("_time")))
+    joined = marked.join(checked_small(times), F.col(spec.time).eqNullSafe(F.col("_time")))
     return joined.select(
         *marked.columns,
         *[

@@ -4,7 +4,7 @@ Group values are attached by aggregating first and joining the result back
 (``attach``): partial aggregation shrinks a group of any size before the shuffle, and the
 join is a broadcast when the aggregate is small, else a shuffle join whose large keys
 adaptive execution can split. Windows are used only where the order of a unit's own
-periods matters.
+periods matters; they hold as many rows as the unit has periods.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import INFINITY, all_finite, ratio, row_sum
+from ..sources.stages import checked_small
 
 # ------------------------------------------------------------------ rows and missing values
 
@@ -44,14 +45,26 @@ def require_complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def attach(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
-    """Add group aggregates to every row of the group (NULL keys form a group)."""
+def attach(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], few_groups: bool = False
+) -> DataFrame:
+    """Add group aggregates to every row of the group.
+
+    ``few_groups`` is for coarse keys (areas, periods, treatment groups): the aggregate is
+    computed first and, if small, joined as a broadcast; NULL keys form a group. Otherwise
+    the keys are taken to be unit keys: a shuffle join on the aggregate's own
+    partitioning, and rows with a NULL key get NULL.
+    """
     names = [f"_key_{i}" for i in range(len(keys))]
     groups = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(
         *[c.alias(n) for n, c in values.items()])
-    match = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    pairs = [(F.col(k), F.col(n)) for k, n in zip(keys, names, strict=True)]
     kept = [c for c in df.columns if c not in values]
-    return df.select(*kept).join(groups, match).select(*kept, *values)
+    if few_groups:
+        joined = df.select(*kept).join(checked_small(groups), [a.eqNullSafe(b) for a, b in pairs])
+    else:
+        joined = df.select(*kept).join(groups, [a == b for a, b in pairs], "left")
+    return joined.select(*kept, *values)
 
 
 def complete_units(
@@ -59,8 +72,8 @@ def complete_units(
 ) -> DataFrame:
     """Rows with usable ``finite`` columns, of units that keep all ``periods`` rows."""
     usable = finite_rows(df, finite)
-    full = usable.groupBy(F.col(unit).alias("_unit")).count().filter(F.col("count") == periods)
-    return usable.join(full, F.col(unit).eqNullSafe(F.col("_unit")), "left_semi")
+    full = usable.groupBy(unit).count().filter(F.col("count") == periods).select(unit)
+    return usable.join(full, unit, "left_semi").select(*df.columns)
 
 
 # ------------------------------------------------------------------ prices, shares, densities
@@ -99,7 +112,7 @@ def sum_by_period(
 
 def area_totals(df: DataFrame, size: str, area: str, time: str, name: str) -> DataFrame:
     """Total ``size`` of the row's area in the row's period."""
-    return attach(df, [area, time], {name: F.sum(size)})
+    return attach(df, [area, time], {name: F.sum(size)}, few_groups=True)
 
 
 # ------------------------------------------------------------------ base periods and changes

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bracketed, finite_or_null, is_finite, number_text, ratio
 from ..functions.distributions import plain_number, stars, student_t_two_sided
-from ..sources.stages import driver_table, stage
+from ..sources.stages import checked_small, driver_table, stage
 
 
 def group_means(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -223,7 +223,8 @@ def weight_classes(
     df: DataFrame, treatment: str, cluster: str, high: DataFrame, name: str = "weight_class"
 ) -> DataFrame:
     """2 treated, 1 untreated in a listed high-weight cluster, 0 other untreated."""
-    marks = high.select(F.col(cluster).alias("_c")).distinct().withColumn("_high", F.lit(True))
+    marks = checked_small(
+        high.select(F.col(cluster).alias("_c")).distinct().withColumn("_high", F.lit(True)))
     joined = df.join(marks, F.col(cluster) == F.col("_c"), "left")
     label = (F.when(F.col(treatment) == 1, 2).when(F.col("_high"), 1)
              .when(F.col(treatment) == 0, 0))
@@ -245,7 +246,7 @@ def top_destinations(
     rank_by: str, by: Sequence[str] = (), k: int = 10,
 ) -> DataFrame:
     """Mean flows from the listed origins per destination; the k highest ranks per period."""
-    means = flows.join(origins.select(origin).distinct(), origin, "left_semi").groupBy(
+    means = flows.join(checked_small(origins.select(origin).distinct()), origin, "left_semi").groupBy(
         *by, destination).agg(*[F.avg(c).alias(c) for c in cols])
     return top_ranks(means, rank_by, k, by)
 

@@ -1,8 +1,8 @@
 """Reading input files, writing results, and staging intermediate tables."""
 from .files import cast_key, read_csv, read_dimension, read_parquet, read_periods, write_table
-from .stages import driver_table, stage
+from .stages import checked_small, driver_table, stage
 
 __all__ = [
-    "cast_key", "driver_table", "read_csv", "read_dimension", "read_parquet",
+    "cast_key", "checked_small", "driver_table", "read_csv", "read_dimension", "read_parquet",
     "read_periods", "stage", "write_table",
 ]

@@ -50,3 +50,18 @@ def driver_table(
     if cells > MAX_DRIVER_CELLS:
         raise ValueError(f"{cells} cells is too large for a driver-made table")
     return spark.createDataFrame(pa.table(arrays))
+
+
+# A table up to this many rows may be joined as a local relation, broadcast by its known size.
+SMALL_ROWS = 50_000
+
+
+def checked_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` as a local relation if it has at most ``max_rows`` rows, else ``df`` unchanged.
+
+    The planner then knows the size before it shuffles the large side of a join. Joining
+    on a handful of groups or periods by shuffle would put each group into one task.
+    Larger tables keep the shuffle join, where adaptive execution splits hot keys.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= max_rows else df

@@ -13,7 +13,7 @@ from paneleffects.functions.distributions import (
     student_t_two_sided,
 )
 from paneleffects.operators import prep, reshape, summary
-from paneleffects.sources import files
+from paneleffects.sources import files, stages
 
 NAN, INF = float("nan"), float("inf")
 
@@ -45,8 +45,17 @@ def test_row_sum_keeps_null_and_rounding_is_half_even(spark):
 
 def test_attach_keeps_rows_and_null_groups(spark):
     df = spark.createDataFrame([("x", 1), ("x", 3), (None, 5)], "g string, v int")
-    got = sorted((str(r["g"]), r["v"], r["s"]) for r in prep.attach(df, ["g"], {"s": F.sum("v")}).collect())
-    assert got == [("None", 5, 5), ("x", 1, 4), ("x", 3, 4)]
+    for few, lonely in ((True, 5), (False, None)):
+        out = prep.attach(df, ["g"], {"s": F.sum("v")}, few_groups=few)
+        got = sorted((str(r["g"]), r["v"], r["s"]) for r in out.collect())
+        assert got == [("None", 5, lonely), ("x", 1, 4), ("x", 3, 4)]
+
+
+def test_checked_small_leaves_large_tables_alone(spark):
+    df = spark.range(10)
+    assert stages.checked_small(df, 9) is df
+    small = stages.checked_small(df, 10)
+    assert small is not df and small.schema == df.schema and small.count() == 10
 
 
 def test_complete_units(spark):
