@@ -147,7 +147,7 @@ def unit_tables(
             F.expr("struct(" + ", ".join(
                 f"max(IF(time = {t}, out_{j}, NULL)) AS y_{j}_{k}"
                 for j in range(len(outcomes)) for k, t in enumerate(periods)) + ")").alias("y"),
-        ).select("*", "y.*").drop("y"),
+        ).select(F.lit(0).alias(SCENARIO), "*", "y.*").drop("y"),
         "units",
     )
 
@@ -172,7 +172,7 @@ def unit_tables(
         }
         faults += [F.count_if(kept & bad).alias(f"{i}|{name}") for name, bad in checks.items()]
         data = wide.filter(kept).select(
-            F.lit(0).alias(SCENARIO),
+            SCENARIO,  # stored, so that parameter tables join on it by hash
             "unit",
             F.col("treated.value").alias("treated"),
             "cluster",
