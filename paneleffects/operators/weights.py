@@ -9,6 +9,9 @@ plus one: with B_ri = sqrt(v_r)(A_ri - b_r), the weights are w_i = max(0, mu - q
     f(q, mu) = eta/2 |q|^2 + 1/2 sum_i max(0, mu - q'B_i)^2 - mu,   c'q = 0
 is convex and piecewise quadratic. Newton steps on f need sums over the active units
 only (count, sum B, sum BB'): one aggregate per step, whatever the number of units.
+When the ridge all but vanishes against the outcome's scale (large units, no covariates)
+and the treated path lies outside the controls, rounding limits single weights to about
+1e-5; ``residual`` reports it and the weights are scaled to sum to one.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from .moments import NATIVE_PRODUCTS, Moments, dot, moment_pass
 from .unit_table import SCENARIO, UnitTable
 
 POST = "post_mean"
+SHORTEST_CUT = 1e-8  # of a step that went too far, per pass
 
 
 class WeightError(ValueError):
@@ -148,12 +152,13 @@ class _Newton:
             if value > self.value + 1e-4 * self.length * slope + slack:
                 here = grad @ self.step  # derivative along the step, grows with the length
                 cut = -slope / (here - slope) if here > slope else 0.5
-                self.length *= min(max(cut, 0.1), 0.5)
-                if self.length < 1e-10:
+                self.length *= min(max(cut, SHORTEST_CUT), 0.5)
+                if self.length < 1e-14:
                     self.done = True
                 return
         full = self.step is not None and self.length == 1.0
         same_active = full and m.n == self.active
+        settled = same_active and abs(value - self.value) <= 1e-13 * abs(value)
         self.q, self.mu, self.value, self.grad = q, mu, value, grad
         self.active = m.n
         r = len(q)
@@ -175,7 +180,9 @@ class _Newton:
         self.residual = float(np.max(np.abs(gap)))
         self.step, self.length = solution[:-1], 1.0
         move = float(abs(grad @ self.step))
-        if self.residual <= 1e-12 or (same_active and self.residual <= 1e-9) or move <= 1e-24:
+        # the last two: nothing left to gain but rounding, as with a vanishing ridge
+        if (self.residual <= 1e-12 or (same_active and self.residual <= 1e-9)
+                or move <= 1e-24 or settled):
             self.done = True
 
 
@@ -246,7 +253,7 @@ def solve_unit_weights(
         if not 0.99 <= total <= 1.01:
             raise WeightError(f"scenario {s}: unit weights sum to {total}")
         result[s] = UnitWeightSolution(
-            state.mu, state.q / scale, target, -state.nu * unit0,
+            state.mu / total, state.q / scale / total, target, -state.nu * unit0,
             stats[s].n[1], zeta, eta, state.passes, state.residual,
         )
     return result

@@ -214,3 +214,26 @@ def test_cluster_weights_keep_ties_and_total(spark):
     assert sorted(r["cluster"] for r in got) == ["Total", "c0", "c1", "c2"]
     total = [r for r in got if r["is_total"]][0]
     assert total["cluster_weight"] == pytest.approx(0.7)
+
+
+@pytest.mark.parametrize("scale,slope", [(1e5, 3.0), (1e5, 0.4), (1.0, 3.0)])
+def test_weak_ridge_and_a_treated_path_outside_the_controls(spark, scale, slope):
+    """Large outcome units make the ridge almost vanish; few controls stay active."""
+    y, d, x, g = arrays(60, 5, 5, 6, 4.0)
+    y = (y + slope * np.outer(d, np.arange(5))) * scale
+    units = unit_table(frame(spark, y, d, x, g), SPEC)
+    stats = weights.group_stats(units)
+    s = weights.solve_unit_weights(units, stats, weights.control_moments(units, stats))[0]
+    a, b = y[d == 0, :3].T, y[d == 1, :3].mean(0)
+    w = np.maximum(0.0, s.mu - (a.T - s.target) @ s.slope)
+    common = a.var(axis=1, ddof=1).mean()
+    best, shift = brute.unit_weights(
+        a / np.sqrt(common), b / np.sqrt(common), np.ones(3), np.ones(3), s.eta / common)
+
+    def loss(w, shift):
+        return np.sum((shift + a @ w - b) ** 2) / common + s.eta / common * w @ w
+
+    assert w.sum() == pytest.approx(1.0, abs=1e-4 if s.residual > 1e-9 else 1e-9)
+    assert s.residual < 1e-3
+    ours, theirs = loss(w, s.shift), loss(best, shift * np.sqrt(common))
+    assert ours <= theirs * (1 + 1e-4) + 1e-12
