@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import effects, weights
 from ..operators.demean import twoway_demean, twoway_effect
 from ..operators.unit_table import SCENARIO
-from ..plans.estimate import fit, interaction_effect
+from ..plans.estimate import fit, interaction_effect, time_weight_table
 from ..sources.stages import driver_table
 from . import query
 from .tables import (
@@ -193,7 +193,9 @@ def unit_weights(spark, d):
 SELECT CAST(time AS INTEGER) AS time, round(time_weight, 8) AS time_weight, round(time_shift, 2) AS time_shift FROM tw""")
 def time_weights(spark, d):
     units = part_units(spark, d)
-    out = fit(units, jackknife=False).time_weights().drop(SCENARIO)
+    stats = weights.group_stats(units)
+    solved = weights.solve_time_weights(units, stats, weights.control_moments(units, stats))
+    out = time_weight_table(spark, units, effects.time_profiles(units, stats, solved)).drop(SCENARIO)
     return rounded(rounded(out, 8, "time_weight"), 2, "time_shift")
 
 

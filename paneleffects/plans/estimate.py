@@ -7,9 +7,10 @@ control moments, one per Newton step (usually one to five), effect totals, jackk
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.distributions import plain_number, stars
 from ..operators import effects, weights
@@ -38,15 +39,7 @@ class SyntheticDiD:
         return self.weighted.select(SCENARIO, "unit", "treated", "unit_weight", "unit_shift")
 
     def time_weights(self) -> DataFrame:
-        cells = [(s, k, t) for s in self.profiles for k, t in enumerate(self.units.periods)]
-        pre = set(self.units.pre)
-        return driver_table(self.weighted.sparkSession, {
-            SCENARIO: ("int", [s for s, _, _ in cells]),
-            "time": ("int", [t for _, _, t in cells]),
-            "time_weight": ("double", [self.profiles[s].weight[k] for s, k, _ in cells]),
-            "time_shift": ("double", [self.profiles[s].shift if k in pre else 0.0
-                                      for s, k, _ in cells]),
-        })
+        return time_weight_table(self.weighted.sparkSession, self.units, self.profiles)
 
     def clusters(self, top: int = 10) -> DataFrame:
         return effects.cluster_weights(self.weighted, top)
@@ -85,6 +78,20 @@ class SyntheticDiD:
         })
 
 
+def time_weight_table(
+    spark: SparkSession, units: UnitTable, profiles: Mapping[int, effects.TimeProfile]
+) -> DataFrame:
+    """Weight and level shift of every period."""
+    cells = [(s, k, t) for s in profiles for k, t in enumerate(units.periods)]
+    pre = set(units.pre)
+    return driver_table(spark, {
+        SCENARIO: ("int", [s for s, _, _ in cells]),
+        "time": ("int", [t for _, _, t in cells]),
+        "time_weight": ("double", [profiles[s].weight[k] for s, k, _ in cells]),
+        "time_shift": ("double", [profiles[s].shift if k in pre else 0.0 for s, k, _ in cells]),
+    })
+
+
 def report_lines(spec: PanelSpec, e: effects.Estimate) -> list[tuple]:
     """(position, name, value, label) of one model, in report order."""
     text = plain_number
@@ -165,7 +172,9 @@ def many_models(
 ) -> list[SyntheticDiD]:
     """Several outcomes or covariate sets over one panel, from one shuffle of the panel."""
     tables = unit_tables(panel, specs, periods, incomplete)
-    return [fit(u, cluster_errors, jackknife) for u in tables]
+    # the models are independent and their passes short: let their jobs overlap
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return list(pool.map(lambda u: fit(u, cluster_errors, jackknife), tables))
 
 
 @dataclass(frozen=True)
