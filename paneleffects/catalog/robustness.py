@@ -118,16 +118,57 @@ def pscore_trim(spark, d):
 @query()
 def many_outcomes(spark, d):
     """Two outcomes, each without and with covariates, side by side."""
-    models = many_models(part_panel(spark, d), [
+    return robustness.results_side_by_side(_four_models(spark, d))
+
+
+def _four_models(spark, d, jackknife=True):
+    return many_models(part_panel(spark, d), [
         PART.with_(name="revenue", covariates=("p_size",)),
         PART.with_(name="revenue_covs"),
         PART.with_(name="quantity", outcome="quantity", covariates=("p_size",)),
         PART.with_(name="quantity_covs", outcome="quantity"),
-    ], periods=PERIODS, incomplete="drop")
-    return robustness.results_side_by_side(models)
+    ], jackknife=jackknife, periods=PERIODS, incomplete="drop")
 
 
-@query()
+def _chain_sql(outcome: str, rows: list[str], covariates: tuple[str, ...], tail: str) -> str:
+    """The weighted estimate of one model as a subquery ending in ``tail``."""
+    base = PART_RECURSIVE.replace(
+        "panel AS (SELECT * FROM part_panel",
+        f"panel AS (SELECT unit, time, {outcome} AS outcome, treated, cluster, p_size, p_retailprice FROM part_panel")
+    return (base + units_sql(rows) + unit_weights_sql(len(rows), 250) + time_weights_sql(900)
+            + ", rows AS (SELECT panel.*, unit_weight, time_weight, unit_shift, time_shift, "
+              "unit_weight * time_weight AS w FROM panel JOIN uw USING (unit) JOIN tw USING (time))"
+            + slope_sql("effect", "rows") + diagnostics_sql(covariates) + tail)
+
+
+_LABELS = f"""SELECT 'treated' AS name, {number_sql('tau', 2)} AS label FROM effect
+UNION ALL SELECT name, CASE WHEN name IN ('Units', 'Observations') THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
+    ELSE {number_sql('value', 4)} END FROM lines UNION ALL SELECT 't', NULL"""
+_MODELS = {
+    "revenue": ("outcome", PART_ROWS[:5], ("p_size",)),
+    "revenue_covs": ("outcome", PART_ROWS, PART.covariates),
+    "quantity": ("quantity", PART_ROWS[:5], ("p_size",)),
+    "quantity_covs": ("quantity", PART_ROWS, PART.covariates),
+}
+_SIDE_BY_SIDE_SQL = "SELECT name, " + ", ".join(
+    f"max(CASE WHEN model = '{m}' THEN label END) AS {m}" for m in _MODELS) + " FROM (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, * FROM ({_chain_sql(*parts, _LABELS)})" for m, parts in _MODELS.items()
+) + ") GROUP BY name"
+
+
+@query(_SIDE_BY_SIDE_SQL)
+def many_outcomes_point(spark, d):
+    """The side-by-side table without errors (no jackknife): effects and diagnostics."""
+    return robustness.results_side_by_side(_four_models(spark, d, jackknife=False))
+
+
+_TOP_SQL = """, sums AS (SELECT cluster, sum(unit_weight) AS v FROM (
+    SELECT DISTINCT unit, cluster, unit_weight FROM rows WHERE treated = 0) GROUP BY cluster)
+SELECT cluster FROM (SELECT *, dense_rank() OVER (ORDER BY v DESC) AS r FROM sums) WHERE r <= 3"""
+
+
+@query(" UNION ".join(
+    f"SELECT cluster FROM ({_chain_sql(*_MODELS[m], _TOP_SQL)})" for m in ("revenue_covs", "quantity_covs")))
 def leading_cluster_union(spark, d):
     models = many_models(part_panel(spark, d), [
         PART, PART.with_(name="quantity", outcome="quantity")],
