@@ -56,7 +56,7 @@ def coordinate_descent(
         moved = 0.0
         for j in np.flatnonzero(live):
             part = c[j] - g[j] @ b + b[j]
-            new = math.copysign(max(abs(part) - lam[j], 0.0), part)
+            new = math.copysign(max(abs(part) - lam[j], 0.0), part) + 0.0  # no signed zero
             moved, b[j] = max(moved, abs(new - b[j])), new
         if moved <= 1e-14 * size:
             break
