@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, sharding
+from . import decontamination, exact_dedup, jaccard_join, packing, sharding
 from .tasks import read_table
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public vocabulary file on this machine; the executors have it there too."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.decontaminate(
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, folder, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, folder, "documents"))
 
@@ -23,7 +34,12 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, folder, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op6_exact_dedup, op7_sharding)
+    f.__name__: f for f in (
+        op2_decontamination, op5_jaccard_join, op6_exact_dedup, op7_sharding, op9_best_fit_packing)
 }
 SQL = {"op2_decontamination": decontamination.SQL, "op6_exact_dedup": exact_dedup.SQL}

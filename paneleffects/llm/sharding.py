@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import stage
+from .tasks import importable, stage
 
 #: Multiplier of the published generator.
 LCG = np.uint64(2862933555777941757)
@@ -72,6 +72,7 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     Slots come from ranges of doc_id: each task numbers its own rows, and a table of
     partitions x shards counts holds the offsets, so no shard passes through one task.
     """
+    importable(docs.sparkSession)
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
