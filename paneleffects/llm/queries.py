@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, jaccard_join, packing, sharding
+from . import decontamination, exact_dedup, jaccard_join, language_id, packing, quality, sharding
 from .tasks import read_table
 
 
@@ -22,6 +22,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify_languages(read_table(spark, folder, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, folder, "documents"))
 
@@ -34,12 +38,17 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, folder, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_decontamination, op5_jaccard_join, op6_exact_dedup, op7_sharding, op9_best_fit_packing)
+        op2_decontamination, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_sharding,
+        op8_quality_classifier, op9_best_fit_packing)
 }
 SQL = {"op2_decontamination": decontamination.SQL, "op6_exact_dedup": exact_dedup.SQL}
