@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, packing, quality, sharding
+from . import (
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    license_scan,
+    packing,
+    quality,
+    sharding,
+)
 from .tasks import read_table
 
 
@@ -17,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.decontaminate(
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
@@ -48,7 +61,7 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_decontamination, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_sharding,
+        op1_license_scan, op2_decontamination, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_sharding,
         op8_quality_classifier, op9_best_fit_packing)
 }
 SQL = {"op2_decontamination": decontamination.SQL, "op6_exact_dedup": exact_dedup.SQL}
