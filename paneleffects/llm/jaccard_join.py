@@ -28,16 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .regions import COARSE, LEAF, KeyBlock, link_regions, members_of
 from .tasks import importable, stage
 from .text import chunks, mix, shingles_of, words_of
 
-COARSE = 64
-#: Keys a task gathers before it combines them.
-BLOCK_KEYS = 1 << 21
-#: Classes of a cell that are compared in one task, and pivots of a division.
-LEAF, PIVOTS = 2048, 8
-
 
 @dataclass(frozen=True)
 class Limit:
@@ -61,11 +55,16 @@ class Limit:
         """The largest symmetric difference of linked sets of these sizes."""
         return (self.den - self.num) * (x + y) // (self.den + self.num)
 
+    def highest(self, n: np.ndarray) -> np.ndarray:
+        return n * self.den // self.num
+
     def sizes_fit(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.minimum(x, y) * self.den >= np.maximum(x, y) * self.num
 
-    def linked(self, common: int, x: int, y: int) -> bool:
-        return self.den * common >= self.num * (x + y - common)
+    def linked(self, x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return self.den * common >= self.num * (len(a) + len(b) - common)
 
 
 def _sets(chunk: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -92,39 +91,11 @@ def _describe(limit: Limit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def _keys(limit: Limit, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Ring and part keys of every set, combined within the task.
-
-    Of the classes that share a key in a block only the smallest goes on to meet the other
-    blocks; the others are members already. So a hot key brings one entry for each block.
-    """
+    """Ring and part keys of every set."""
     low, parts = limit.rings()
 
-    def flush(keys: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not keys:
-            return
-        key, cls = np.concatenate(keys), np.concatenate(classes)
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-        key, cls = key[new], cls[new]
-        lead = np.r_[True, key[1:] != key[:-1]]
-        many = ~lead | ~np.r_[lead[1:], True]
-        kind = np.where(lead, np.where(many, 2, 0), 1).astype(np.int8)
-        bucket = (np.where(lead, key, mix(key ^ cls.view(np.uint64))) >> np.uint64(17)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        key, cls, kind = key[order], cls[order], kind[order]
-        rows = [(b, key[x:y].tobytes(), cls[x:y].tobytes(), kind[x:y].tobytes())
-                for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(
-                zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-            ["bucket", "keys", "classes", "kinds"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        classes: list[np.ndarray] = []
-        held = 0
+        block = KeyBlock(buckets)
         for b in batches:
             for c in chunks(b):
                 sets = [s for s in _sets(c, limit.width) if len(s)]
@@ -143,36 +114,13 @@ def _keys(limit: Limit, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     np.add.at(acc, np.repeat(at, n)[on] + slot.astype(np.int64), mix(flat[on]))
                     doc = np.repeat(np.arange(len(n)), m)
                     part = (np.arange(len(acc)) - at[doc]).astype(np.uint64)
-                    keys.append(mix(acc ^ mix(part * np.uint64(1 << 20) + k[doc].astype(np.uint64))))
-                    classes.append(cls[doc])
-                    held += len(acc)
-                if held > BLOCK_KEYS:
-                    yield from flush(keys, classes)
-                    keys, classes, held = [], [], 0
-        yield from flush(keys, classes)
+                    key = mix(acc ^ mix(part * np.uint64(1 << 20) + k[doc].astype(np.uint64)))
+                    yield from block.add(key, cls[doc], np.ones(len(key), bool))
+        yield from block.flush()
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Members (key, class) of the keys of one bucket that several classes have."""
-    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-    key, cls, kind = read("keys", np.int64), read("classes", np.int64), read("kinds", np.int8)
-    order = np.lexsort((cls, key))
-    key, cls, kind = key[order], cls[order], kind[order]
-    lead = kind != 1
-    k, c = key[lead], cls[lead]
-    start = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    run = np.cumsum(start) - 1
-    differ = np.zeros(len(k), bool)
-    if len(k):
-        first = c[np.flatnonzero(start)][run]
-        differ = np.bincount(run, weights=c != first)[run] > 0
-    out = ~lead
-    out[lead] = differ | (kind[lead] == 2)
-    return pa.table({"key": key[out], "class": cls[out]})
-
-
 def _arrays(limit: Limit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,157 +140,6 @@ def _arrays(limit: Limit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _far(blobs: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.int32) for x in blobs.to_pylist()]) if len(blobs) else np.zeros((0, COARSE), np.int32)
-
-
-def _possible(limit: Limit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs that their sizes and their distances to the fixed pivots allow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column("n").to_numpy(), b.column("m").to_numpy()
-            ok = limit.sizes_fit(x, y)
-            near = np.abs(_far(b.column("far")) - _far(b.column("far_b"))).sum(axis=1)
-            ok &= near <= limit.bound(x, y)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    return run
-
-
-def _verify(limit: Limit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            common = []
-            for x, y in zip(b.column("set"), b.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common.append(limit.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            yield b.select(["a", "b"]).filter(pa.array(common, pa.bool_()))
-
-    return run
-
-
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal ``keys`` of sorted batches, as tables of bounded groups."""
-    rest: pa.Table | None = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-        if not t.num_rows:
-            continue
-        change = np.zeros(t.num_rows - 1, bool)
-        for k in keys:
-            v = t[k].to_numpy()
-            change |= v[1:] != v[:-1]
-        cut = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for a, z in zip(cut[:-1], cut[1:], strict=True):
-            yield t.slice(a, z - a)
-        rest = t.slice(cut[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
-def _leaf(limit: Limit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cross-component pairs of each cell or tile pair that sizes and distance bounds allow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["key", "cell", "tile"]):
-            order = np.argsort(t["n"].to_numpy(), kind="stable")
-            t = t.take(pa.array(order))
-            n, cls, root, side = (t[c].to_numpy() for c in ("n", "class", "root", "side"))
-            if root.min() == root.max():
-                continue
-            far = _far(t["far"])
-            to_pivot = np.abs(far - far[0]).sum(axis=1)
-            found = []
-            top = np.searchsorted(n, n * limit.den // limit.num, side="right")
-            for i in range(len(n)):
-                j = np.arange(i + 1, top[i])
-                j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (side[j] == 0))]
-                most = limit.bound(n[i], n[j])
-                j = j[np.abs(to_pivot[j] - to_pivot[i]) <= most]  # triangle inequality at the first pivot
-                j = j[np.abs(far[j] - far[i]).sum(axis=1) <= limit.bound(n[i], n[j])]
-                if len(j):
-                    found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
-            if found:
-                pairs = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return run
-
-
-def _cells(limit: Limit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each class to its nearest pivot's cell and to the cells its window reaches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            far, n = _far(b.column("far")), b.column("n").to_numpy()
-            take, cells = [], []
-            for i, pivots in enumerate(b.column("pivots").to_pylist()):
-                d = np.abs(np.stack([np.frombuffer(p, np.int32) for p in pivots]) - far[i]).sum(axis=1)
-                # a partner within r of x has its nearest pivot at most 2 r farther from x than x's own
-                reach = np.flatnonzero(d <= d.min() + 2 * (n[i] * (limit.den - limit.num) // limit.num))
-                take += [i] * len(reach)
-                cells += reach.tolist()
-            out = b.select(["key", "class", "root", "n", "far", "cell", "size"]).take(pa.array(take, pa.int64()))
-            parent = out.column("cell").to_numpy().view(np.uint64)
-            cell = mix(parent * np.uint64(PIVOTS) + np.array(cells, np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(cell, pa.int64())],
-                ["key", "class", "root", "n", "far", "parent", "size", "cell"])
-
-    return run
-
-
-_ROW = "key bigint, class bigint, root bigint, n bigint, far binary, parent bigint, size bigint, cell bigint"
-
-
-def _tiles(large: DataFrame, leaf: int) -> DataFrame:
-    """Rows of cells that no pivot divides, for each pair of tiles of bounded size."""
-    t = large.withColumn("tiles", F.ceil(F.col("size") / leaf)).withColumn(
-        "own", F.pmod(F.xxhash64("class"), F.col("tiles")))
-    t = t.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
-    return t.selectExpr(
-        "key", "class", "root", "n", "far", "cell", "least(own, other) * tiles + greatest(own, other) AS tile",
-        "CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END AS side")
-
-
-def _cross_pairs(rows: DataFrame, limit: Limit, leaf: int) -> DataFrame:
-    """Pairs of different components within regions (key), by Voronoi division of large ones.
-
-    A division counts if it at least halves the pairs left to test; else the cell is tiled.
-    """
-    groups: list[DataFrame] = []
-    cells = rows
-    while True:
-        sizes = cells.groupBy("key", "cell").agg(
-            F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-        sized = cells.join(sizes.where("low != high").select("key", "cell", "size"), ["key", "cell"])
-        small = sized.where(F.col("size") <= leaf)
-        groups.append(small.selectExpr(
-            "key", "class", "root", "n", "far", "cell", "CAST(0 AS bigint) AS tile", "0 AS side"))
-        large = sized.where(F.col("size") > leaf)
-        if not large.limit(1).count():
-            break
-        large = stage(large, "large-cells")
-        ranked = large.select("key", "cell", F.struct(F.xxhash64("class", "cell").alias("h"), "far").alias("p"))
-        chosen = ranked.groupBy("key", "cell", F.pmod(F.col("p.h"), F.lit(PIVOTS)).alias("k")).agg(F.min("p").alias("p"))
-        pivots = chosen.groupBy("key", "cell").agg(F.transform(F.collect_list("p"), lambda p: p["far"]).alias("pivots"))
-        split = stage(
-            large.join(pivots, ["key", "cell"]).select("key", "class", "root", "n", "far", "cell", "size", "pivots")
-            .mapInArrow(_cells(limit), _ROW), "cells")
-        left = split.groupBy("key", "parent", "size", "cell").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy(
-            "key", "parent", "size").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
-        better = left.where("work <= 0.5 * size * size").selectExpr("key", "parent")
-        groups.append(_tiles(large.join(better.withColumnRenamed("parent", "cell"), ["key", "cell"], "left_anti"), leaf))
-        cells = split.join(better, ["key", "parent"]).select("key", "class", "root", "n", "far", "cell")
-    every = groups[0]
-    for g in groups[1:]:
-        every = every.union(g)
-    dealt = every.repartition("key", "cell", "tile").sortWithinPartitions("key", "cell", "tile")
-    return dealt.mapInArrow(_leaf(limit), "a bigint, b bigint").distinct()
-
-
 def jaccard_links(docs: DataFrame, limit: Limit = Limit(), leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """(documents with n_shingles and class, components of linked classes as node and root)."""
     spark = docs.sparkSession
@@ -352,8 +149,7 @@ def jaccard_links(docs: DataFrame, limit: Limit = Limit(), leaf: int = LEAF) ->
     known = stage(texts.mapInArrow(_describe(limit), f"doc_id {kind}, n_shingles bigint, class bigint"), "sets")
 
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = texts.mapInArrow(_keys(limit, buckets), "bucket int, keys binary, classes binary, kinds binary")
-    members = stage(keyed.groupBy("bucket").applyInArrow(_meet, "key bigint, class bigint"), "regions")
+    members = members_of(texts.mapInArrow(_keys(limit, buckets), KeyBlock.SCHEMA))
 
     active = members.select("class").distinct()
     first = known.join(active, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -361,32 +157,7 @@ def jaccard_links(docs: DataFrame, limit: Limit = Limit(), leaf: int = LEAF) ->
         texts.join(first, texts["doc_id"].eqNullSafe(first["doc_id"])).select(texts["text"], first["class"])
         .mapInArrow(_arrays(limit), "class bigint, n bigint, far binary, set binary").dropDuplicates(["class"]),
         "active-sets")
-    light = sets.select("class", "n", "far")
-
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        x = sets.select(F.col("class").alias("a"), "set")
-        y = sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
-        return stage(pairs.join(x, "a").join(y, "b").select("a", "b", "set", "set_b")
-                     .mapInArrow(_verify(limit), "a bigint, b bigint"), label)
-
-    pivot = members.groupBy("key").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("size"))
-    star = members.join(pivot, "key").where("class != a").select("a", F.col("class").alias("b")).distinct()
-    star = (
-        star.join(light.withColumnRenamed("class", "a"), "a")
-        .join(light.selectExpr("class AS b", "n AS m", "far AS far_b"), "b")
-        .mapInArrow(_possible(limit), "a bigint, b bigint"))
-    links = verified(star, "pivot-links")
-    roots = components(links)
-
-    # the pivot has met every class of its region; larger regions may still hold pairs
-    open_rows = (
-        members.join(pivot.where("size > 2").select("key"), "key")
-        .join(roots.withColumnRenamed("node", "class"), "class", "left").join(light, "class")
-        .select("key", "class", F.coalesce("root", "class").alias("root"), "n", "far", F.lit(0).cast("bigint").alias("cell")))
-    more = verified(_cross_pairs(stage(open_rows, "open-regions"), limit, leaf), "cell-links")
-    if more.limit(1).count():
-        roots = components(links.union(more))
-    return known, roots
+    return known, link_regions(members, sets, limit, leaf)
 
 
 def jaccard_components(docs: DataFrame, limit: Limit = Limit(), leaf: int = LEAF) -> DataFrame:
