@@ -27,6 +27,10 @@ CACHE_WORDS = 400_000
 # A word of these characters is cut into letter runs, digits and other runs whatever stands
 # beside it, so its parts can be looked up alone. Apostrophes and "<" are left to the tokenizer.
 _PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+# Byte-level symbols: printable bytes stand for themselves, the others follow from U+0100 on.
+_OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SYMBOLS = {b: chr(b) for b in _OWN} | {
+    b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -42,30 +46,37 @@ class WordIds:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.words: dict[str, int] = {"": 0}
-        self.parts: dict[str, np.ndarray] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merge(self, part: str) -> list[int]:
+        """Ids of a part the tokenizer would not cut or change: byte symbols, then its merges."""
+        symbols = part if part.isascii() else "".join(map(_SYMBOLS.__getitem__, part.encode()))
+        return [t.id for t in self.model.tokenize(symbols)]
 
     def _learn(self, words: list[str]) -> None:
         cut = [_PARTS.findall(w.lower()) if _PLAIN.fullmatch(w) else None for w in words]
-        new = list({p for parts in cut if parts for p in parts} - self.parts.keys())
-        self.parts.update(zip(new, self._encode(new), strict=True))
+        for parts in cut:
+            for part in parts or ():
+                if part not in self.parts:
+                    self.parts[part] = self._merge(part)
         whole = iter(self._encode([w for w, parts in zip(words, cut, strict=True) if parts is None]))
         ids = [next(whole) if parts is None else
-               self.parts[parts[0]] if len(parts) == 1 else np.concatenate([self.parts[p] for p in parts])
+               self.parts[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.parts[p]]
                for parts in cut]
         n, sizes = len(self.words), np.array([len(x) for x in ids], np.int64)
         while len(self.begin) < n + len(words):
             self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
-        joined = np.concatenate(ids)
+        joined = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
         while len(self.flat) < self.used + len(joined):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used:self.used + len(joined)] = joined
@@ -133,67 +144,78 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
 
 
 class Packing:
-    """Bins of item numbers; the genetic operators keep every item in exactly one bin."""
+    """Item numbers by bin, with loads; every operator keeps each item in exactly one bin."""
 
     def __init__(self, sizes: np.ndarray, capacity: int) -> None:
-        self.sizes, self.capacity = sizes, capacity
+        self.sizes, self.capacity = sizes.tolist(), capacity
         self.bound = -(-int(sizes.sum()) // capacity)
 
-    def place(self, bins: list[list[int]], items: list[int]) -> list[list[int]]:
+    def place(self, bins: list[list[int]], loads: list[int], items: list[int]) -> Individual:
         """Best fit: each item goes to the fullest bin that has room for it."""
         sizes, capacity = self.sizes, self.capacity
-        rooms = sorted((capacity - int(sizes[b].sum()), k) for k, b in enumerate(bins))
+        rooms = sorted((capacity - load, k) for k, load in enumerate(loads) if load < capacity)
         for item in items:
-            size = int(sizes[item])
+            size = sizes[item]
             at = bisect_left(rooms, (size, -1))
             if at < len(rooms):
                 room, k = rooms.pop(at)
                 bins[k].append(item)
+                loads[k] += size
             else:
                 room, k = capacity, len(bins)
                 bins.append([item])
+                loads.append(size)
             if room > size:
                 insort(rooms, (room - size, k))
-        return bins
-
-    def seed(self, rng: np.random.Generator, noise: float) -> list[list[int]]:
-        order = np.argsort(-self.sizes * (1 + noise * rng.random(len(self.sizes))), kind="stable")
-        return self.place([], order.tolist())
+        return Individual(bins, loads)
 
-    def fill(self, bins: list[list[int]]) -> np.ndarray:
-        return np.array([self.sizes[b].sum() for b in bins]) / self.capacity
+    def seed(self, rng: np.random.Generator, noise: float) -> Individual:
+        order = np.argsort(-np.array(self.sizes) * (1 + noise * rng.random(len(self.sizes))), kind="stable")
+        return self.place([], [], order.tolist())
 
-    def fitness(self, bins: list[list[int]]) -> float:
-        """Falkenauer's mean squared fill; fewer and fuller bins score higher."""
-        return float((self.fill(bins) ** 2).sum() / max(len(bins), 1))
+    def of_bins(self, bins: list[list[int]]) -> Individual:
+        return Individual(bins, [sum(map(self.sizes.__getitem__, b)) for b in bins])
 
-    def cross(self, giver: list[list[int]], taker: list[list[int]], rng: np.random.Generator) -> list[list[int]]:
+    def cross(self, giver: Individual, taker: Individual, rng: np.random.Generator) -> Individual:
         """Injects the giver's well-filled bins whole, drops the taker's bins that hold their
         items, and best-fits the documents this displaces."""
-        fill = self.fill(giver)
-        best = np.argsort(-fill + 0.01 * rng.random(len(fill)))[: max(1, len(fill) // 2)]
-        inject = [list(giver[k]) for k in best]
-        taken = {i for b in inject for i in b}
-        keep = [list(b) for b in taker if taken.isdisjoint(b)]
-        held = taken.union(*keep)
+        fill = np.array(giver.loads) / self.capacity
+        best = np.argsort(-fill + 0.01 * rng.random(len(fill)))[: max(1, len(fill) // 2)].tolist()
+        bins, loads = [list(giver.bins[k]) for k in best], [giver.loads[k] for k in best]
+        held = {i for b in bins for i in b}
+        taken = frozenset(held)
+        for b, load in zip(taker.bins, taker.loads, strict=True):
+            if taken.isdisjoint(b):
+                bins.append(list(b))
+                loads.append(load)
+                held.update(b)
         loose = [i for i in range(len(self.sizes)) if i not in held]
         loose.sort(key=lambda i: -self.sizes[i])
-        return self.place(inject + keep, loose)
+        return self.place(bins, loads, loose)
 
-    def evolve(self, population: list[list[list[int]]], rng: np.random.Generator, size: int, children: int) -> list[list[list[int]]]:
-        while len(population) < size and not (population and len(min(population, key=len)) <= self.bound):
+    def evolve(self, population: list[Individual], rng: np.random.Generator, size: int, children: int) -> list[Individual]:
+        """Seeds up to ``size`` individuals, then breeds; ends at once at the lower bound."""
+        while len(population) < size and not (population and min(x.rank for x in population)[0] <= self.bound):
             population.append(self.seed(rng, 0.05 * len(population)))
-        population.sort(key=lambda b: (len(b), -self.fitness(b)))
+        population.sort(key=lambda x: x.rank)
         for _ in range(children):
-            if len(population[0]) <= self.bound or len(population) < 2:
+            if population[0].rank[0] <= self.bound or len(population) < 2:
                 break
             a, b = rng.choice(len(population), 2, replace=False)
             population.append(self.cross(population[a], population[b], rng))
-            population.sort(key=lambda x: (len(x), -self.fitness(x)))
+            population.sort(key=lambda x: x.rank)
             del population[size:]
         return population
 
 
+class Individual:
+    """A packing; it ranks by fewer bins, then by fuller ones (the mean squared load)."""
+
+    def __init__(self, bins: list[list[int]], loads: list[int]) -> None:
+        self.bins, self.loads = bins, loads
+        self.rank = (len(bins), -sum(x * x for x in loads))
+
+
 def _bins_to_bytes(bins: list[list[int]], n: int) -> bytes:
     of = np.zeros(n, np.int32)
     for k, b in enumerate(bins):
@@ -224,12 +246,14 @@ def _epoch(first: bool, capacity: int, epoch: int) -> Callable[[pa.Table], pa.Ta
             pieces = table["pieces"][0].as_py()
             sizes = np.frombuffer(table["sizes"][0].as_py(), np.int64)
             population = [_bytes_to_bins(x) for found in table["elite"].to_pylist() for x in found]
+        packing = Packing(sizes, capacity)
+        population = [packing.of_bins(b) for b in population]
         rng = np.random.default_rng([int(part) & 0xFFFFFFFF, island, epoch])
-        elite = Packing(sizes, capacity).evolve(population, rng, POPULATION, CHILDREN)
+        elite = packing.evolve(population, rng, POPULATION, CHILDREN)
         return pa.table({
             "part": pa.array([part], pa.int64()), "island": pa.array([island], pa.int32()),
             "pieces": pa.array([pieces], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()),
-            "elite": pa.array([[_bins_to_bytes(b, len(sizes)) for b in elite]], pa.list_(pa.binary())),
+            "elite": pa.array([[_bins_to_bytes(x.bins, len(sizes)) for x in elite]], pa.list_(pa.binary())),
         })
 
     return run
@@ -244,7 +268,7 @@ def _chosen(capacity: int, last: bool) -> Callable[[pa.Table], pa.Table]:
         rows = np.frombuffer(blob, np.int64).reshape(2, -1)
         packing = Packing(sizes, capacity)
         found = [_bytes_to_bins(x) for e in table["elite"].to_pylist() for x in e]
-        bins = min(found, key=lambda b: (len(b), -packing.fitness(b)))
+        bins = min((packing.of_bins(b) for b in found), key=lambda x: x.rank).bins
         of, offset, full = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
         for k, b in enumerate(bins):
             b = np.sort(np.array(b))
