@@ -187,3 +187,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select(
         "doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def _keeper(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b):
+                yield c if model is None else c.filter(pa.array(model.score(features(c.column("text"))) >= THRESHOLD))
+
+    return run
+
+
+def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold; all without a model."""
+    importable(docs.sparkSession)
+    return docs.mapInArrow(_keeper(model), docs.schema)

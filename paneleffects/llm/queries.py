@@ -10,8 +10,10 @@ from . import (
     decontamination,
     exact_dedup,
     jaccard_join,
+    katz,
     language_id,
     license_scan,
+    line_dedup,
     packing,
     quality,
     sharding,
@@ -35,6 +37,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op3_katz_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.katz_scores(read_table(spark, folder, "documents"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify_languages(read_table(spark, folder, "documents"))
 
@@ -59,9 +65,13 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_license_scan, op2_decontamination, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_sharding,
-        op8_quality_classifier, op9_best_fit_packing)
+        op1_license_scan, op2_decontamination, op3_katz_backoff, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_sharding,
+        op8_quality_classifier, op9_best_fit_packing, op10_line_dedup)
 }
 SQL = {"op2_decontamination": decontamination.SQL, "op6_exact_dedup": exact_dedup.SQL}

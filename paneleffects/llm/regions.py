@@ -45,7 +45,7 @@ class KeyBlock:
 
     Of the items that share a key in a block only the smallest goes on to meet the other
     blocks; the others are members of its region already. A hot key brings one entry a block.
-    ``index`` marks keys of the indexed side; a region without any has no pairs.
+    ``index`` marks keys of the indexed side; smallest items that meet no such key are let go.
     """
 
     SCHEMA = "bucket int, keys binary, items binary, kinds binary"
@@ -78,8 +78,6 @@ class KeyBlock:
         any_index = np.maximum.reduceat(index, np.flatnonzero(lead))[np.cumsum(lead) - 1]
         # bits: goes on to meet others, has company already, its group has an indexed item
         kind = (lead * 1 + many * 2 + any_index * 4).astype(np.int8)
-        keep = lead | any_index
-        key, item, kind, lead = key[keep], item[keep], kind[keep], lead[keep]
         bucket = (np.where(lead, key, mix(key ^ item.view(np.uint64))) >> np.uint64(17)) % np.uint64(self.buckets)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
