@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 
 from ..operators import effects, weights
 from ..operators.demean import twoway_demean, twoway_effect
-from ..operators.unit_table import SCENARIO
+from ..operators.unit_table import SCENARIO, unit_table
 from ..plans.estimate import fit, interaction_effect, time_weight_table
 from ..sources.stages import driver_table
 from . import query
 from .tables import (
     PART,
     PART_SQL,
+    PERIODS,
+    SUPPLIER,
     SUPPLIER_SQL,
     complete_part_panel,
     part_units,
     rounded,
+    supplier_panel,
     supplier_units,
 )
 
@@ -418,19 +421,20 @@ def _interaction_sql(name: str, source: str, fold: bool) -> str:
 """
 
 
-@query(_SUPPLIER_SDID + _interaction_sql("hat", "rows", False)
-       + ", folds AS (SELECT f.left_out, r.* FROM (SELECT DISTINCT unit AS left_out FROM rows) f, rows r "
-         "WHERE r.unit <> f.left_out)"
-       + _interaction_sql("refit", "folds", True) + """
+_INTERACTION_SQL = (
+    _SUPPLIER_SDID + _interaction_sql("hat", "rows", False)
+    + ", folds AS (SELECT f.left_out, r.* FROM (SELECT DISTINCT unit AS left_out FROM rows) f, rows r "
+      "WHERE r.unit <> f.left_out)"
+    + _interaction_sql("refit", "folds", True) + """
 , v AS (SELECT any_value(e.tau) AS tau, any_value(e.inter) AS inter,
     CASE WHEN count(f.tau) = count(*) THEN (count(*) - 1.0) / count(*) * sum((f.tau - e.tau) ** 2) END AS v1,
     CASE WHEN count(f.tau) = count(*) THEN (count(*) - 1.0) / count(*) * sum((f.inter - e.inter) ** 2) END AS v2
     FROM refit f, hat e)
 SELECT round(tau, 2) AS tau, round(sqrt(v1), 2) AS tau_error, round(inter, 6) AS interaction,
        round(sqrt(v2), 6) AS interaction_error FROM v""")
-def interaction_jackknife(spark, d):
-    got = interaction_effect(
-        fit(supplier_units(spark, d), jackknife=False), "s_acctbal")
+
+
+def _interaction_row(spark, got):
     return driver_table(spark, {
         "tau": ("double", [round(got.tau, 2)]),
         "tau_error": ("double", [_root(got.tau_variance, 2)]),
@@ -439,6 +443,20 @@ def interaction_jackknife(spark, d):
     })
 
 
+@query(_INTERACTION_SQL)
+def interaction_jackknife(spark, d):
+    return _interaction_row(spark, interaction_effect(
+        fit(supplier_units(spark, d), jackknife=False), "s_acctbal"))
+
+
+@query(_INTERACTION_SQL.replace("treated * s_acctbal", "treated * (unit % 7)"))
+def interaction_free_modifier(spark, d):
+    """The modifier is a fixed unit column that the weights do not use."""
+    panel = supplier_panel(spark, d).withColumn("modifier", F.col("unit") % 7)
+    units = unit_table(panel, SUPPLIER.with_(modifiers=("modifier",)), PERIODS)
+    return _interaction_row(spark, interaction_effect(fit(units, jackknife=False), "modifier"))
+
+
 # ------------------------------------------------------------------ given weights
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import effects
+from ..operators.prep import complete_units
 from ..operators.unit_table import unit_table
 from ..plans import robustness
 from ..plans.estimate import fit, many_models
@@ -36,20 +37,27 @@ from .tables import (
 )
 
 
-@query(PART_SQL + ", rows AS (SELECT *, 1.0 AS w FROM panel WHERE time <= 1998)"
+def _early(sql: str) -> str:
+    """The panel of the early periods, complete over these alone."""
+    return sql.replace(
+        "panel AS (SELECT * FROM part_panel QUALIFY count(*) OVER (PARTITION BY unit) = 7)",
+        "panel AS (SELECT * FROM part_panel WHERE time <= 1998 QUALIFY count(*) OVER (PARTITION BY unit) = 4)")
+
+
+@query(_early(PART_SQL) + ", rows AS (SELECT *, 1.0 AS w FROM panel)"
        + slope_sql("effect", "rows", time_pre=1996)
        + "SELECT round(tau, 4) AS tau, observations FROM effect")
 def backdating_uniform(spark, d):
     from ..operators.demean import twoway_effect
 
-    early = complete_part_panel(spark, d).filter("time <= 1998")
+    early = complete_units(
+        part_panel(spark, d).filter("time <= 1998"), "unit", 4, ["outcome", "p_size", "p_retailprice"])
     return twoway_effect(early, PART.with_(time_pre=1996)).withColumn("tau", F.round("tau", 4))
 
 
 _EARLY_ROWS = [PART_ROWS[0], PART_ROWS[1], *PART_ROWS[4:]]
 _BACKDATED_SQL = (
-    PART_RECURSIVE.replace("panel AS (SELECT * FROM part_panel", "full_panel AS (SELECT * FROM part_panel")
-    + ", panel AS (SELECT * FROM full_panel WHERE time <= 1998)"
+    _early(PART_RECURSIVE)
     + units_sql(_EARLY_ROWS, 2, 1996) + unit_weights_sql(4, 250, 2) + time_weights_sql(10, (1995, 1996), (1997, 1998))
     + ", rows AS MATERIALIZED (SELECT panel.*, unit_weight, time_weight, unit_shift, time_shift, "
       "unit_weight * time_weight AS w FROM panel JOIN uw USING (unit) JOIN tw USING (time))"
@@ -68,7 +76,8 @@ UNION ALL SELECT name, round(value, 8), CASE WHEN name IN ('Units', 'Observation
 
 @query(_BACKDATED_SQL)
 def backdating(spark, d):
-    table = robustness.backdated(part_units(spark, d), 1998, 1996, cluster_errors=True).table()
+    table = robustness.backdated(
+        part_units(spark, d, periods=range(1995, 1999)), 1998, 1996, cluster_errors=True).table()
     return table.select(
         "name", F.when(F.col("name") == "treated", F.round("value", 3)).otherwise(F.round("value", 8)).alias("value"),
         "label")

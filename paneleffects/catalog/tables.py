@@ -6,6 +6,8 @@ supplier panel  unit supplier, time ship year, treated suppliers of the first re
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +61,15 @@ def staged_part_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def complete_part_panel(spark: SparkSession, folder: str) -> DataFrame:
-    panel = staged_part_panel(spark, folder)
+    panel = part_panel(spark, folder)
     return complete_units(panel, "unit", len(PERIODS), ["outcome", "p_size", "p_retailprice"])
 
 
-def part_units(spark: SparkSession, folder: str, *specs: PanelSpec) -> UnitTable | list[UnitTable]:
-    """Unit tables of the complete parts, straight from the order lines in one shuffle chain."""
-    found = unit_tables(part_panel(spark, folder), specs or (PART,), PERIODS, incomplete="drop")
+def part_units(
+    spark: SparkSession, folder: str, *specs: PanelSpec, periods: Sequence[int] = PERIODS
+) -> UnitTable | list[UnitTable]:
+    """Unit tables of the parts complete over ``periods``, from the order lines in one shuffle chain."""
+    found = unit_tables(part_panel(spark, folder), specs or (PART,), periods, incomplete="drop")
     return found if len(specs) > 1 else found[0]
 
 

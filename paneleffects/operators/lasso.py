@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_quantile
 from ..sources.stages import driver_table, stage
+from ..spec import ConvergenceError
 from .moments import dot, moment_pass
 from .prep import finite_rows
 from .unit_table import SCENARIO
@@ -59,8 +60,8 @@ def coordinate_descent(
             new = math.copysign(max(abs(part) - lam[j], 0.0), part) + 0.0  # no signed zero
             moved, b[j] = max(moved, abs(new - b[j])), new
         if moved <= 1e-14 * size:
-            break
-    return b / scale
+            return b / scale
+    raise ConvergenceError(f"coordinate descent did not settle in {sweeps} sweeps")
 
 
 def rigorous_lasso(

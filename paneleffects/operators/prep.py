@@ -53,7 +53,7 @@ def attach(
     ``few_groups`` is for coarse keys (areas, periods, treatment groups): the aggregate is
     computed first and, if small, joined as a broadcast; NULL keys form a group. Otherwise
     the keys are taken to be unit keys: a shuffle join on the aggregate's own
-    partitioning, and rows with a NULL key get NULL.
+    partitioning. NULL keys form a group in both.
     """
     names = [f"_key_{i}" for i in range(len(keys))]
     groups = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(
@@ -63,17 +63,21 @@ def attach(
     if few_groups:
         joined = df.select(*kept).join(checked_small(groups), [a.eqNullSafe(b) for a, b in pairs])
     else:
-        joined = df.select(*kept).join(groups, [a == b for a, b in pairs], "left")
+        joined = df.select(*kept).join(groups, [a.eqNullSafe(b) for a, b in pairs], "left")
     return joined.select(*kept, *values)
 
 
 def complete_units(
     df: DataFrame, unit: str, periods: int, finite: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows with usable ``finite`` columns, of units that keep all ``periods`` rows."""
-    usable = finite_rows(df, finite)
-    full = usable.groupBy(unit).count().filter(F.col("count") == periods).select(unit)
-    return usable.join(full, unit, "left_semi").select(*df.columns)
+    """Rows with usable ``finite`` columns, of units that keep all ``periods`` rows.
+
+    One shuffle on the unit: a unit has about one row per period, and its rows are counted
+    where they meet. Rows without a unit are left out.
+    """
+    usable = finite_rows(df, finite).filter(F.col(unit).isNotNull())
+    rows = F.count(F.lit(1)).over(Window.partitionBy(unit))
+    return usable.withColumn("_rows", rows).filter(F.col("_rows") == periods).select(*df.columns)
 
 
 # ------------------------------------------------------------------ prices, shares, densities
@@ -121,9 +125,13 @@ def area_totals(df: DataFrame, size: str, area: str, time: str, name: str) -> Da
 def spread_periods(
     df: DataFrame, cols: Sequence[str], periods: Sequence[int], unit: str, time: str
 ) -> DataFrame:
-    """``<col>_<period>``: the unit's value in that period, on all of the unit's rows."""
-    values = {f"{c}_{t}": F.max(F.when(F.col(time) == t, F.col(c))) for c in cols for t in periods}
-    return attach(df, [unit], values)
+    """``<col>_<period>``: the unit's value in that period, on all of the unit's rows.
+
+    One shuffle on the unit, whose few rows meet in a window; NULL units form a group.
+    """
+    window = Window.partitionBy(unit)
+    values = {f"{c}_{t}": F.max(F.when(F.col(time) == t, F.col(c))).over(window) for c in cols for t in periods}
+    return df.select(*[c for c in df.columns if c not in values], *[v.alias(n) for n, v in values.items()])
 
 
 def pct_changes(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
 from ..sources.stages import driver_table, stage
+from ..spec import ConvergenceError
 from .moments import Moments, dot, moment_pass
 from .prep import finite_rows
 from .unit_table import SCENARIO
@@ -148,8 +149,12 @@ def fit_logits(
         extra = {"dev": "2 * (greatest(_eta, 0.0D) - _y * _eta + log1p(exp(-abs(_eta))))"}
         extra |= {f"g{k}": f"(_y - _p) * {c}" for k, c in enumerate(f)}
         sums = moment_pass(scored, [f"_w * {c}" for c in f], extra)
+        if not sums:
+            raise ValueError("the propensity model needs at least one complete row")
         for i in open_:
             fits[i].see(sums[i])
+    if not all(f.done for f in fits):
+        raise ConvergenceError(f"the logit did not converge in {max_passes} passes; are the groups separated?")
     out = []
     for t, fit in zip(candidates, fits, strict=True):
         terms = tuple(base) if t is None else (*base, t)

@@ -42,10 +42,20 @@ def stack_rows(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def _only(value: str, kind: str) -> Column:
+    """The value of a cell; a cell with several rows raises."""
+    return F.expr(
+        f"if(count(1) > 1, CAST(raise_error('several rows for one cell of `{value}`') AS {kind}), "
+        f"first(`{value}`, true))")
+
+
 def long_to_wide(
     df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence[object]
 ) -> DataFrame:
-    return df.groupBy(*keys).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
+    """One row per key, one column per name; two rows for one cell raise an error."""
+    kind = df.schema[value].dataType.simpleString()
+    cells = df.groupBy(*keys, name).agg(_only(value, kind).alias(value))
+    return cells.groupBy(*keys).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
 
 
 def wide_to_long(
@@ -58,7 +68,14 @@ def wide_to_long(
 def side_by_side(
     results: DataFrame, row: str, model: str, value: str, models: Sequence[str]
 ) -> DataFrame:
-    """Long result lines to one column per model: a full outer join of any number of tables."""
+    """Long result lines to one column per model: a full outer join of any number of tables.
+
+    Model names must differ; two lines for one cell raise an error.
+    """
+    if len(set(models)) < len(models):
+        raise ValueError(f"model names repeat: {list(models)}")
+    kind = results.schema[value].dataType.simpleString()
+    results = results.groupBy(row, model).agg(_only(value, kind).alias(value))
     return results.groupBy(row).pivot(model, list(models)).agg(F.first(value, ignorenulls=True))
 
 

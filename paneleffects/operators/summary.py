@@ -33,7 +33,8 @@ def mean_over_distinct(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
 def mean_group_size(df: DataFrame, by: Sequence[str], name: str = "mean_size") -> DataFrame:
     """Group size averaged over rows, so that large groups count more."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias(name))
+    n = F.col("n").cast("double")  # the square of a large group does not fit a bigint
+    return sizes.agg((F.sum(n * n) / F.sum(n)).alias(name))
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -30,7 +30,7 @@ def mean_of(cols: Sequence[str]) -> str:
 
 @dataclass(frozen=True)
 class UnitTable:
-    """Columns: scenario, unit, treated, cluster, y_0.. (outcomes), x_0.. (covariates)."""
+    """Columns: scenario, unit, treated, cluster, y_0.. (outcomes), x_0.. (covariates), z_0.. (modifiers)."""
 
     data: DataFrame
     spec: PanelSpec
@@ -119,8 +119,9 @@ def unit_tables(
     All models share the unit, time, treatment and cluster columns. The result is
     staged once; each model reads only its own columns. Raises ``PanelError`` for
     duplicate or missing (unit, time) rows, missing values, a treatment flag other
-    than 0/1, or a treatment, cluster or covariate that moves within a unit. (A unit seen
-    in several clusters counts as several incomplete units.)
+    than 0/1, or a treatment, cluster or covariate that moves within a unit. Rows of periods
+    not named are not read. A unit that is left out only because its cluster moves is an
+    error with ``incomplete='drop'`` too.
     """
     first = specs[0]
     shared = ("unit", "time", "treatment", "cluster")
@@ -129,7 +130,7 @@ def unit_tables(
     periods = tuple(periods or distinct_periods(panel, first.time))
 
     outcomes = list(dict.fromkeys(s.outcome for s in specs))
-    covariates = list(dict.fromkeys(c for s in specs for c in s.covariates))
+    covariates = list(dict.fromkeys(c for s in specs for c in (*s.covariates, *s.modifiers)))
     source = panel.select(
         F.col(first.unit).alias("unit"),
         F.col(first.time).cast("int").alias("time"),
@@ -138,6 +139,7 @@ def unit_tables(
         *[F.col(c).cast("double").alias(f"out_{j}") for j, c in enumerate(outcomes)],
         *[F.col(c).cast("double").alias(f"cov_{j}") for j, c in enumerate(covariates)],
     )
+    source = source.filter(F.col("time").isin(list(periods)) | F.col("time").isNull())
     wide = stage(
         # text columns are keys, not aggregates: the aggregate stays a hash aggregate
         source.groupBy("unit", "cluster").agg(
@@ -156,7 +158,8 @@ def unit_tables(
     tables, faults = [], []
     for i, spec in enumerate(specs):
         j = outcomes.index(spec.outcome)
-        xs = [covariates.index(c) for c in spec.covariates]
+        xs = [covariates.index(c) for c in (*spec.covariates, *spec.modifiers)]
+        named = [f"x_{k}" for k in range(len(spec.covariates))] + [f"z_{k}" for k in range(len(spec.modifiers))]
         ys = [f"y_{j}_{k}" for k in range(len(periods))]
         usable = (F.col("n_rows") == len(periods)) & all_finite(
             [*ys, *[f"cov_{x}.value" for x in xs]])
@@ -177,11 +180,18 @@ def unit_tables(
             F.col("treated.value").alias("treated"),
             "cluster",
             *[F.col(y).alias(f"y_{k}") for k, y in enumerate(ys)],
-            *[F.col(f"cov_{x}.value").alias(f"x_{k}") for k, x in enumerate(xs)],
+            *[F.col(f"cov_{x}.value").alias(c) for c, x in zip(named, xs, strict=True)],
         )
         tables.append(UnitTable(data, spec, periods))
     found: Mapping[str, int] = wide.agg(*faults).first().asDict()
     broken = {k: n for k, n in found.items() if n}
+    if first.cluster and incomplete == "drop":
+        # only units that miss rows under one cluster are looked at again
+        apart = wide.filter(F.col("n_rows") < len(periods)).groupBy("unit").agg(
+            F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("clusters"))
+        moving = apart.filter((F.col("clusters") > 1) & (F.col("n_rows") == len(periods))).count()
+        if moving:
+            broken["0|clusters that move within a unit"] = moving
     if broken:
         lines = [f"{specs[int(k.split('|')[0])].name}: {n} units with bad {k.split('|')[1]}"
                  for k, n in broken.items()]

@@ -386,6 +386,8 @@ def simplex_least_squares(gram: np.ndarray, cross: np.ndarray) -> tuple[np.ndarr
             x[support] = np.maximum(here, 0.0)
             x[support[gone]] = 0.0
             del support[gone]
+    else:
+        raise WeightError("the active-set search for weights on the simplex did not end")
     x /= x.sum()
     tied = g @ x - c
     face = [k for k in range(size) if tied[k] <= tied @ x + 1e-10]

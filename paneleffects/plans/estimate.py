@@ -117,7 +117,10 @@ def fit(
     """Estimate on a unit table, all scenarios together.
 
     ``uniform`` uses equal weights instead of fitted ones: plain two-way fixed effects.
+    Cluster errors need a cluster column.
     """
+    if cluster_errors and jackknife and not units.spec.cluster:
+        raise ValueError("cluster errors need the spec's cluster column")
     stats = weights.group_stats(units)
     if uniform:
         solution = None
@@ -209,12 +212,18 @@ def interaction_effect(
 ) -> Interaction:
     """Two-way within regression of the outcome on D and D*z with the model's weights.
 
-    ``modifier`` is one of the model's covariates. The data are demeaned without weights
+    ``modifier`` is one of the model's covariates or modifiers. The data are demeaned without weights
     and fitted with them, without an intercept, as in a weighted within regression.
     Errors: leave-one-unit-out jackknife for both coefficients.
     """
     units = model.units
-    z = f"x_{units.spec.covariates.index(modifier)}"
+    spec = units.spec
+    if modifier in spec.covariates:
+        z = f"x_{spec.covariates.index(modifier)}"
+    elif modifier in spec.modifiers:
+        z = f"z_{spec.modifiers.index(modifier)}"
+    else:
+        raise ValueError(f"{modifier} is neither a covariate nor a modifier of the model")
     stats = weights.group_stats(units)
     totals, _ = effects.effect_totals(model.weighted, units, stats, model.profiles, [z])
     hats = {s: effects._solve(t, intercept) for s, t in totals.items()}

@@ -50,10 +50,12 @@ def read_periods(
     (no per-period plan); the period is looked up from the row's input file name.
     """
     listed = spark.read.option("header", True).schema(schema).format(fmt).load(list(paths.values()))
-    file = F.col("_metadata.file_path")
+    # file names come URL-encoded, but for the plus sign
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     stamp = F.coalesce(
         *[F.when(file.contains(p.rstrip("/").split("://")[-1]), F.lit(t)) for t, p in sorted(
-            paths.items(), key=lambda item: -len(item[1]))]
+            paths.items(), key=lambda item: -len(item[1]))],
+        F.raise_error(F.concat(F.lit("no period is given for file "), file)).cast("int"),
     )
     return listed.select(stamp.cast("int").alias(time), *listed.columns)
 

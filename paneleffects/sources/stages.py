@@ -8,19 +8,21 @@ re-computation of the whole input.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def stage_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="paneleffects-"))
         folder = sc.getCheckpointDir()
@@ -35,8 +37,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Largest driver-made table, in cells. Such tables hold per-scenario parameters or report
-# lines; Spark keeps them as local relations and broadcasts them by their known size.
+# Largest driver-made table, in cells (16 MB). Such tables hold per-scenario parameters or report
+# lines. They are marked for broadcast, so a join never brings all rows of a scenario to one task.
 MAX_DRIVER_CELLS = 2_000_000
 
 
@@ -49,7 +51,7 @@ def driver_table(
     cells = sum(len(a) for a in arrays.values())
     if cells > MAX_DRIVER_CELLS:
         raise ValueError(f"{cells} cells is too large for a driver-made table")
-    return spark.createDataFrame(pa.table(arrays))
+    return F.broadcast(spark.createDataFrame(pa.table(arrays)))
 
 
 # A table up to this many rows may be joined as a local relation, broadcast by its known size.
