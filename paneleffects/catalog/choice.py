@@ -111,10 +111,10 @@ def pscore_histogram(spark, d):
 
 
 LASSO_FEATURES = ("p_size", "p_retailprice", "outcome_1996", "outcome_1997")
-_LASSO_GAMMA = 0.05
+LASSO_GAMMA = 0.05
 
 
-def _lasso_sql() -> str:
+def lasso_sql(outcome: str = "outcome") -> str:
     """Two rounds of the penalised fit; each round sweeps the coordinates many times."""
     p = len(LASSO_FEATURES)
     x = [f"x{j}" for j in range(p)]
@@ -122,7 +122,7 @@ def _lasso_sql() -> str:
     gram = "[" + ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in x) + "]" for a in x) + "]"
     cross = "[" + ", ".join(f"sum({a} * y)" for a in x) + "]"
     first = "[" + ", ".join(f"sqrt(sum({a} * {a} * y * y) / count(*))" for a in x) + "]"
-    lam = f"2 * 0.5 * sqrt(n) * {normal_quantile(1 - _LASSO_GAMMA / (2 * p))!r}"
+    lam = f"2 * 0.5 * sqrt(n) * {normal_quantile(1 - LASSO_GAMMA / (2 * p))!r}"
     steps = 400
 
     def descend(name: str, loadings: str) -> str:
@@ -138,7 +138,10 @@ def _lasso_sql() -> str:
 
     error = "y - (" + " + ".join(f"b[{j + 1}] * x{j}" for j in range(p)) + ")"
     second = "[" + ", ".join(f"sqrt(sum({a} * {a} * e * e) / count(*))" for a in x) + "]"
-    return (_RECURSIVE + f""", rows AS MATERIALIZED (SELECT outcome_post AS y, {named} FROM units),
+    base = _RECURSIVE.replace(
+        "panel AS (SELECT * FROM part_panel",
+        f"panel AS (SELECT unit, time, {outcome} AS outcome, treated, cluster, p_size, p_retailprice FROM part_panel")
+    return (base + f""", rows AS MATERIALIZED (SELECT outcome_post AS y, {named} FROM units),
 gram AS MATERIALIZED (SELECT {gram} AS g, {cross} AS c, count(*) AS n FROM rows),
 l1 AS MATERIALIZED (SELECT {first} AS l FROM rows)""" + descend("r1", "l1") + f"""
 , l2 AS MATERIALIZED (SELECT {second} AS l FROM (SELECT rows.*, {error} AS e FROM rows, r1_b))""" + descend("r2", "l2") + """
@@ -146,10 +149,10 @@ SELECT name, round(b, 6) AS coefficient, b <> 0 AS selected FROM (
     SELECT unnest([""" + ", ".join(f"'{c}'" for c in LASSO_FEATURES) + """]) AS name, unnest(b) AS b FROM r2_b)""")
 
 
-@query(_lasso_sql())
+@query(lasso_sql())
 def lasso_two_rounds(spark, d):
     fit = lasso.rigorous_lasso(
-        unit_rows(spark, d), "outcome_post", LASSO_FEATURES, gamma=_LASSO_GAMMA, max_iter=2)
+        unit_rows(spark, d), "outcome_post", LASSO_FEATURES, gamma=LASSO_GAMMA, max_iter=2)
     return driver_table(spark, {
         "name": ("string", list(fit.features)),
         "coefficient": ("double", [round(b, 6) for b in fit.coefficients]),

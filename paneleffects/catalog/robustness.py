@@ -8,10 +8,10 @@ from ..operators import effects
 from ..operators.prep import complete_units
 from ..operators.unit_table import unit_table
 from ..plans import robustness
-from ..plans.estimate import fit, many_models
-from ..sources.stages import driver_table
+from ..plans.estimate import fit, lasso_estimates, many_models
+from ..sources.stages import driver_table, stage
 from . import query
-from .choice import CANDIDATES
+from .choice import CANDIDATES, LASSO_FEATURES, LASSO_GAMMA, lasso_sql
 from .effects import (
     PART_RECURSIVE,
     PART_ROWS,
@@ -116,7 +116,7 @@ def leave_two_out(spark, d):
 
 @query()
 def pscore_trim(spark, d):
-    panel = complete_part_panel(spark, d)
+    panel = stage(complete_part_panel(spark, d), "panel")
     lags = panel.groupBy("unit").agg(*[
         F.max(F.when(F.col("time") == t, F.col("outcome"))).alias(f"outcome_{t}") for t in (1996, 1997, 1998)])
     _, _, kept = robustness.trimmed_units(
@@ -171,6 +171,34 @@ def many_outcomes_point(spark, d):
     return robustness.results_side_by_side(_four_models(spark, d, jackknife=False))
 
 
+def _chosen_sql(outcome: str) -> str:
+    """The estimate with the covariates that the lasso picks, out of all four choices."""
+    rows = {"p_retailprice": PART_ROWS[5], "p_size": PART_ROWS[4]}
+    every = [(), ("p_retailprice",), ("p_size",), ("p_retailprice", "p_size")]
+    chains = " UNION ALL ".join(
+        f"SELECT '{','.join(c)}' AS covariates, tau FROM ("
+        + _chain_sql(outcome, [*PART_ROWS[:4], *[rows[x] for x in c]], c, "SELECT tau FROM effect") + ")"
+        for c in every)
+    return (f"SELECT '{outcome}' AS name, covariates, round(tau, 1) AS tau FROM ({chains}) JOIN ("
+            "SELECT coalesce(string_agg(name, ',' ORDER BY name), '') AS covariates FROM ("
+            f"{lasso_sql(outcome)}) WHERE selected AND name IN ('p_size', 'p_retailprice')) USING (covariates)")
+
+
+@query(" UNION ALL ".join(_chosen_sql(x) for x in ("outcome", "quantity")))
+def lasso_then_estimate(spark, d):
+    """Two outcomes, each with the covariates its own lasso chooses."""
+    panel = stage(complete_part_panel(spark, d), "panel")
+    specs = [PART.with_(name=x, outcome=x) for x in ("outcome", "quantity")]
+    models = lasso_estimates(
+        panel, specs, LASSO_FEATURES[:2], ("p_retailprice", "p_size"), PERIODS, (1996, 1997),
+        LASSO_GAMMA, 2, jackknife=False)
+    return driver_table(spark, {
+        "name": ("string", [m.units.spec.name for m in models]),
+        "covariates": ("string", [",".join(m.units.spec.covariates) for m in models]),
+        "tau": ("double", [round(m.estimate.tau, 1) for m in models]),
+    })
+
+
 _TOP_SQL = """, sums AS (SELECT cluster, sum(unit_weight) AS v FROM (
     SELECT DISTINCT unit, cluster, unit_weight FROM rows WHERE treated = 0) GROUP BY cluster)
 SELECT cluster FROM (SELECT *, dense_rank() OVER (ORDER BY v DESC) AS r FROM sums) WHERE r <= 3"""

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.distributions import plain_number, stars
 from ..operators import effects, weights
+from ..operators.lasso import rigorous_lasso
+from ..operators.prep import post_means
 from ..operators.unit_table import SCENARIO, UnitTable, unit_tables
 from ..sources.stages import driver_table
 from ..spec import PanelSpec
@@ -207,6 +209,36 @@ class Interaction:
         })
 
 
+def lasso_estimates(
+    panel: DataFrame,
+    specs: Sequence[PanelSpec],
+    features: Sequence[str],
+    allowed: Sequence[str],
+    periods: Sequence[int],
+    lags: Sequence[int] = (),
+    gamma: float | None = None,
+    max_iter: int = 15,
+    cluster_errors: bool = False,
+    jackknife: bool = True,
+) -> list[SyntheticDiD]:
+    """Estimates whose covariates a lasso chooses, each outcome for itself.
+
+    Per outcome: post-period means on ``features`` and the outcome at ``lags``; the chosen
+    among ``allowed`` become the covariates; the units complete on these are the sample.
+    The panel is read once per lasso and once for all estimates: stage it if it is costly.
+    """
+    chosen = []
+    for spec in specs:
+        means = post_means(
+            panel, [spec.outcome], spec.unit, spec.time, spec.time_pre + 1, max(periods),
+            {spec.outcome: list(lags)}, features)
+        found = rigorous_lasso(
+            means, f"{spec.outcome}_post", [*features, *[f"{spec.outcome}_{t}" for t in lags]],
+            gamma=gamma, max_iter=max_iter)
+        chosen.append(spec.with_(covariates=tuple(found.choose(allowed))))
+    return many_models(panel, chosen, cluster_errors, jackknife, periods, incomplete="drop")
+
+
 def interaction_effect(
     model: SyntheticDiD, modifier: str, intercept: bool = False
 ) -> Interaction:
