@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .regions import COARSE, LEAF, KeyBlock, link_regions, members_of
-from .tasks import importable, stage
+from .tasks import importable, outlive, scratch, small, stage
 from .text import chunks, mix, shingles_of, words_of
 
 
@@ -152,7 +152,8 @@ def jaccard_links(docs: DataFrame, limit: Limit = Limit(), leaf: int = LEAF) ->
     members = members_of(texts.mapInArrow(_keys(limit, buckets), KeyBlock.SCHEMA))
 
     active = members.select("class").distinct()
-    first = known.join(active, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    first = small(stage(
+        known.join(active, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "shown-by"))
     sets = stage(
         texts.join(first, texts["doc_id"].eqNullSafe(first["doc_id"])).select(texts["text"], first["class"])
         .mapInArrow(_arrays(limit), "class bigint, n bigint, far binary, set binary").dropDuplicates(["class"]),
@@ -168,10 +169,12 @@ def jaccard_components(docs: DataFrame, limit: Limit = Limit(), leaf: int = LEAF
     a component's id unless all its documents lack one. An empty table gives no rows; columns
     other than doc_id and text are not read.
     """
-    known, roots = jaccard_links(docs, limit, leaf)
-    rooted = known.where("n_shingles > 0").join(
-        roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    alone = known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rooted.join(smallest, "root").select("doc_id", "n_shingles", "component_id").union(alone)
+    with scratch(docs.sparkSession):
+        known, roots = jaccard_links(docs, limit, leaf)
+        rooted = known.where("n_shingles > 0").join(
+            roots.select(F.col("node").alias("class"), "root"), "class", "left").select(
+            "doc_id", "n_shingles", F.coalesce("root", "class").alias("root"))
+        smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        alone = known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return outlive(
+            rooted.join(smallest, "root").select("doc_id", "n_shingles", "component_id").union(alone), "components")

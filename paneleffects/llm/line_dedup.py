@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .regions import COARSE, LEAF, KeyBlock, link_regions, members_of
-from .tasks import importable, stage
+from .tasks import importable, outlive, scratch, small, stage
 from .text import chunks, mix
 
 #: Edits between near-duplicate lines, and the shortest line that is compared at all.
@@ -241,9 +241,8 @@ def line_classes(docs: DataFrame, limit: Edits = Edits(), leaf: int = LEAF) -> t
     members = members_of(texts.mapInArrow(_keys(limit, buckets), KeyBlock.SCHEMA))
     active = members.select("class").distinct()
     # one document shows each line that met another; a document shows no more lines than it has
-    shown = (
-        lines.join(active, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-        .groupBy("doc_id").agg(F.collect_list("class").alias("classes")))
+    by = stage(lines.join(active, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "shown-by")
+    shown = small(by.groupBy("doc_id").agg(F.collect_list("class").alias("classes")), by)
     items = stage(
         texts.join(shown, texts["doc_id"].eqNullSafe(shown["doc_id"])).select(texts["text"], "classes")
         .mapInArrow(_contents(limit), "class bigint, n bigint, far binary, set binary").dropDuplicates(["class"]), "line-texts")
@@ -258,14 +257,15 @@ def repeated_lines(docs: DataFrame, limit: Edits = Edits(), leaf: int = LEAF) ->
     The first line of a root stays: smallest doc_id (null last), then line. Rows that repeat a
     doc_id share the fate of their equal lines at one place.
     """
-    rooted, counts = line_classes(docs, limit, leaf)
-    rooted = stage(rooted, "rooted-lines")
-    rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("line"))
-    # partial minima combine a hot line in every task before it is shuffled
-    firsts = rooted.groupBy("root").agg(F.min(rank).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    drop = rooted.join(firsts, "root").where(
-        ~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("line") == F.col("f.line"))))
-    return drop.select("row", "doc_id", "line", "class"), counts
+    with scratch(docs.sparkSession):
+        rooted, counts = line_classes(docs, limit, leaf)
+        rooted = stage(rooted, "rooted-lines")
+        rank = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("line"))
+        # partial minima combine a hot line in every task before it is shuffled
+        firsts = rooted.groupBy("root").agg(F.min(rank).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        drop = rooted.join(firsts, "root").where(
+            ~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("line") == F.col("f.line"))))
+        return outlive(drop.select("row", "doc_id", "line", "class"), "repeated-lines"), outlive(counts, "line-counts")
 
 
 def line_report(docs: DataFrame, limit: Edits = Edits(), leaf: int = LEAF) -> DataFrame:

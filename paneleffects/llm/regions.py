@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .packed import pack, pack_sorted, unpack, unpack_sorted
 from .tasks import stage
 from .text import mix
 
@@ -48,7 +49,7 @@ class KeyBlock:
     ``index`` marks keys of the indexed side; smallest items that meet no such key are let go.
     """
 
-    SCHEMA = "bucket int, keys binary, items binary, kinds binary"
+    SCHEMA = "bucket int, member boolean, keys binary, items binary, names binary, kinds binary"
 
     def __init__(self, buckets: int) -> None:
         self.buckets = buckets
@@ -59,7 +60,8 @@ class KeyBlock:
         self.held = 0
 
     def add(self, keys: np.ndarray, items: np.ndarray, index: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append((keys, items, index))
+        # 56 bits: two keys that fall together only add a pair to test
+        self.parts.append((keys >> np.uint64(8), items, index))
         self.held += len(keys)
         if self.held > BLOCK_KEYS:
             yield from self.flush()
@@ -76,39 +78,50 @@ class KeyBlock:
         lead = np.r_[True, key[1:] != key[:-1]]
         many = ~lead | ~np.r_[lead[1:], True]
         any_index = np.maximum.reduceat(index, np.flatnonzero(lead))[np.cumsum(lead) - 1]
-        # bits: goes on to meet others, has company already, its group has an indexed item
-        kind = (lead * 1 + many * 2 + any_index * 4).astype(np.int8)
-        bucket = (np.where(lead, key, mix(key ^ item.view(np.uint64))) >> np.uint64(17)) % np.uint64(self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        key, item, kind = key[order], item[order], kind[order]
-        rows = [(b, key[x:y].tobytes(), item[x:y].tobytes(), kind[x:y].tobytes())
-                for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        # bits: has company already, its group has an indexed item
+        kind = (many * 1 + any_index * 2).astype(np.uint8)
+        rows = []
+        # ranges of keys for those who meet others; members are spread, so a hot key makes no hot bucket
+        range_of = ((key >> np.uint64(24)) * np.uint64(self.buckets)) >> np.uint64(32)
+        spread = mix(key ^ item.view(np.uint64)) % np.uint64(self.buckets)
+        for member, on, bucket in ((False, lead, range_of), (True, ~lead, spread)):
+            order = np.argsort(bucket[on], kind="stable")
+            k, c, d, b = (x[on][order] for x in (key, item, kind, bucket))
+            ends = np.searchsorted(b, np.arange(self.buckets + 1))
+            for n, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if y > x:
+                    names, at = np.unique(c[x:y], return_inverse=True)
+                    rows.append((n, member, pack_sorted(k[x:y]), pack(at.astype(np.uint32)), names.tobytes(), pack(d[x:y])))
+        kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-            ["bucket", "keys", "items", "kinds"])
+            ["bucket", "member", "keys", "items", "names", "kinds"])
+
+
+def _read(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    items = [np.frombuffer(r["names"], np.int64)[unpack(r["items"], np.uint32)] for r in rows]
+    return (np.concatenate([unpack_sorted(r["keys"]) for r in rows]), np.concatenate(items),
+            np.concatenate([unpack(r["kinds"], np.uint8) for r in rows]))
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Members (key, class) of the keys of one bucket that several items have."""
-    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-    key, item, kind = read("keys", np.int64), read("items", np.int64), read("kinds", np.int8)
-    lead = (kind & 1) > 0
-    # two blocks with one and the same item and one without company meet no one
-    k, c, kd = key[lead], item[lead], kind[lead]
+    rows = table.to_pylist()
+    key, item, _ = _read([r for r in rows if r["member"]])
+    k, c, d = _read([r for r in rows if not r["member"]])
     order = np.lexsort((c, k))
-    k, c, kd = k[order], c[order], kd[order]
-    out_k, out_c = [key[~lead]], [item[~lead]]
+    k, c, d = k[order], c[order], d[order]
+    out_k, out_c = [key], [item]
     if len(k):
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[starts, len(k)])
-        shared = (np.maximum.reduceat(c, starts) != np.minimum.reduceat(c, starts)) | (np.bitwise_or.reduceat(kd, starts) & 2 > 0)
-        shared &= np.bitwise_or.reduceat(kd, starts) & 4 > 0
-        on = np.repeat(shared, size)
+        any_of = np.bitwise_or.reduceat(d, starts)
+        shared = (np.maximum.reduceat(c, starts) != np.minimum.reduceat(c, starts)) | (any_of & 1 > 0)
+        on = np.repeat(shared & (any_of & 2 > 0), np.diff(np.r_[starts, len(k)]))
         out_k.append(k[on])
         out_c.append(c[on])
-    return pa.table({"key": np.concatenate(out_k), "class": np.concatenate(out_c)})
+    return pa.table({"key": np.concatenate(out_k).view(np.int64), "class": np.concatenate(out_c)})
 
 
 def members_of(keyed: DataFrame) -> DataFrame:

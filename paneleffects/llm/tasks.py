@@ -3,16 +3,57 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stages import stage
+from ..sources.stages import stage_folder
 
-__all__ = ["fold", "importable", "read_table", "stage", "table_of"]
+#: A staged table of up to this many rows, a few numbers each, may be broadcast: some 50 MB at most.
+BROADCAST_ROWS = 500_000
+
+_OPEN: list[list[str]] = []
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back; an open ``scratch`` removes it at its end."""
+    spark = df.sparkSession
+    path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def outlive(df: DataFrame, label: str) -> DataFrame:
+    """``stage`` for the result of an open ``scratch``: it belongs to the next one outside."""
+    inner = _OPEN.pop()
+    try:
+        return stage(df, label)
+    finally:
+        _OPEN.append(inner)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables staged inside, in whatever store they lie, when the block ends."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def small(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """``df``, marked for broadcast if ``counted`` (a staged table, default ``df``) has few rows; else as it is."""
+    rows = df if counted is None else counted
+    return F.broadcast(df) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def fold(parts: int, column: str = "doc_id") -> Column:
@@ -34,9 +75,3 @@ def importable(spark: SparkSession) -> None:
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def table_of(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """All batches of a bounded group as one table."""
-    found = list(batches)
-    return pa.Table.from_batches(found).combine_chunks() if found else None
