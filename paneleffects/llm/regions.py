@@ -280,28 +280,49 @@ def _cross_pairs(rows: DataFrame, metric: Metric, leaf: int) -> DataFrame:
 def link_regions(members: DataFrame, items: DataFrame, metric: Metric, leaf: int = LEAF) -> DataFrame:
     """Components (node, root) of linked items, from members (key, class) and items (class, n, far, set).
 
-    Every region's smallest item is its pivot and meets all others; that makes most
-    components. Pairs across components in regions of more than two follow by cells.
+    Every region's smallest item is its pivot and meets all others. An item meets the pivot
+    it shares most regions with first; its other pivots only where components still differ.
+    Pairs across components in regions of more than two follow by cells. Distances to the
+    fixed pivots are attached only to pairs and regions that are still open.
     """
     light = items.select("class", "n", "far")
 
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        near = (
+            pairs.select("a", "b").join(light.withColumnRenamed("class", "a"), "a")
+            .join(light.selectExpr("class AS b", "n AS m", "far AS far_b"), "b")
+            .mapInArrow(_possible(metric), "a bigint, b bigint"))
+        return verified(near, label)
+
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         x = items.select(F.col("class").alias("a"), "set")
         y = items.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
         return stage(pairs.join(x, "a").join(y, "b").select("a", "b", "set", "set_b")
                      .mapInArrow(_verify(metric), "a bigint, b bigint"), label)
 
-    pivot = members.groupBy("key").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("size"))
-    star = members.join(pivot, "key").where("class != a").select("a", F.col("class").alias("b")).distinct()
-    star = (
-        star.join(light.withColumnRenamed("class", "a"), "a")
-        .join(light.selectExpr("class AS b", "n AS m", "far AS far_b"), "b")
-        .mapInArrow(_possible(metric), "a bigint, b bigint"))
-    links = verified(star, "pivot-links")
+    def root_of(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+        of = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+        return rows.join(of, node, "left").withColumn(root, F.coalesce(root, node))
+
+    pivot = members.groupBy("key").agg(F.min("class").alias("a"))
+    star = stage(
+        members.join(pivot, "key").where("class != a").groupBy("a", F.col("class").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared")), "star")
+    first = stage(star.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")), "first-pivots")
+    links = linked(first, "pivot-links")
     roots = components(links)
+    others = star.join(first.withColumnRenamed("a", "tried"), "b").where("a != tried").select("a", "b")
+    others = linked(
+        root_of(root_of(others, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b"), "more-links")
+    if others.limit(1).count():
+        links = links.union(others)
+        roots = components(links)
+    rooted = stage(root_of(members, roots, "class", "root"), "rooted")
+    mixed = rooted.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where(
+        "size > 2 AND low != high")
     open_rows = (
-        members.join(pivot.where("size > 2").select("key"), "key")
-        .join(roots.withColumnRenamed("node", "class"), "class", "left").join(light, "class")
-        .select("key", "class", F.coalesce("root", "class").alias("root"), "n", "far", F.lit(0).cast("bigint").alias("cell")))
+        rooted.join(mixed.select("key"), "key").join(light, "class")
+        .select("key", "class", "root", "n", "far", F.lit(0).cast("bigint").alias("cell")))
     more = verified(_cross_pairs(stage(open_rows, "open-regions"), metric, leaf), "cell-links")
     return components(links.union(more)) if more.limit(1).count() else roots
