@@ -7,7 +7,9 @@ The join works in the symmetric-difference metric, where Jaccard >= t is a dista
    are regions, and the triangle inequality replicates each document into one more ring.
 2. Neighbourhoods. In a ring the universe of shingles is cut into one part more than the
    distance bound, so a pair within it agrees on a whole part. Documents that agree on a
-   part form a region; unrelated documents meet in none.
+   part form a region; unrelated documents meet in none. Parts without shingles tell
+   nothing: a document with more other parts than its distance bound agrees with every
+   partner on one of those, and only documents with fewer keep their empty parts.
 3. Pivots. Every region takes its smallest class as pivot; all its classes are measured
    against it, which links most near copies and makes components.
 4. Voronoi cells. Regions still holding several components choose more pivots; classes go to
@@ -20,6 +22,7 @@ The join works in the symmetric-difference metric, where Jaccard >= t is a dista
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -42,12 +45,17 @@ class Limit:
     den: int = 100
 
     def rings(self) -> tuple[np.ndarray, np.ndarray]:
-        """(smallest size, number of parts) of each ring; pairs meet in the lower one's ring."""
+        """(smallest size, number of parts) of each ring; pairs meet in the lower one's ring.
+
+        Beyond one part more than the bound there are as many as are likely to be empty.
+        """
         low, parts, at = [], [], 1
         while at < 1 << 40:
             high = at * self.den // self.num
             low.append(at)
-            parts.append((self.den - self.num) * (high + high * self.den // self.num) // (self.den + self.num) + 1)
+            m = (self.den - self.num) * (high + high * self.den // self.num) // (self.den + self.num) + 1
+            idle = m * math.exp(-high / m)
+            parts.append(m + int(idle + 2 * math.sqrt(idle)))
             at = high + 1
         return np.array(low), np.array(parts)
 
@@ -105,7 +113,8 @@ def _keys(limit: Limit, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 cls = np.array([_class_of(s) for s in sets], np.int64)
                 flat = np.concatenate(sets)
                 ring = np.searchsorted(low, n, side="right") - 1
-                for k in (ring, ring - 1):
+                # the largest distance to a partner: above in the own ring, below in the ring before
+                for k, most in ((ring, limit.bound(n, limit.highest(n))), (ring - 1, limit.bound(low[ring] - 1, n))):
                     m = np.where(k >= 0, parts[np.maximum(k, 0)], 0)
                     at = np.cumsum(m) - m
                     on = np.repeat(k >= 0, n)
@@ -113,8 +122,13 @@ def _keys(limit: Limit, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     acc = np.zeros(int(m.sum()), np.uint64)
                     np.add.at(acc, np.repeat(at, n)[on] + slot.astype(np.int64), mix(flat[on]))
                     doc = np.repeat(np.arange(len(n)), m)
+                    filled = np.zeros(len(acc), bool)
+                    filled[np.repeat(at, n)[on] + slot.astype(np.int64)] = True
+                    enough = np.bincount(doc, filled, len(n)) > most
                     part = (np.arange(len(acc)) - at[doc]).astype(np.uint64)
                     key = mix(acc ^ mix(part * np.uint64(1 << 20) + k[doc].astype(np.uint64)))
+                    told = filled | ~enough[doc]
+                    key, doc = key[told], doc[told]
                     yield from block.add(key, cls[doc], np.ones(len(key), bool))
         yield from block.flush()
 
