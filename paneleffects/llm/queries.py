@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    chat,
+    collocations,
     decontamination,
     exact_dedup,
     jaccard_join,
@@ -16,6 +18,7 @@ from . import (
     line_dedup,
     packing,
     quality,
+    resampling,
     sharding,
 )
 from .tasks import read_table
@@ -69,9 +72,25 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(read_table(spark, folder, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine_collocations(read_table(spark, folder, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+def op13_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.chat_report(chat.with_hostile(read_table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_decontamination, op3_katz_backoff, op4_language_id, op5_jaccard_join, op6_exact_dedup, op7_sharding,
-        op8_quality_classifier, op9_best_fit_packing, op10_line_dedup)
+        op8_quality_classifier, op9_best_fit_packing, op10_line_dedup, op11_phrase_collocations, op12_importance_resampling,
+        op13_chat_formatting)
+}
+SQL = {
+    "op2_decontamination": decontamination.SQL, "op6_exact_dedup": exact_dedup.SQL, "op11_phrase_collocations": collocations.SQL,
+    "op12_importance_resampling": resampling.SQL, "op13_chat_formatting": chat.SQL,
 }
-SQL = {"op2_decontamination": decontamination.SQL, "op6_exact_dedup": exact_dedup.SQL}

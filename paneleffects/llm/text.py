@@ -36,7 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse, modulo 2^64."""
     if len(_POWERS.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             p = np.full(max(n, CHUNK_BYTES), base, dtype=np.uint64)
@@ -100,7 +101,7 @@ def words_of(texts: pa.Array) -> Words:
         last = offsets[1:][np.diff(offsets) > 0] - 1
         closes[last] = inside[last]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, down = _powers(n)
+    up, down = powers(n)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up, out=total[1:])
     prints = mix((total[ends] - total[starts]) * down[starts]) if n else np.zeros(0, np.uint64)
