@@ -8,10 +8,12 @@ of periods, leave-out estimates by demeaning and re-fitting without each unit or
 from __future__ import annotations
 
 import functools
+import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..operators import effects, weights
+from ..operators import effects, summary, weights
 from ..operators.demean import twoway_demean, twoway_effect
 from ..operators.unit_table import SCENARIO, unit_table
 from ..plans.estimate import fit, interaction_effect, time_weight_table
@@ -84,6 +86,71 @@ uw AS MATERIALIZED (
 """
 
 
+def newton_weights_sql(r: int, n_pre: int, covariates: bool = True, steps: int = 30, fold: str | None = None) -> str:
+    """``uw`` by Newton steps on the optimality conditions over the active controls, from ``folded_units_sql``.
+
+    Each step eliminates the bordered system on lists. Without covariates all rows have one scale.
+    """
+    f, by = (f"{fold}, ", f"USING ({fold})") if fold else ("", None)
+    join = lambda x: f"JOIN {x} {by}" if by else f"CROSS JOIN {x}"
+    ks = range(r)
+    scale = lambda k: f"s{k}" if covariates else "common"
+    z = "[" + ", ".join(f"(a{k} - b{k}) / {scale(k)}" for k in ks) + "]"
+    c = "[" + ", ".join((f"unit0 / {scale(k)}" if k < n_pre else "0.0::DOUBLE") for k in ks) + "]"
+    unit0 = f"least({', '.join(f's{k}' for k in range(n_pre))})" if covariates else "common"
+    common = f"sqrt(({' + '.join(f's{k} * s{k}' for k in ks)}) / {r})"
+    cells = ", ".join(f"sum(CASE WHEN w > 0 THEN z[{a + 1}] * z[{b + 1}] ELSE 0 END) AS h{a}_{b}" for a in ks for b in range(a, r))
+    sums = ", ".join(f"sum(CASE WHEN w > 0 THEN z[{k + 1}] ELSE 0 END) AS z{k}, sum(w * z[{k + 1}]) AS t{k}" for k in ks)
+    rows = [
+        "[" + ", ".join([f"h{min(a, b)}_{max(a, b)}" + (" + eta" if a == b else "") for b in ks]
+                        + [f"-z{a}", f"c[{a + 1}]", f"t{a} - eta * q[{a + 1}]"]) + "]" for a in ks]
+    rows.append("[" + ", ".join([f"-z{a}" for a in ks] + ["CAST(n AS DOUBLE)", "0.0::DOUBLE", "1 - sw"]) + "]")
+    rows.append("[" + ", ".join([f"c[{a + 1}]" for a in ks] + ["0.0::DOUBLE", "0.0::DOUBLE", "-list_dot_product(c, q)"]) + "]")
+    pivots = ", ".join(f"[[{float(k + 1)}]]" for k in range(r + 2))
+    at = "CAST(k[1][1] AS INTEGER)"
+    solved = (f"list_reduce(list_concat([[{', '.join(rows)}]], [{pivots}]), lambda m, k: list_transform(m, lambda v, i: "
+              f"CASE WHEN i = k[1][1] THEN list_transform(v, lambda x: x / v[{at}]) "
+              f"ELSE list_transform(v, lambda x, j: x - v[{at}] * m[{at}][j] / m[{at}][{at}]) END))")
+    return f"""
+, scaled AS (SELECT *, {unit0} AS unit0, {'eta' if covariates else 'eta / (common * common)'} AS ridge_eta
+    FROM (SELECT *, {common} AS common FROM ridge)),
+z AS MATERIALIZED (SELECT {f}unit, {z} AS z FROM units {join('(SELECT ' + f + ', '.join(f'b{k}, s{k}' for k in ks) + ', common FROM scaled)')} WHERE d = 0),
+c AS MATERIALIZED (SELECT {f}{c} AS c, ridge_eta AS eta, n0, unit0 FROM scaled),
+solve(i, {f}q, mu, nu) AS (
+    SELECT 0, {f}[{', '.join('0.0::DOUBLE' for _ in ks)}], CAST(1 AS DOUBLE) / n0, CAST(0 AS DOUBLE) FROM c
+    UNION ALL
+    SELECT i + 1, {f}list_transform(q, lambda v, k: v + x[k][{r + 3}]), mu + x[{r + 1}][{r + 3}], x[{r + 2}][{r + 3}] FROM (
+        SELECT i, {f}q, mu, {solved} AS x FROM (
+            SELECT i, {f}q, mu, sum(w) AS sw, count(*) FILTER (w > 0) AS n, any_value(c) AS c, any_value(eta) AS eta, {cells}, {sums}
+            FROM (SELECT i, {f}q, mu, z, c, eta, greatest(0, mu - list_dot_product(q, z)) AS w
+                  FROM solve {join('z')} {join('c')} WHERE i < {steps})
+            GROUP BY i, {f}q, mu))),
+dual AS MATERIALIZED (SELECT * FROM solve WHERE i = {steps}),
+uw AS MATERIALIZED (
+    SELECT {f}unit, 0 AS d, greatest(0, mu - list_dot_product(q, z)) AS unit_weight, -nu * unit0 AS unit_shift
+    FROM z {join('dual')} {join('c')}
+    UNION ALL SELECT {f}unit, 1, CAST(1 AS DOUBLE) / n1, 0 FROM units {join('(SELECT ' + f + 'n1 FROM ridge)')} WHERE d = 1)
+"""
+
+
+def folded_sql(sql: str, fold: str) -> str:
+    """``units_sql`` or ``time_weights_sql`` for every fold of ``panel`` at once."""
+    out = sql.replace("SELECT unit, max(treated)", f"SELECT {fold}, unit, max(treated)").replace(
+        "FROM panel GROUP BY unit", f"FROM panel GROUP BY {fold}, unit")
+    out = out.replace("st AS (SELECT count(*)", f"st AS (SELECT {fold}, count(*)").replace(
+        "FROM units),\nridge", f"FROM units GROUP BY {fold}),\nridge")
+    out = out.replace("gram AS MATERIALIZED (SELECT [", f"gram AS MATERIALIZED (SELECT {fold}, [").replace(
+        "FROM units WHERE d = 0),\npairs", f"FROM units WHERE d = 0 GROUP BY {fold}),\npairs")
+    out = out.replace("trade(i, x) AS (\n    SELECT 0, [", f"trade(i, {fold}, x) AS (\n    SELECT 0, {fold}, [").replace(
+        "]\n    UNION ALL\n    SELECT i + 1, [CASE", f"] FROM gram\n    UNION ALL\n    SELECT i + 1, {fold}, [CASE")
+    out = out.replace("SELECT i, x, a, b, least", f"SELECT i, {fold}, x, a, b, least").replace(
+        "FROM (SELECT i, x, p[", f"FROM (SELECT i, {fold}, x, p[")
+    out = re.sub(r"(WHERE i < \d+\)), gram\)\)", rf"\1 JOIN gram USING ({fold})))", out)
+    out = re.sub(r"SELECT (\[[0-9, ]+\])\[k\] AS time", rf"SELECT {fold}, \1[k] AS time", out)
+    out = re.sub(r"FROM \(SELECT x FROM trade WHERE i = (\d+)\), gram, ", rf"FROM (SELECT {fold}, x FROM trade WHERE i = \1) JOIN gram USING ({fold}), ", out)
+    return re.sub(r"SELECT unnest\((\[[0-9, ]+\])\), (CAST\(1 AS DOUBLE\) / \d), 0\)", rf"SELECT {fold}, unnest(\1), \2, 0 FROM gram)", out)
+
+
 def time_weights_sql(steps: int, pre: tuple[int, ...] = (1995, 1996, 1997, 1998),
                      post: tuple[int, ...] = (1999, 2000, 2001)) -> str:
     n = len(pre)
@@ -144,6 +211,37 @@ def slope_sql(name: str, source: str, fold: str | None = None, time_pre: int = 1
 """
 
 
+def leave_unit_out_sql(fold: str | None = None) -> str:
+    """Leave-one-unit-out estimates ``refit`` from ``rows`` (unit_weight, time_weight), by the sums of the units that stay.
+
+    Without unit v every other demeaned outcome moves by v's over the units left, likewise the
+    demeaned treatment, so each refit is a formula in totals and v's own sums.
+    """
+    f, by = (f"{fold}, ", f"PARTITION BY {fold}") if fold else ("", "")
+    one, group = f"PARTITION BY {f}", f"GROUP BY {fold}" if fold else ""
+    join = f"JOIN {{}} USING ({fold})" if fold else "CROSS JOIN {}"
+    return f"""
+, lu AS MATERIALIZED (SELECT {f}unit, any_value(treated) AS d, any_value(unit_weight) AS w, sum(time_weight * y) AS a,
+    sum(time_weight * h * y) AS b FROM (
+        SELECT *, outcome - avg(outcome) OVER ({one}unit) - avg(outcome) OVER ({one}time) + avg(outcome) OVER ({by}) AS y,
+            CASE WHEN time > 1998 THEN 1 ELSE 0 END - CAST(3 AS DOUBLE) / 7 AS h FROM rows)
+    GROUP BY {f}unit),
+lm AS (SELECT {f}avg(d) AS share FROM lu {group}),
+lv AS MATERIALIZED (SELECT lu.*, d - share AS u FROM lu {join.format('lm')}),
+lt AS (SELECT {f}count(*) AS n, sum(d) AS nd, sum(w) AS w0, sum(w * a) AS wa, sum(w * b) AS wb, sum(w * u) AS wu,
+    sum(w * u * b) AS wub, sum(w * u * u) AS wuu FROM lv {group}),
+ll AS (SELECT {f}sum(l) AS l0, sum(l * h) AS l1, sum(l * h * h) AS l2 FROM (
+    SELECT {f}any_value(time_weight) AS l, any_value(CASE WHEN time > 1998 THEN 1 ELSE 0 END) - CAST(3 AS DOUBLE) / 7 AS h
+    FROM rows GROUP BY {f}time) {group}),
+lr AS (SELECT {f}unit, l0, l1, l2, n - 1 AS n, nd - d AS nd, w0 - w AS w0, wa - w * a AS wa, wb - w * b AS wb, wu - w * u AS wu,
+    wub - w * u * b AS wub, wuu - w * u * u AS wuu, a / (n - 1) AS da, b / (n - 1) AS db, u / (n - 1) AS du
+    FROM lv {join.format('lt')} {join.format('ll')}),
+refit AS (SELECT {f}unit, CASE WHEN nd > 0 AND nd < n THEN
+    ((wub + db * wu + du * wb + du * db * w0) * (w0 * l0) - l1 * (wu + du * w0) * (wa + da * w0))
+    / (l2 * (wuu + 2 * du * wu + du * du * w0) * (w0 * l0) - l1 * l1 * (wu + du * w0) * (wu + du * w0)) END AS tau FROM lr)
+"""
+
+
 # ------------------------------------------------------------------ regularization, weights
 
 
@@ -186,10 +284,12 @@ def unit_weights_cov(spark, d):
     return rounded(rounded(out, 11, "unit_weight"), 3, "unit_shift")
 
 
-@query()
+@query(PART_RECURSIVE + units_sql(PART_ROWS[:4]) + newton_weights_sql(4, 4, covariates=False) + """
+SELECT unit, d AS treated, round(unit_weight, 9) AS unit_weight, round(unit_shift, 2) AS unit_shift FROM uw""")
 def unit_weights(spark, d):
     model = fit(part_units(spark, d, PART.with_(covariates=())), jackknife=False)
-    return model.unit_weights().drop(SCENARIO)
+    out = model.unit_weights().drop(SCENARIO).withColumn("treated", F.col("treated").cast("int"))
+    return rounded(rounded(out, 9, "unit_weight"), 2, "unit_shift")
 
 
 @query(PART_RECURSIVE + units_sql(PART_ROWS) + time_weights_sql(900) + """
@@ -396,10 +496,119 @@ def sdid_report(spark, d):
         F.when(effect, F.lit(_round(model.estimate.p_value, 8))).alias("p_value"))
 
 
-@query()
+_FULL_SQL = _sdid_sql(PART_RECURSIVE, PART_ROWS, 250).replace(", rows AS (", ", rows AS MATERIALIZED (", 1) + (
+    diagnostics_sql(PART.covariates) + leave_unit_out_sql()) + f"""
+, v AS (SELECT any_value(e.tau) AS tau, any_value(e.tau) / sqrt((count(*) - 1.0) / count(*) * sum((f.tau - e.tau) ** 2)) AS t,
+    CAST(6 * count(*) - 7 AS DOUBLE) AS df FROM refit f, effect e),
+p AS (SELECT *, {p_value_sql('t', 'df')} AS p FROM v),
+named AS (
+    SELECT 0 AS position, 'treated' AS name, round(tau, 3) AS value, {number_sql('tau', 2)} || {stars_sql('p')} AS label FROM p
+    UNION ALL SELECT 1, 't', round(t, 8), '(' || {number_sql('t', 2)} || ')' FROM p
+    UNION ALL SELECT list_position(['omega', 'lambda', 'p_size', 'p_retailprice', 'Weight Norm', 'Units', 'Observations'], name) + 1,
+        name, round(value, 8), CASE WHEN name IN ('Units', 'Observations')
+        THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE {number_sql('value', 4)} END FROM lines)
+SELECT 'part' AS model, CAST(position AS INTEGER) AS position, name, value, label FROM named"""
+
+
+def rounded_report(table):
+    """The report with its effect to 3 and the other values to 8 digits."""
+    return table.withColumn("value", F.when(F.col("name") == "treated", F.round("value", 3)).otherwise(F.round("value", 8)))
+
+
+@query(_FULL_SQL)
 def sdid_full(spark, d):
     """Report table of the weighted estimate with unit jackknife errors."""
-    return fit(part_units(spark, d)).table()
+    return rounded_report(fit(part_units(spark, d)).table())
+
+
+# ------------------------------------------------------------------ treated by their past
+
+def _top_sql(past: str) -> str:
+    """Part panel whose treated units are the top 3 % by an aggregate of their outcomes before treatment."""
+    return PART_RECURSIVE.replace("panel AS (SELECT * FROM part_panel", "whole AS (SELECT * FROM part_panel") + f"""
+, past AS (SELECT unit, {past} AS m FROM whole WHERE time <= 1998 GROUP BY unit),
+panel AS (SELECT whole.* EXCLUDE (treated), CASE WHEN m > cut THEN 1 ELSE 0 END AS treated
+    FROM whole JOIN past USING (unit), (SELECT quantile_cont(m, 0.97) AS cut FROM past))
+"""
+
+
+#: By the mean: the treated level is higher. By the last year: their path turns up, as few controls' do.
+TOP_SQL = _top_sql("avg(outcome)")
+STEEP_SQL = _top_sql("max(CASE WHEN time = 1998 THEN outcome END)")
+
+
+def top_units(spark, d, last_only: bool = False):
+    """Unit table of the complete parts; treated are the top 3 % by their outcomes before treatment."""
+    units = part_units(spark, d)
+    past = F.expr(f"y_{units.pre[-1]}" if last_only else weights.mean_before(units))
+    cut = summary.quantile_summary(units.data.select("unit", past.alias("m")), ["m"], (0.97,)).first()["p97"]
+    return replace(units, data=units.data.withColumn("treated", F.when(past > cut, 1.0).otherwise(0.0)))
+
+
+def _newton_sdid_sql(base: str, rows: list[str], covariates: bool = True) -> str:
+    return (base + units_sql(rows) + newton_weights_sql(len(rows), 4, covariates, 40) + time_weights_sql(900)
+            + ", rows AS MATERIALIZED (SELECT panel.*, unit_weight, time_weight, unit_shift, time_shift, "
+              "unit_weight * time_weight AS w FROM panel JOIN uw USING (unit) JOIN tw USING (time))"
+            + slope_sql("effect", "rows"))
+
+
+_WEIGHTS_SQL = units_sql(PART_ROWS) + newton_weights_sql(6, 4, steps=40) + """
+SELECT unit, d AS treated, round(unit_weight, 8) AS unit_weight, unit_weight = 0 AS is_zero FROM uw"""
+_LINES_SQL = diagnostics_sql(PART.covariates) + """
+SELECT 'tau' AS name, round(tau, 2) AS value FROM effect UNION ALL SELECT name, round(value, 6) FROM lines"""
+_CLUSTERS_SQL = """, sums AS (
+    SELECT cluster, sum(unit_weight) AS cluster_weight FROM (SELECT DISTINCT unit, cluster, unit_weight FROM rows WHERE treated = 0)
+    GROUP BY cluster),
+best AS (SELECT cluster, cluster_weight FROM (SELECT *, dense_rank() OVER (ORDER BY cluster_weight DESC) AS r FROM sums)
+    WHERE r <= 10)
+SELECT cluster, round(cluster_weight, 7) AS cluster_weight, false AS is_total FROM best
+UNION ALL SELECT 'Total', round(sum(cluster_weight), 7), true FROM best"""
+
+
+def _weight_rows(model):
+    out = model.unit_weights().select("unit", F.col("treated").cast("int").alias("treated"), "unit_weight")
+    return rounded(out.withColumn("is_zero", F.col("unit_weight") == 0), 8, "unit_weight")
+
+
+def _effect_lines(model):
+    effect = F.col("name") == "treated"
+    return model.table().filter("name <> 't'").select(
+        F.when(effect, "tau").otherwise(F.col("name")).alias("name"),
+        F.when(effect, F.round("value", 2)).otherwise(F.round("value", 6)).alias("value"))
+
+
+@query(TOP_SQL + _WEIGHTS_SQL)
+def unit_weights_top(spark, d):
+    """Treated of a higher level than the controls: the shift takes it up."""
+    return _weight_rows(fit(top_units(spark, d), jackknife=False))
+
+
+@query(_newton_sdid_sql(TOP_SQL, PART_ROWS) + _LINES_SQL)
+def sdid_effect_top(spark, d):
+    return _effect_lines(fit(top_units(spark, d), jackknife=False))
+
+
+@query(_newton_sdid_sql(TOP_SQL, PART_ROWS) + _CLUSTERS_SQL)
+def cluster_weights_top(spark, d):
+    model = fit(top_units(spark, d), jackknife=False)
+    return rounded(model.clusters().drop(SCENARIO), 7, "cluster_weight")
+
+
+@query(STEEP_SQL + _WEIGHTS_SQL)
+def unit_weights_steep(spark, d):
+    """Treated whose path few controls follow: nearly all weights are exactly 0."""
+    return _weight_rows(fit(top_units(spark, d, True), jackknife=False))
+
+
+@query(_newton_sdid_sql(STEEP_SQL, PART_ROWS) + _LINES_SQL)
+def sdid_effect_steep(spark, d):
+    return _effect_lines(fit(top_units(spark, d, True), jackknife=False))
+
+
+@query(_newton_sdid_sql(STEEP_SQL, PART_ROWS) + _CLUSTERS_SQL)
+def cluster_weights_steep(spark, d):
+    model = fit(top_units(spark, d, True), jackknife=False)
+    return rounded(model.clusters().drop(SCENARIO), 7, "cluster_weight")
 
 
 def _within(c: str, f: str) -> str:

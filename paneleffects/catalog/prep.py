@@ -10,7 +10,7 @@ from ..functions.columns import row_sum
 from ..operators import prep, reshape
 from ..operators.unit_table import distinct_periods
 from ..sources import files
-from ..sources.stages import stage_folder
+from ..sources.stages import current_owner, driver_table, stage_folder
 from . import query
 from .tables import (
     FLOW_SQL,
@@ -271,3 +271,74 @@ def csv_dimension_lookup(spark, d):
         table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("unit")).agg(
             F.count(F.lit(1)).alias("balance")), "unit")
     return crosswalk.join(counts, "unit")
+
+
+_GUARD_SQL = PART_SQL + """, changes AS (
+    SELECT *, (outcome - lag(outcome) OVER w) / nullif(lag(outcome) OVER w, 0) AS pc_outcome FROM part_panel
+    WINDOW w AS (PARTITION BY unit ORDER BY time))
+SELECT name, missing, missing > 0 AS refused FROM (
+    SELECT 'outcome' AS name, count(*) FILTER (outcome IS NULL) AS missing FROM changes
+    UNION ALL SELECT 'pc_outcome', count(*) FILTER (pc_outcome IS NULL) FROM changes
+    UNION ALL SELECT 'p_size', count(*) FILTER (p_size IS NULL) FROM changes)"""
+
+
+@query(_GUARD_SQL)
+def missing_guard(spark, d):
+    """Missing values counted while the panel is staged; the guard refuses the columns that have any."""
+    changes = prep.pct_changes(part_panel(spark, d), ["outcome"], "unit", "time")
+    cols = ["outcome", "pc_outcome", "p_size"]
+    staged, counts = prep.stage_counted(changes, cols)
+
+    def refused(c: str) -> bool:
+        try:
+            prep.stage_complete(staged.select(c), [c])
+        except ValueError:
+            return True
+        return False
+
+    return driver_table(spark, {
+        "name": ("string", cols),
+        "missing": ("bigint", [counts[c] for c in cols]),
+        "refused": ("boolean", [refused(c) for c in cols]),
+    })
+
+
+@query(PART_SQL + "SELECT unit, time, outcome, treated FROM part_panel")
+def guarded_panel(spark, d):
+    """A panel that passes the guard: staged once, its missing values counted by the writing tasks."""
+    return prep.stage_complete(part_panel(spark, d), ["outcome", "treated", "p_size"]).select(
+        "unit", "time", "outcome", "treated")
+
+
+@query("""
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey AS k,
+       CASE WHEN year(o_orderdate) = 1997 THEN o_totalprice * 2 ELSE o_totalprice END AS price
+FROM orders WHERE year(o_orderdate) IN (1996, 1997)""")
+def replaced_year(spark, d):
+    """Orders in one folder per year; one year is written again, two years are read back."""
+    path = f"{stage_folder(spark)}/orders-{uuid.uuid4().hex}"
+    current_owner().paths.append((spark, path))
+    orders = table(spark, d, "orders").select(
+        F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    files.write_periods(orders, path)
+    again = orders.filter("year = 1997").withColumn("price", F.col("price") * 2)
+    files.write_periods(again, path)
+    return files.read_year_folders(spark, path, "k long, price double", [1996, 1997], fmt="parquet")
+
+
+@query("""
+SELECT c_custkey AS customer, n_name AS area, r_name AS city
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def dimension_lookup(spark, d):
+    """Customers through a crosswalk that is loaded from CSV with unique keys."""
+    path = f"{stage_folder(spark)}/crosswalk-{uuid.uuid4().hex}"
+    current_owner().paths.append((spark, path))
+    cross = table(spark, d, "nation").join(
+        F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"), F.col("r_name").alias("city"))
+    files.write_table(cross, path, "csv")
+    dimension = files.read_dimension(
+        spark, path, "code string, name string, city string", {"name": "area"}, ["area"], ["code"])
+    customers = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("customer"), F.col("c_nationkey").cast("string").alias("code"))
+    return customers.join(dimension, "code").select("customer", "area", "city")

@@ -239,3 +239,13 @@ WHERE rank <= 10""")
 def top_ranks_overall(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     return summary.top_ranks(orders, "o_totalprice", 10)
+
+
+@query("""
+SELECT o_orderkey, o_totalprice, rank FROM (
+    SELECT o_orderkey, o_totalprice, CAST(dense_rank() OVER (ORDER BY o_totalprice DESC) AS INTEGER) AS rank FROM orders)
+WHERE rank <= 5000""")
+def top_ranks_many(spark, d):
+    """Thousands of ranks over the whole table, selected range by range."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return summary.top_ranks(orders, "o_totalprice", 5000)

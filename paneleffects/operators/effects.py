@@ -54,7 +54,7 @@ class Estimate:
     undefined_folds: int
     omega_nrmse: float
     lambda_nrmse: float
-    covariate_gaps: dict[str, float]
+    covariate_gaps: dict[str, float | None]
     weight_norm: float
     units: int
     observations: int
@@ -94,7 +94,7 @@ def weighted_units(
     solution: Mapping[int, UnitWeightSolution] | None,
 ) -> DataFrame:
     """Unit rows with ``unit_weight`` and ``unit_shift``; without a solution the weights are 1."""
-    data = units.data
+    data = units.rows
     if solution is None:
         return data.withColumns({"unit_weight": F.lit(1.0), "unit_shift": F.lit(0.0)})
     names = _row_names(units)
@@ -369,16 +369,19 @@ def panel_df(units: int, periods: int) -> int:
 
 def fit_diagnostics(
     units: UnitTable, stats: GroupStats, groups: Mapping[str, Mapping[int, float]]
-) -> tuple[float, float, dict[str, float], float]:
-    """Prediction error of the unit and time weights, weighted covariate gaps, weight norm."""
+) -> tuple[float, float, dict[str, float | None], float]:
+    """Prediction error of the unit and time weights, weighted covariate gaps, weight norm.
+
+    The gap is relative to the treated mean; where that is 0 there is none (None).
+    """
     treated = np.array([groups[f"path{k}"][1] for k in units.pre])
     control = np.array([groups[f"path{k}"][0] for k in units.pre])
     omega = math.sqrt(np.mean((treated - control) ** 2)) / float(np.mean(treated))
     n0 = stats.n[0]
     lam = math.sqrt(groups["gap2"][0] / n0) / (groups["post"][0] / n0)
     gaps = {
-        name: (groups[f"cov{k}"][0] - groups[f"cov{k}"][1]) / groups[f"cov{k}"][1]
-        for k, name in enumerate(units.spec.covariates) if groups[f"cov{k}"][1]
+        name: (groups[f"cov{k}"][0] - groups[f"cov{k}"][1]) / groups[f"cov{k}"][1] if groups[f"cov{k}"][1] else None
+        for k, name in enumerate(units.spec.covariates)
     }
     return omega, lam, gaps, math.sqrt(groups["ww"][0])
 

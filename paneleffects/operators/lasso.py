@@ -10,6 +10,7 @@ refresh; the p-variable problem is solved on the driver.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ class LassoFit:
     penalty: float
     iterations: int
     rows: int
+    settled: bool = True
 
     @property
     def selected(self) -> list[str]:
@@ -72,8 +74,15 @@ def rigorous_lasso(
     gamma: float | None = None,
     max_iter: int = 15,
     tol: float = 1e-5,
+    unsettled: str = "warn",
 ) -> LassoFit:
-    """``gamma`` defaults to 0.1 / log(n). Rows with a missing value are left out."""
+    """``gamma`` defaults to 0.1 / log(n). Rows with a missing value are left out.
+
+    If the residuals' spread has not settled to ``tol`` after ``max_iter`` refreshes the fit is
+    marked (``settled``) and, by ``unsettled``, that is a warning, an error or ignored.
+    """
+    if unsettled not in ("warn", "error", "ignore"):
+        raise ValueError("unsettled is 'warn', 'error' or 'ignore'")
     features = tuple(dict.fromkeys(features))
     p = len(features)
     rows = stage(
@@ -93,11 +102,12 @@ def rigorous_lasso(
     lambda0 = 2.0 * c * math.sqrt(n) * normal_quantile(1.0 - gamma / (2.0 * p))
     loadings = np.sqrt(np.array([m.extra[f"l{j}"] for j in range(p)]) / n)
     spread = math.sqrt(max(m.gram[p, p] - m.total[p] ** 2 / n, 0.0) / (n - 1))
-    b, done = np.zeros(p), 0
+    b, done, settled = np.zeros(p), 0, False
     while done < max_iter:
         b = coordinate_descent(gram, cross, lambda0 * loadings)
         done += 1
         if not np.any(b):
+            settled = True
             break
         table = driver_table(rows.sparkSession, {SCENARIO: ("int", [0])} | {
             f"_b{j}": ("double", [b[j]]) for j in range(p)})
@@ -111,5 +121,10 @@ def rigorous_lasso(
         spread = r["s"]
         if settled:
             break
+    if not settled and unsettled != "ignore":
+        message = f"the lasso's loadings had not settled after {done} refreshes"
+        if unsettled == "error":
+            raise ConvergenceError(message)
+        warnings.warn(message, stacklevel=2)
     return LassoFit(features, tuple(float(x) for x in b), tuple(float(x) for x in loadings),
-                    lambda0, done, int(n))
+                    lambda0, done, int(n), settled)

@@ -3,8 +3,8 @@
 Group values are attached by aggregating first and joining the result back
 (``attach``): partial aggregation shrinks a group of any size before the shuffle, and the
 join is a broadcast when the aggregate is small, else a shuffle join whose large keys
-adaptive execution can split. Windows are used only where the order of a unit's own
-periods matters; they hold as many rows as the unit has periods.
+adaptive execution can split. Windows hold a unit's own periods only: rows without a unit,
+and units known to have many rows, are kept out of them (``over_units``).
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import INFINITY, all_finite, ratio, row_sum
-from ..sources.stages import checked_small
+from ..functions.columns import INFINITY, all_finite, any_of, ratio, row_sum
+from ..sources.stages import checked_small, stage_observed
 
 # ------------------------------------------------------------------ rows and missing values
 
@@ -37,34 +37,86 @@ def infinite_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 def require_complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Raise if any value in ``cols`` is missing; one aggregate over the needed columns."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c)
-                      for c in cols]).first().asDict()
+    _refuse_missing(df.agg(*_missing_counts(cols)).first().asDict())
+    return df
+
+
+def stage_complete(df: DataFrame, cols: Sequence[str], label: str = "complete") -> DataFrame:
+    """``df`` staged; raises if any value in ``cols`` is missing.
+
+    The missing values are counted by the tasks that write, so the guard costs no scan.
+    """
+    staged, counts = stage_counted(df, cols, label)
+    _refuse_missing(counts)
+    return staged
+
+
+def stage_counted(df: DataFrame, cols: Sequence[str], label: str = "counted") -> tuple[DataFrame, dict[str, int]]:
+    """``df`` staged, and the missing values per column, counted by the tasks that write."""
+    return stage_observed(df, _missing_counts(cols), label)
+
+
+def _missing_counts(cols: Sequence[str]) -> list[Column]:
+    return [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in cols]
+
+
+def _refuse_missing(counts: Mapping[str, int]) -> None:
     bad = {c: n for c, n in counts.items() if n}
     if bad:
         raise ValueError(f"the input data contains missing observations: {bad}")
-    return df
 
 
 def attach(
-    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], few_groups: bool = False
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], few_groups: bool = False,
+    heavy: Sequence[object] = (),
 ) -> DataFrame:
     """Add group aggregates to every row of the group.
 
     ``few_groups`` is for coarse keys (areas, periods, treatment groups): the aggregate is
-    computed first and, if small, joined as a broadcast; NULL keys form a group. Otherwise
-    the keys are taken to be unit keys: a shuffle join on the aggregate's own
-    partitioning. NULL keys form a group in both.
+    computed first and, if small, joined as a broadcast. Otherwise the keys are taken to be
+    unit keys, whose few rows meet in a window; see ``over_units`` for ``heavy``. NULL keys
+    form a group in both.
     """
+    if not few_groups:
+        return over_units(df, keys, values, heavy)
     names = [f"_key_{i}" for i in range(len(keys))]
     groups = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(
         *[c.alias(n) for n, c in values.items()])
-    pairs = [(F.col(k), F.col(n)) for k, n in zip(keys, names, strict=True)]
+    pairs = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    kept = [c for c in df.columns if c not in values]
+    return df.select(*kept).join(checked_small(groups), pairs).select(*kept, *values)
+
+
+#: Parts into which the rows of a key that is carried by broadcast are dealt.
+SPREAD = 256
+
+
+def over_units(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], heavy: Sequence[object] = ()
+) -> DataFrame:
+    """Aggregates of the rows with equal ``keys``, on each of these rows, in one shuffle.
+
+    The few rows of a unit meet in a window. Rows that have a NULL key, or whose first key is
+    listed in ``heavy``, may be many: they are dealt over the tasks, and their aggregates,
+    partially aggregated and one row per such key, come by broadcast.
+    """
+    first = F.col(keys[0])
+    apart = any_of([F.col(k).isNull() for k in keys] + ([first.isin(list(heavy))] if heavy else []))
     kept = [c for c in df.columns if c not in values]
-    if few_groups:
-        joined = df.select(*kept).join(checked_small(groups), [a.eqNullSafe(b) for a, b in pairs])
-    else:
-        joined = df.select(*kept).join(groups, [a.eqNullSafe(b) for a, b in pairs], "left")
-    return joined.select(*kept, *values)
+    if not heavy and not any(df.schema[k].nullable for k in keys):
+        window = Window.partitionBy(*keys)
+        return df.select(*kept, *[v.over(window).alias(n) for n, v in values.items()])
+    part = F.when(apart, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(F.lit(-1))
+    window = Window.partitionBy(*keys, "_part")
+    dealt = df.withColumn("_part", part)
+    near = dealt.select(*kept, "_part", *[v.over(window).alias(f"_own_{n}") for n, v in values.items()])
+    names = [f"_key_{i}" for i in range(len(keys))]
+    far = df.filter(apart).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(
+        *[v.alias(f"_far_{n}") for n, v in values.items()])
+    pairs = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    both = near.join(checked_small(far), pairs, "left")
+    return both.select(*kept, *[
+        F.when(F.col("_part") < 0, F.col(f"_own_{n}")).otherwise(F.col(f"_far_{n}")).alias(n) for n in values])
 
 
 def complete_units(
@@ -123,15 +175,17 @@ def area_totals(df: DataFrame, size: str, area: str, time: str, name: str) -> Da
 
 
 def spread_periods(
-    df: DataFrame, cols: Sequence[str], periods: Sequence[int], unit: str, time: str
+    df: DataFrame, cols: Sequence[str], periods: Sequence[int], unit: str, time: str,
+    heavy: Sequence[object] = (),
 ) -> DataFrame:
     """``<col>_<period>``: the unit's value in that period, on all of the unit's rows.
 
-    One shuffle on the unit, whose few rows meet in a window; NULL units form a group.
+    One shuffle on the unit, whose few rows meet in a window; NULL units form a group, which
+    like the units in ``heavy`` is not brought together (``over_units``).
     """
-    window = Window.partitionBy(unit)
-    values = {f"{c}_{t}": F.max(F.when(F.col(time) == t, F.col(c))).over(window) for c in cols for t in periods}
-    return df.select(*[c for c in df.columns if c not in values], *[v.alias(n) for n, v in values.items()])
+    return over_units(
+        df, [unit],
+        {f"{c}_{t}": F.max(F.when(F.col(time) == t, F.col(c))) for c in cols for t in periods}, heavy)
 
 
 def pct_changes(

@@ -1,16 +1,17 @@
 """Propensity scores by stepwise logit.
 
-All candidate models of a selection round are fitted together: each unit row is repeated,
-inside the scan, once per candidate, and one aggregate per Newton step returns every
-model's score vector, information matrix and deviance. A round costs a handful of passes,
-not a handful per candidate.
+All candidate models of a selection round are fitted together: one scan per Newton step
+returns every model's score vector, information matrix and deviance. Rows are not repeated
+for the candidates. As long as the models agree on the base terms and leave the candidate
+out, as at the start of a round, they share the base block of the information matrix and
+each adds only its border (the candidate against the base terms, and its own corner).
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,9 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import is_finite
 from ..sources.stages import driver_table, stage
 from ..spec import ConvergenceError
-from .moments import Moments, dot, moment_pass
+from .moments import block_pass
 from .prep import finite_rows
-from .unit_table import SCENARIO
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,11 @@ class Logit:
     def names(self) -> list[str]:
         return [t.name for t in self.terms]
 
+    def renamed(self, columns: Mapping[str, str]) -> Logit:
+        """The model over a table that has these columns under other names."""
+        return replace(self, terms=tuple(
+            Term(t.name, tuple(columns.get(c, c) for c in t.factors)) for t in self.terms))
+
     def predict(self, df: DataFrame, name: str = "pscore") -> DataFrame:
         """Add the predicted probability; NULL where a regressor is missing."""
         score = " + ".join([
@@ -67,15 +72,14 @@ class _Fit:
     def trial(self) -> np.ndarray:
         return self.beta if self.step is None else self.beta + self.length * self.step
 
-    def see(self, m: Moments) -> None:
-        beta, deviance = self.trial(), m.extra["dev"]
+    def see(self, deviance: float, score: np.ndarray, information: np.ndarray) -> None:
+        beta = self.trial()
         if self.step is not None and not deviance <= self.deviance + 1e-12 * abs(self.deviance):
             self.length /= 2.0
             self.done = self.length < 1e-8
             return
         before, self.deviance, self.beta = self.deviance, deviance, beta
-        score = np.array([m.extra[f"g{i}"] for i in range(len(beta))])
-        self.step = np.linalg.lstsq(m.gram, score, rcond=1e-12)[0]
+        self.step = np.linalg.lstsq(information, score, rcond=1e-12)[0]
         self.length = 1.0
         size = abs(deviance) + 0.1
         gain = float(score @ self.step)  # what the next step takes off, to second order
@@ -98,6 +102,62 @@ def _scales(rows: DataFrame, terms: Sequence[Term]) -> dict[str, _Scale]:
     return {t.name: _Scale(r[f"m{i}"], r[f"s{i}"] or 1.0) for i, t in enumerate(terms)}
 
 
+def logit_pass(
+    flat: DataFrame, d: int, trials: Mapping[int, np.ndarray]
+) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """(deviance, score, information) of every model in one scan that reads each row once.
+
+    ``flat`` has the label, d - 1 base columns and a column per candidate; model i has the
+    constant, the base columns and candidate i, with coefficients ``trials[i]``. Tasks send the
+    base block under key 0 and a border per model while the models share it, else a full
+    block per model.
+    """
+    models = list(trials)
+    betas = np.array([trials[i] for i in models])
+    shared = bool(np.all(betas[:, :d] == betas[0, :d]) and not np.any(betas[:, d]))
+
+    def partial(b):
+        column = lambda k: b.column(k).to_numpy(zero_copy_only=False)
+        y = column(0)
+        x = np.column_stack([np.ones(len(y)), *[column(k) for k in range(1, d)]])
+
+        def at(eta):
+            p = 1.0 / (1.0 + np.exp(-eta))
+            deviance = 2.0 * np.sum(np.maximum(eta, 0.0) - y * eta + np.log1p(np.exp(-np.abs(eta))))
+            return deviance, y - p, p * (1.0 - p)
+
+        if shared:
+            deviance, gap, w = at(x @ betas[0, :d])
+            wx = x * w[:, None]
+            z = np.column_stack([column(d + i) for i in models])
+            border, corner, score = wx.T @ z, w @ (z * z), gap @ z
+            out = {0: np.concatenate([[deviance], gap @ x, (x.T @ wx).ravel()])}
+            for k, i in enumerate(models):
+                out[i + 1] = np.concatenate([[score[k], corner[k]], border[:, k]])
+            return out
+        out = {}
+        for k, i in enumerate(models):
+            design = np.column_stack([x, column(d + i)])
+            deviance, gap, w = at(design @ betas[k])
+            out[i + 1] = np.concatenate([[deviance], gap @ design, (design.T @ (design * w[:, None])).ravel()])
+        return out
+
+    found = block_pass(flat, partial)
+    out = {}
+    for i in models if found else ():
+        x = found[i + 1]
+        if shared:
+            base = found[0]
+            information = np.zeros((d + 1, d + 1))
+            information[:d, :d] = base[1 + d:].reshape(d, d)
+            information[:d, d] = information[d, :d] = x[2:]
+            information[d, d] = x[1]
+            out[i] = float(base[0]), np.append(base[1:1 + d], x[0]), information
+        else:
+            out[i] = float(x[0]), x[1:2 + d].copy(), x[2 + d:].reshape(d + 1, d + 1).copy()
+    return out
+
+
 def fit_logits(
     rows: DataFrame,
     label: str,
@@ -115,44 +175,19 @@ def fit_logits(
         first[1:d] = [start.get(t.name, 0.0) * scale[t.name].sd for t in base]
         first[0] = start.get("", 0.0) + sum(start.get(t.name, 0.0) * scale[t.name].mean for t in base)
     fits = [_Fit(first.copy()) for _ in candidates]
-    options = ", ".join(
-        f"struct({i} AS {SCENARIO}, {'0.0D' if t is None else t.expr} AS _z)"
-        for i, t in enumerate(candidates))
+    standard = lambda t: f"({t.expr} - ({scale[t.name].mean!r}D)) / ({scale[t.name].sd!r}D)"
     flat = rows.selectExpr(
-        f"double(`{label}`) AS _y", *[f"{t.expr} AS _x{k}" for k, t in enumerate(base)],
-        f"inline(array({options}))")
+        f"double(`{label}`) AS _y", *[f"{standard(t)} AS _x{k}" for k, t in enumerate(base)],
+        *[f"{'0.0D' if t is None else standard(t)} AS _z{i}" for i, t in enumerate(candidates)])
     for _ in range(max_passes):
         open_ = [i for i, f in enumerate(fits) if not f.done]
         if not open_:
             break
-        trials = {i: fits[i].trial() for i in open_}
-        columns = {SCENARIO: ("int", open_)}
-        for k in range(d + 1):
-            columns[f"_b{k}"] = ("double", [trials[i][k] for i in open_])
-        for k, t in enumerate(base):
-            columns[f"_m{k}"] = ("double", [scale[t.name].mean] * len(open_))
-            columns[f"_s{k}"] = ("double", [scale[t.name].sd] * len(open_))
-        zs = [_Scale(0.0, 1.0) if candidates[i] is None else scale[candidates[i].name] for i in open_]
-        columns["_mz"] = ("double", [z.mean for z in zs])
-        columns["_sz"] = ("double", [z.sd for z in zs])
-        f = ["1.0D", *[f"_f{k}" for k in range(1, d)], "_fz"]
-        scored = (
-            flat.join(driver_table(rows.sparkSession, columns), SCENARIO)
-            .selectExpr(
-                SCENARIO, "_y", *[f"_b{k}" for k in range(d + 1)],
-                *[f"(_x{k} - _m{k}) / _s{k} AS _f{k + 1}" for k in range(len(base))],
-                "(_z - _mz) / _sz AS _fz")
-            .selectExpr("*", dot([f"_b{k}" for k in range(d + 1)], f) + " AS _eta")
-            .selectExpr("*", "1.0D / (1.0D + exp(-_eta)) AS _p")
-            .selectExpr("*", "sqrt(_p * (1.0D - _p)) AS _w")
-        )
-        extra = {"dev": "2 * (greatest(_eta, 0.0D) - _y * _eta + log1p(exp(-abs(_eta))))"}
-        extra |= {f"g{k}": f"(_y - _p) * {c}" for k, c in enumerate(f)}
-        sums = moment_pass(scored, [f"_w * {c}" for c in f], extra)
+        sums = logit_pass(flat, d, {i: fits[i].trial() for i in open_})
         if not sums:
             raise ValueError("the propensity model needs at least one complete row")
         for i in open_:
-            fits[i].see(sums[i])
+            fits[i].see(*sums[i])
     if not all(f.done for f in fits):
         raise ConvergenceError(f"the logit did not converge in {max_passes} passes; are the groups separated?")
     out = []

@@ -58,14 +58,47 @@ def weight_norm(df: DataFrame, weight: str, by: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*by).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("norm"))
 
 
+#: Up to this rank tasks cut their rows down before a group meets; beyond it ranks are selected.
+FEW_RANKS = 100
+
+
 def top_ranks(df: DataFrame, value: str, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Rows whose value is among the k largest distinct values (of its group), with ``rank``.
 
-    Ties share a rank and are all kept. Spark filters on the rank inside every task
-    before the shuffle, so only leading candidates of a large group move.
+    Ties share a rank and are all kept; NULL ranks last. For a few ranks Spark filters on the
+    rank inside every task before the shuffle, so only leading candidates of a large group
+    move. For more, the ranks come from ``leading_values``.
     """
-    window = Window.partitionBy(*by).orderBy(F.col(value).desc())
-    return df.withColumn("rank", F.dense_rank().over(window)).filter(F.col("rank") <= k)
+    if k <= FEW_RANKS:
+        window = Window.partitionBy(*by).orderBy(F.col(value).desc())
+        return df.withColumn("rank", F.dense_rank().over(window)).filter(F.col("rank") <= k)
+    names = [f"_lead_{i}" for i in range(len(by) + 1)]
+    ranks = leading_values(df, value, k, by).toDF(*names, "rank")
+    pairs = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip([*by, value], names, strict=True)]
+    return df.join(checked_small(ranks), pairs).select(*df.columns, "rank")
+
+
+def leading_values(df: DataFrame, value: str, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """The k largest distinct values (of each group) and their ranks: by, value, rank.
+
+    Distinct values are spread over ranges of (group, value), largest first. Each range is
+    numbered by itself; a table with a row per range and group says how many values lie
+    before. No task holds a group, whatever k is.
+    """
+    order = [*[F.col(c).asc_nulls_first() for c in by], F.col(value).desc_nulls_last()]
+    ranged = stage(
+        df.select(*by, value).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+        .select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "ranks")
+    found = ranged.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = found.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter(F.col("_before") < k)
+    names = [f"_group_{i}" for i in range(len(by))]
+    begins = checked_small(begins.select(
+        *[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_range").alias("_run"), "_first", "_before"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)]
+    rank = (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")
+    return ranged.join(begins, [F.col("_range") == F.col("_run"), *same]).select(
+        *by, value, rank.alias("rank")).filter(F.col("rank") <= k)
 
 
 def _long(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -7,17 +7,19 @@ numbers. Units stay rows, so their number is not limited by the width of a table
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_finite, any_of
-from ..sources.stages import stage
+from ..sources.stages import stage_observed
 from ..spec import PanelSpec
 
 SCENARIO = "scenario"
+#: Which of the clusters that some scenario leaves out a unit belongs to; 0 for none.
+LEFT = "left_class"
 
 
 class PanelError(ValueError):
@@ -30,11 +32,16 @@ def mean_of(cols: Sequence[str]) -> str:
 
 @dataclass(frozen=True)
 class UnitTable:
-    """Columns: scenario, unit, treated, cluster, y_0.. (outcomes), x_0.. (covariates), z_0.. (modifiers)."""
+    """Columns: scenario, unit, treated, cluster, y_0.. (outcomes), x_0.. (covariates), z_0.. (modifiers).
+
+    ``data`` has a row per unit. With ``groups``, scenario s leaves out the clusters in
+    ``groups[s]``; ``rows`` then has a row per unit and scenario that keeps it.
+    """
 
     data: DataFrame
     spec: PanelSpec
     periods: tuple[int, ...]
+    groups: tuple[tuple, ...] = ()
 
     @property
     def outcome_cols(self) -> list[str]:
@@ -65,27 +72,43 @@ class UnitTable:
         """The same units with periods after ``last`` dropped and a new treatment start."""
         kept = tuple(t for t in self.periods if t <= last)
         drop = [f"y_{k}" for k in range(len(kept), len(self.periods))]
-        return UnitTable(self.data.drop(*drop), self.spec.with_(time_pre=time_pre), kept)
+        return UnitTable(self.data.drop(*drop), self.spec.with_(time_pre=time_pre), kept, self.groups)
 
     def keep_units(self, keys: DataFrame, column: str) -> UnitTable:
         """Only the units listed in ``keys[column]``."""
         wanted = keys.select(F.col(column).alias("unit")).distinct()
         return replace(self, data=self.data.join(wanted, "unit", "left_semi"))
 
+    @property
+    def left_out(self) -> list:
+        """The clusters that some scenario leaves out; the k-th has class k + 1."""
+        return sorted({c for group in self.groups for c in group}, key=str)
+
+    def kept(self) -> list[list[bool]]:
+        """For each class of units, whether each scenario keeps it."""
+        return [[True] * len(self.groups), *[[c not in group for group in self.groups] for c in self.left_out]]
+
+    @property
+    def rows(self) -> DataFrame:
+        """Unit rows per scenario, repeated inside the scan; the stored table does not grow."""
+        if not self.groups:
+            return self.data
+        own = F.array(*[
+            F.array(*[F.lit(s) for s, stays in enumerate(line) if stays]).cast("array<int>") for line in self.kept()])
+        rest = [c for c in self.data.columns if c not in (SCENARIO, LEFT)]
+        return self.data.select(F.explode(F.get(own, F.col(LEFT))).alias(SCENARIO), *rest)
+
     def with_scenarios(self, dropped: Sequence[Sequence[object]]) -> UnitTable:
         """Scenario s keeps the units outside the clusters in ``dropped[s]``.
 
-        Each unit row is repeated, inside the scan, for the scenarios that keep it.
-        The stored table does not grow; only the aggregates are per scenario.
+        Sums that are the same function of a unit in every scenario are taken once per left-out
+        cluster and added up for the scenarios that keep it; see ``weights``.
         """
-        everything = F.array(*[F.lit(s) for s in range(len(dropped))])
-        kept: Column = everything
-        for cluster in sorted({c for group in dropped for c in group}, key=str, reverse=True):
-            stays = [F.lit(s) for s, group in enumerate(dropped) if cluster not in group]
-            mine = F.array(*stays) if stays else F.array().cast("array<int>")
-            kept = F.when(F.col("cluster") == F.lit(cluster), mine).otherwise(kept)
-        rest = [c for c in self.data.columns if c != SCENARIO]
-        return replace(self, data=self.data.select(F.explode(kept).alias(SCENARIO), *rest))
+        out = replace(self, groups=tuple(tuple(g) for g in dropped))
+        mine: Column = F.lit(0)
+        for k, cluster in reversed(list(enumerate(out.left_out))):
+            mine = F.when(F.col("cluster").eqNullSafe(F.lit(cluster)), F.lit(k + 1)).otherwise(mine)
+        return replace(out, data=self.data.withColumn(LEFT, mine))
 
 
 def distinct_periods(panel: DataFrame, time: str) -> list[int]:
@@ -140,7 +163,7 @@ def unit_tables(
         *[F.col(c).cast("double").alias(f"cov_{j}") for j, c in enumerate(covariates)],
     )
     source = source.filter(F.col("time").isin(list(periods)) | F.col("time").isNull())
-    wide = stage(
+    wide = (
         # text columns are keys, not aggregates: the aggregate stays a hash aggregate
         source.groupBy("unit", "cluster").agg(
             F.count(F.lit(1)).alias("n_rows"),
@@ -149,13 +172,12 @@ def unit_tables(
             F.expr("struct(" + ", ".join(
                 f"max(IF(time = {t}, out_{j}, NULL)) AS y_{j}_{k}"
                 for j in range(len(outcomes)) for k, t in enumerate(periods)) + ")").alias("y"),
-        ).select(F.lit(0).alias(SCENARIO), "*", "y.*").drop("y"),
-        "units",
+        ).select(F.lit(0).alias(SCENARIO), "*", "y.*").drop("y")
     )
 
     if incomplete not in ("error", "drop"):
         raise ValueError("incomplete is 'error' or 'drop'")
-    tables, faults = [], []
+    parts, faults = [], []
     for i, spec in enumerate(specs):
         j = outcomes.index(spec.outcome)
         xs = [covariates.index(c) for c in (*spec.covariates, *spec.modifiers)]
@@ -174,16 +196,18 @@ def unit_tables(
             "NULL units": F.col("unit").isNull(),
         }
         faults += [F.count_if(kept & bad).alias(f"{i}|{name}") for name, bad in checks.items()]
-        data = wide.filter(kept).select(
+        parts.append((kept, [
             SCENARIO,  # stored, so that parameter tables join on it by hash
             "unit",
             F.col("treated.value").alias("treated"),
             "cluster",
             *[F.col(y).alias(f"y_{k}") for k, y in enumerate(ys)],
             *[F.col(f"cov_{x}.value").alias(c) for c, x in zip(named, xs, strict=True)],
-        )
-        tables.append(UnitTable(data, spec, periods))
-    found: Mapping[str, int] = wide.agg(*faults).first().asDict()
+        ]))
+    # the tasks that write the table count its faults
+    wide, found = stage_observed(wide, faults, "units")
+    tables = [UnitTable(wide.filter(kept).select(*columns), spec, periods)
+              for (kept, columns), spec in zip(parts, specs, strict=True)]
     broken = {k: n for k, n in found.items() if n}
     if first.cluster and incomplete == "drop":
         # only units that miss rows under one cluster are looked at again

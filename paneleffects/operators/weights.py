@@ -9,9 +9,14 @@ plus one: with B_ri = sqrt(v_r)(A_ri - b_r), the weights are w_i = max(0, mu - q
     f(q, mu) = eta/2 |q|^2 + 1/2 sum_i max(0, mu - q'B_i)^2 - mu,   c'q = 0
 is convex and piecewise quadratic. Newton steps on f need sums over the active units
 only (count, sum B, sum BB'): one aggregate per step, whatever the number of units.
+The same sums give a feasible point of the weight problem itself, so every point the search
+accepts comes with its duality gap: how far its loss can be from the best one. A search that
+ends with a gap above ``MOST_GAP`` of the loss is an error, however it ended. The gap also
+bounds the dual solution, and a control beyond that bound must have weight 0: once few
+controls are active the others are screened out and later steps read what is left.
 When the ridge all but vanishes against the outcome's scale (large units, no covariates)
 and the treated path lies outside the controls, rounding limits single weights to about
-1e-5; ``residual`` reports it and the weights are scaled to sum to one.
+1e-5; ``residual`` and ``gap`` report it and the weights are scaled to sum to one.
 """
 
 from __future__ import annotations
@@ -22,12 +27,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..sources.stages import driver_table
-from .moments import NATIVE_PRODUCTS, Moments, dot, moment_pass
-from .unit_table import SCENARIO, UnitTable
+from ..sources.stages import driver_table, stage
+from .moments import Moments, Spread, block_pass, dot, moment_pass, spread_pass
+from .unit_table import LEFT, SCENARIO, UnitTable, mean_of
 
 POST = "post_mean"
 SHORTEST_CUT = 1e-8  # of a step that went too far, per pass
+SCREEN_BELOW = 0.25  # share of active controls from which the others are screened
+MOST_GAP = 1e-6      # of the loss, that a solution may be away from the best one
 
 
 class WeightError(ValueError):
@@ -47,33 +54,41 @@ class GroupStats:
         return np.array([self.names.index(c) for c in names])
 
 
-def group_stats(units: UnitTable) -> dict[int, GroupStats]:
-    """One pass: per scenario and group, mean and variance of outcomes, covariates, post mean."""
+def group_stats(units: UnitTable, fields: int | None = None) -> dict[int, GroupStats]:
+    """One pass: per scenario and group, mean and variance of outcomes, covariates, post mean.
+
+    Every unit is read once: scenarios put together the clusters they keep.
+    """
     names = [*units.outcome_cols, *units.covariate_cols, POST]
-    parts = [f"avg({c}) AS m_{c}, var_samp({c}) AS v_{c}" for c in names]
-    rows = (
-        units.data.selectExpr("*", f"{units.post_mean} AS {POST}")
-        .groupBy(SCENARIO, "treated")
-        .agg(F.expr(f"struct(count(*) AS n, {', '.join(parts)})").alias("stats"))
-        .collect()
-    )
-    found: dict[int, dict[int, object]] = {}
-    for r in rows:
-        found.setdefault(r[SCENARIO], {})[int(r["treated"])] = r["stats"]
+    rows = units.data.selectExpr("*", f"{units.post_mean} AS {POST}")
+    key = f"2 * {LEFT if units.groups else SCENARIO} + IF(treated = 1, 1, 0)"
+    found = spread_pass(rows, key, names, fields)
     stats = {}
-    for s, groups in found.items():
-        if set(groups) != {0, 1}:
-            raise WeightError(f"scenario {s} has no {'treated' if 0 in groups else 'control'} units")
-        number = lambda r, c: np.nan if r[c] is None else float(r[c])
+    for s, kept in _members(units, {k // 2 for k in found}).items():
+        both = []
+        for g in (0, 1):
+            parts = [found[2 * c + g] for c in kept if 2 * c + g in found]
+            if not parts:
+                raise WeightError(f"scenario {s} has no {'control' if g == 0 else 'treated'} units")
+            both.append(Spread.together(parts))
         stats[s] = GroupStats(
-            tuple(names),
-            (float(groups[0]["n"]), float(groups[1]["n"])),
-            tuple(np.array([number(groups[g], f"m_{c}") for c in names]) for g in (0, 1)),
-            tuple(np.array([number(groups[g], f"v_{c}") for c in names]) for g in (0, 1)),
-        )
+            tuple(names), tuple(x.n for x in both), tuple(x.mean for x in both), tuple(x.variance for x in both))
     return stats
 
 
+def mean_before(units: UnitTable) -> str:
+    """SQL expression: mean outcome of the unit before treatment starts."""
+    return mean_of([f"y_{k}" for k in units.pre])
+
+
+def _members(units: UnitTable, keys: set[int]) -> dict[int, list[int]]:
+    """The row keys (classes of left-out clusters, or scenarios) that make up each scenario."""
+    if not units.groups:
+        return {s: [s] for s in sorted(keys)}
+    kept = units.kept()
+    return {s: [c for c in sorted(keys) if kept[c][s]] for s in range(len(units.groups))}
+
+
 def normalized_differences(units: UnitTable, stats: GroupStats) -> dict[str, float]:
     """|difference of group means| / sqrt(average group variance), per pre-period and covariate."""
     rows = _row_names(units)
@@ -113,6 +128,7 @@ class UnitWeightSolution:
     eta: float
     passes: int = 0
     residual: float = 0.0
+    gap: float = 0.0  # duality gap over the loss
 
 
 @dataclass
@@ -130,6 +146,9 @@ class _Newton:
     nu: float = 0.0
     active: float = -1.0
     residual: float = np.inf
+    gap: float = np.inf
+    loss: float = np.inf
+    screen: tuple[np.ndarray, float, float] | None = None
     passes: int = 0
     done: bool = False
 
@@ -161,6 +180,7 @@ class _Newton:
         settled = same_active and abs(value - self.value) <= 1e-13 * abs(value)
         self.q, self.mu, self.value, self.grad = q, mu, value, grad
         self.active = m.n
+        self._certify(m, w_b, w_sum, w_square)
         r = len(q)
         hessian = np.zeros((r + 1, r + 1))
         hessian[:r, :r] = self.eta * np.eye(r) + m.gram
@@ -186,6 +206,24 @@ class _Newton:
             self.done = True
 
 
+    def _certify(self, m: Moments, w_b: np.ndarray, w_sum: float, w_square: float) -> None:
+        """Duality gap at the accepted point, and the bound beyond which a control has weight 0."""
+        if not w_sum > 0:
+            return
+        mean = w_b / w_sum  # scaled to sum to one, the weights are feasible
+        rest = mean - self.c * (self.c @ mean) / (self.c @ self.c)
+        self.loss = 0.5 * w_square / w_sum**2 + rest @ rest / (2.0 * self.eta)
+        self.gap = max(self.loss + self.value, 0.0)
+        # the best q lies within this distance, the best mu below the mean of w + q'B over the active
+        reach = np.sqrt(2.0 * (self.gap + 1e-14 * abs(self.loss)) / self.eta)
+        centre = m.total / m.n
+        self.screen = (self.q, float(reach), float(1.0 / m.n + self.q @ centre + reach * np.linalg.norm(centre)))
+
+    @property
+    def relative_gap(self) -> float:
+        return self.gap / self.loss if self.loss > 0 and np.isfinite(self.loss) else np.inf
+
+
 def _scaled_solve(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
     scale = 1.0 / np.sqrt(np.maximum(np.abs(np.diag(matrix)), 1e-300))
     scale[np.abs(np.diag(matrix)) == 0.0] = 1.0
@@ -201,7 +239,7 @@ def solve_unit_weights(
     stats: Mapping[int, GroupStats],
     centred: Mapping[int, Moments] | None = None,
     max_passes: int = 200,
-    native_products: int = NATIVE_PRODUCTS,
+    fields: int | None = None,
 ) -> dict[int, UnitWeightSolution]:
     """Unit weights of every scenario; all scenarios share each pass over the data.
 
@@ -237,12 +275,15 @@ def solve_unit_weights(
         if centred is not None:
             state.see(_start_moments(st, centred[s], at, target, scale, state.mu))
 
-    controls = units.data.filter("treated = 0")
+    controls, narrowed = units.data.filter("treated = 0"), False
     for _ in range(max_passes):
         open_ = [s for s, plan in plans.items() if not plan[0].done]
         if not open_:
             break
-        sums = _dual_pass(units, controls, {s: plans[s] for s in open_}, names, native_products)
+        few = [plans[s][0].screen and plans[s][0].active < SCREEN_BELOW * stats[s].n[0] for s in open_]
+        if not narrowed and not units.groups and plans[open_[0]][0].passes > 2 and all(few):
+            controls, narrowed = stage(_not_screened(controls, {s: plans[s] for s in open_}, names), "controls"), True
+        sums = _dual_pass(units, controls, {s: plans[s] for s in open_}, names, fields)
         for s in open_:
             plans[s][0].see(sums.get(s) or _nothing(len(names)))
     result = {}
@@ -250,11 +291,14 @@ def solve_unit_weights(
         if not state.done:
             raise WeightError(f"scenario {s}: unit weights not solved after {max_passes} passes")
         total = 1.0 + state.grad[-1]
+        if not state.relative_gap <= MOST_GAP:
+            raise WeightError(
+                f"scenario {s}: the search for unit weights stalled with {state.relative_gap:.1e} of the loss left")
         if not 0.99 <= total <= 1.01:
             raise WeightError(f"scenario {s}: unit weights sum to {total}")
         result[s] = UnitWeightSolution(
             state.mu / total, state.q / scale / total, target, -state.nu * unit0,
-            stats[s].n[1], zeta, eta, state.passes, state.residual,
+            stats[s].n[1], zeta, eta, state.passes, state.residual, state.relative_gap,
         )
     return result
 
@@ -275,7 +319,27 @@ def _start_moments(st, m: Moments, at, target, scale, mu: float) -> Moments:
     return Moments(n, total, gram, extra)
 
 
-def _dual_pass(units, controls, plans, names, native_products) -> dict[int, Moments]:
+def _not_screened(controls, plans, names):
+    """The controls that can still have a weight above 0 in some open scenario's solution."""
+    r, keys = len(names), list(plans)
+    columns = {SCENARIO: ("int", keys)}
+    screens = [plans[s][0].screen for s in keys]
+    columns["_reach"] = ("double", [x[1] for x in screens])
+    columns["_top"] = ("double", [x[2] for x in screens])
+    for i in range(r):
+        columns[f"_t{i}"] = ("double", [plans[s][1][i] for s in keys])
+        columns[f"_k{i}"] = ("double", [plans[s][2][i] for s in keys])
+        columns[f"_q{i}"] = ("double", [x[0][i] for x in screens])
+    b = [f"(({c} - _t{i}) / _k{i})" for i, c in enumerate(names)]
+    far = f"({dot([f'_q{i}' for i in range(r)], b)}) - _reach * sqrt({dot(b, b)}) >= _top"
+    joined = controls.join(driver_table(controls.sparkSession, columns), SCENARIO)
+    return joined.filter(f"NOT ({far})").select(*controls.columns)
+
+
+def _dual_pass(units, controls, plans, names, fields) -> dict[int, Moments]:
+    """Sums over the active controls at each scenario's trial point, in one scan of the units."""
+    if units.groups:
+        return _dual_blocks(controls, np.array(units.kept()), plans, names)
     r = len(names)
     spark = controls.sparkSession
     keys = list(plans)
@@ -294,29 +358,60 @@ def _dual_pass(units, controls, plans, names, native_products) -> dict[int, Mome
         .filter("w > 0")
     )
     extra = {"w": "w", "ww": "w * w"} | {f"wb{i}": f"w * b_{i}" for i in range(r)}
-    return moment_pass(rows, bs, extra, native_products)
+    return moment_pass(rows, bs, extra, fields)
+
+
+def _dual_blocks(controls, kept: np.ndarray, plans, names) -> dict[int, Moments]:
+    """``_dual_pass`` of left-out scenarios: each unit row is read once and meets every trial point."""
+    r = len(names)
+    trials = [(s, *plan[0].trial(), plan[1], plan[2], kept[:, s]) for s, plan in plans.items()]
+
+    def partial(b):
+        left = b.column(0).to_numpy(zero_copy_only=False)
+        z = np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(r)])
+        out = {}
+        for s, q, mu, target, scale, stays in trials:
+            rows = (z - target) / scale
+            w = np.where(stays[left], mu - rows @ q, 0.0)
+            on = w > 0
+            if on.any():
+                rows, w = rows[on], w[on]
+                # [n, sum w, sum w^2 | sum b, sum w b | sum b b']
+                out[s] = np.concatenate([[len(w), w.sum(), w @ w], rows.sum(axis=0), w @ rows, (rows.T @ rows).ravel()])
+        return out
+
+    rows = controls.select(LEFT, *names)
+    return {
+        s: Moments(x[0], x[3:3 + r].copy(), x[3 + 2 * r:].reshape(r, r).copy(),
+                   {"w": x[1], "ww": x[2]} | {f"wb{i}": x[3 + r + i] for i in range(r)})
+        for s, x in block_pass(rows, partial).items()}
 
 
 def control_moments(
-    units: UnitTable, stats: Mapping[int, GroupStats], native_products: int = NATIVE_PRODUCTS
+    units: UnitTable, stats: Mapping[int, GroupStats], fields: int | None = None
 ) -> dict[int, Moments]:
     """Centred second moments over controls of [pre-periods, covariates, post mean].
 
-    One pass that feeds both the time weights and the first unit-weight step.
+    One pass that feeds both the time weights and the first unit-weight step. With left-out
+    scenarios the moments are taken per left-out cluster about one centre, added up for the
+    clusters a scenario keeps and moved to its own mean: each unit is read once.
     """
     names = [*_row_names(units), POST]
     keys = list(stats)
     means = {s: stats[s].mean[0][stats[s].pick(names)] for s in keys}
+    data = units.data.filter("treated = 0").selectExpr("*", f"{units.post_mean} AS {POST}")
+    if units.groups:
+        common = np.mean([means[s] for s in keys], axis=0)
+        values = [f"({c} - {float(x)!r}D)" for c, x in zip(names, common, strict=True)]
+        parts = moment_pass(data.drop(SCENARIO).withColumnRenamed(LEFT, SCENARIO), values, None, fields)
+        members = _members(units, set(parts))
+        return {s: Moments.together([parts[c] for c in members[s]]).moved(means[s] - common) for s in keys}
     columns = {SCENARIO: ("int", keys)} | {
         f"c_{i}": ("double", [means[s][i] for s in keys]) for i in range(len(names))
     }
-    rows = (
-        units.data.filter("treated = 0")
-        .selectExpr("*", f"{units.post_mean} AS {POST}")
-        .join(driver_table(units.data.sparkSession, columns), SCENARIO)
-    )
+    rows = data.join(driver_table(units.data.sparkSession, columns), SCENARIO)
     values = [f"({c} - c_{i})" for i, c in enumerate(names)]
-    return moment_pass(rows, values, None, native_products)
+    return moment_pass(rows, values, None, fields)
 
 
 # --------------------------------------------------------------------------- time weights

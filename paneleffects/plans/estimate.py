@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +17,7 @@ from ..operators import effects, weights
 from ..operators.lasso import rigorous_lasso
 from ..operators.prep import post_means
 from ..operators.unit_table import SCENARIO, UnitTable, unit_tables
-from ..sources.stages import driver_table
+from ..sources.stages import SharedStages, Stages, current_owner, driver_table, owned_by
 from ..spec import PanelSpec
 
 
@@ -32,6 +32,21 @@ class SyntheticDiD:
     paths: DataFrame     # scenario, time, treated, control, time_weight
     unit_solution: Mapping[int, weights.UnitWeightSolution] | None
     time_solution: Mapping[int, weights.TimeWeightSolution]
+    stages: Stages = field(default_factory=Stages)
+
+    def close(self) -> None:
+        """Free the tables staged for this model; its unit rows cannot be read afterwards.
+
+        Estimates, paths and the report stay. Models of one ``many_models`` call share their
+        unit rows, which go with the last of them.
+        """
+        self.stages.close()
+
+    def __enter__(self) -> SyntheticDiD:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     @property
     def estimate(self) -> effects.Estimate:
@@ -102,7 +117,7 @@ def report_lines(spec: PanelSpec, e: effects.Estimate) -> list[tuple]:
         ("t", e.t_statistic, None if e.t_statistic is None else f"({text(e.t_statistic, 2)})"),
         ("omega", e.omega_nrmse, text(e.omega_nrmse, 4)),
         ("lambda", e.lambda_nrmse, text(e.lambda_nrmse, 4)),
-        *[(n, v, text(v, 4)) for n, v in e.covariate_gaps.items()],
+        *[(n, v, None if v is None else text(v, 4)) for n, v in e.covariate_gaps.items()],
         ("Weight Norm", e.weight_norm, text(e.weight_norm, 4)),
         ("Units", float(e.units), str(e.units)),
         ("Observations", float(e.observations), str(e.observations)),
@@ -176,10 +191,21 @@ def many_models(
     incomplete: str = "error",
 ) -> list[SyntheticDiD]:
     """Several outcomes or covariate sets over one panel, from one shuffle of the panel."""
-    tables = unit_tables(panel, specs, periods, incomplete)
+    outer = current_owner()
+    with owned_by(SharedStages(len(specs))) as shared:
+        tables = unit_tables(panel, specs, periods, incomplete)
+
+    def one(units: UnitTable) -> SyntheticDiD:
+        with owned_by(Stages()) as own:
+            model = fit(units, cluster_errors, jackknife)
+        own.then(shared)
+        if outer is not None:  # threads do not see it
+            outer.then(own)
+        return replace(model, stages=own)
+
     # the models are independent and their passes short: let their jobs overlap
     with ThreadPoolExecutor(max_workers=4) as pool:
-        return list(pool.map(lambda u: fit(u, cluster_errors, jackknife), tables))
+        return list(pool.map(one, tables))
 
 
 @dataclass(frozen=True)
@@ -220,11 +246,13 @@ def lasso_estimates(
     max_iter: int = 15,
     cluster_errors: bool = False,
     jackknife: bool = True,
+    unsettled: str = "warn",
 ) -> list[SyntheticDiD]:
     """Estimates whose covariates a lasso chooses, each outcome for itself.
 
     Per outcome: post-period means on ``features`` and the outcome at ``lags``; the chosen
-    among ``allowed`` become the covariates; the units complete on these are the sample.
+    among ``allowed`` are the covariates, after those a spec has itself, which always stay;
+    the units complete on all of them are the sample.
     The panel is read once per lasso and once for all estimates: stage it if it is costly.
     """
     chosen = []
@@ -234,8 +262,8 @@ def lasso_estimates(
             {spec.outcome: list(lags)}, features)
         found = rigorous_lasso(
             means, f"{spec.outcome}_post", [*features, *[f"{spec.outcome}_{t}" for t in lags]],
-            gamma=gamma, max_iter=max_iter)
-        chosen.append(spec.with_(covariates=tuple(found.choose(allowed))))
+            gamma=gamma, max_iter=max_iter, unsettled=unsettled)
+        chosen.append(spec.with_(covariates=(*spec.covariates, *found.choose(allowed))))
     return many_models(panel, chosen, cluster_errors, jackknife, periods, incomplete="drop")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,11 @@ def backdated(
 
 
 def leading_clusters(model: SyntheticDiD, top: int = 10) -> list:
-    """The clusters in the top weight ranks: a handful of keys, ties included."""
-    rows = model.clusters(top).filter("NOT is_total").orderBy(
+    """The clusters in the top weight ranks, ties included, that have any weight.
+
+    Clusters without weight all tie; leaving them out would change nothing.
+    """
+    rows = model.clusters(top).filter("NOT is_total AND cluster_weight > 0").orderBy(
         F.col("cluster_weight").desc(), "cluster").collect()
     return [r["cluster"] for r in rows]
 
@@ -70,6 +74,31 @@ def trimmed_units(
     return model, kept, panel.join(kept, spec.unit)
 
 
+def trimmed_table(
+    units: UnitTable, candidates: Sequence[str], baseline: Sequence[str] = (), low: float = 0.1, high: float = 0.9,
+    stop_rule: str = "first",
+) -> tuple[propensity.Logit, UnitTable]:
+    """``trimmed_units`` on a unit table: the model, and the units with low <= score <= high.
+
+    Candidates are the spec's covariates and modifiers, and ``<outcome>_<period>`` for past
+    outcomes. A unit's score is a function of its own row, so nothing is joined: the staged
+    rows are read for the fit, and filtered wherever they are read again.
+    """
+    spec = units.spec
+    known = {f"{spec.outcome}_{t}": y for t, y in zip(units.periods, units.outcome_cols, strict=True)}
+    known |= dict(zip(spec.covariates, units.covariate_cols, strict=True))
+    known |= {m: f"z_{k}" for k, m in enumerate(spec.modifiers)}
+    wanted = list(dict.fromkeys([*baseline, *candidates]))
+    lacking = [c for c in wanted if c not in known]
+    if lacking:
+        raise ValueError(f"{', '.join(lacking)}: not a covariate, a modifier or a past outcome of the unit table")
+    rows = units.data.select("treated", *[F.col(known[c]).alias(c) for c in wanted])
+    model = propensity.estimate_propensity(rows, "treated", candidates, baseline, stop_rule=stop_rule)
+    named = model.renamed(known)
+    kept = propensity.trim(named.predict(units.data, "_pscore"), "_pscore", low, high)
+    return model, replace(units, data=kept.drop("_pscore"))
+
+
 def results_side_by_side(models: Sequence[SyntheticDiD]) -> DataFrame:
     """One row per report line, one column per model."""
     lines = stack_rows(*[m.table() for m in models])
@@ -78,4 +107,5 @@ def results_side_by_side(models: Sequence[SyntheticDiD]) -> DataFrame:
 
 def leading_cluster_union(models: Sequence[SyntheticDiD], top: int = 10) -> DataFrame:
     """Clusters in the top weight ranks of any model."""
-    return union_keys(*[m.clusters(top).filter("NOT is_total").select("cluster") for m in models])
+    return union_keys(*[
+        m.clusters(top).filter("NOT is_total AND cluster_weight > 0").select("cluster") for m in models])

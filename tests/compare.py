@@ -54,7 +54,7 @@ def main() -> None:
 
     folder, names = sys.argv[1], sys.argv[2:]
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master(__import__("os").environ.get("COMPARE_MASTER", "local[8]")).config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -94,10 +94,10 @@ def test_wide_gram_equals_native(spark):
     units = unit_table(frame(spark, y, d, x, g), COV)
     stats = weights.group_stats(units)
     a = weights.control_moments(units, stats)[0]
-    b = weights.control_moments(units, stats, native_products=0)[0]
+    b = weights.control_moments(units, stats, fields=0)[0]
     assert a.n == b.n and np.allclose(a.gram, b.gram) and np.allclose(a.total, b.total, atol=1e-12)
     s = weights.solve_unit_weights(units, stats, {0: a})[0]
-    t = weights.solve_unit_weights(units, stats, None, native_products=0)[0]
+    t = weights.solve_unit_weights(units, stats, None, fields=0)[0]
     assert np.allclose(s.slope, t.slope, atol=1e-12) and s.mu == pytest.approx(t.mu)
 
 
