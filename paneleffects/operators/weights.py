@@ -13,7 +13,8 @@ The same sums give a feasible point of the weight problem itself, so every point
 accepts comes with its duality gap: how far its loss can be from the best one. A search that
 ends with a gap above ``MOST_GAP`` of the loss is an error, however it ended. The gap also
 bounds the dual solution, and a control beyond that bound must have weight 0: once few
-controls are active the others are screened out and later steps read what is left.
+controls are active and the gap is small, the others are screened out and later steps read
+what is left.
 When the ridge all but vanishes against the outcome's scale (large units, no covariates)
 and the treated path lies outside the controls, rounding limits single weights to about
 1e-5; ``residual`` and ``gap`` report it and the weights are scaled to sum to one.
@@ -33,7 +34,7 @@ from .unit_table import LEFT, SCENARIO, UnitTable, mean_of
 
 POST = "post_mean"
 SHORTEST_CUT = 1e-8  # of a step that went too far, per pass
-SCREEN_BELOW = 0.25  # share of active controls from which the others are screened
+SCREEN_BELOW, SCREEN_GAP = 0.25, 0.01  # share of active controls, and gap, from which the others are screened
 MOST_GAP = 1e-6      # of the loss, that a solution may be away from the best one
 
 
@@ -280,8 +281,8 @@ def solve_unit_weights(
         open_ = [s for s, plan in plans.items() if not plan[0].done]
         if not open_:
             break
-        few = [plans[s][0].screen and plans[s][0].active < SCREEN_BELOW * stats[s].n[0] for s in open_]
-        if not narrowed and not units.groups and plans[open_[0]][0].passes > 2 and all(few):
+        few = [plans[s][0].active < SCREEN_BELOW * stats[s].n[0] and plans[s][0].relative_gap < SCREEN_GAP for s in open_]
+        if not narrowed and not units.groups and all(few):
             controls, narrowed = stage(_not_screened(controls, {s: plans[s] for s in open_}, names), "controls"), True
         sums = _dual_pass(units, controls, {s: plans[s] for s in open_}, names, fields)
         for s in open_:
