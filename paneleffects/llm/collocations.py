@@ -1,19 +1,20 @@
 """Frequent contiguous phrases by Toivonen's sampling, and their collocation scores.
 
-1. A sample of the documents proposes phrases at a lowered threshold.
-2. One pass over all documents counts the proposals and their negative border exactly: every
-   phrase whose two longest parts (without its last and without its first word) are proposed.
-   The border needs no list, a task sees it where it occurs.
+1. A sample of the texts proposes phrases at a lowered threshold.
+2. One pass over all documents counts the proposals and their negative border: every phrase
+   whose two longest parts (without its last and without its first word) are proposed. The
+   border needs no list, a task sees it where it occurs.
 3. If a border phrase is frequent it was missed by the sample, and phrases built on it were
    not counted. An expansion pass counts every phrase around it: each is followed up to the
    full length where it occurs, although its own count is not known yet, so that one pass
-   closes what would else take one for every further word. Expansions go on until no
-   frequent phrase is left that could be part of an uncounted one. Then every frequent phrase
-   has been counted: the smallest uncounted one would have two counted, frequent parts, not
-   both proposed, and would have been counted around the one that was not.
-
-Proposals reach the tasks as a Bloom filter of bounded size. A false positive adds a phrase
-to a border; its count is exact like any other, so it can cost time but change no result.
+   closes what would else take one for every further word. Then every frequent phrase has
+   been counted: the smallest uncounted one would have two counted, frequent parts, not both
+   proposed, and would have been counted around the one that was not.
+4. Those passes count by 64-bit hash, which can only put phrases together, so what reaches the
+   threshold includes all that do by themselves. A last pass counts these as text, exactly.
+
+Sets of phrases reach the tasks as Bloom filters of bounded size. A false positive adds a
+phrase to a border or to the last pass; it can cost time but change no result.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from .features import Tokens, byte_class, string_hashes, tokens_of
 from .tasks import importable, outlive, scratch, small, stage
 from .text import chunks, mix
 
-#: Bytes of text that are counted together before the shuffle.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text that are counted together before the shuffle, and rows a task sends on at once.
+BLOCK_BYTES, SEND_ROWS = 2 << 20, 1 << 15
 #: One in so many stretches of so many words is sampled; a phrase is proposed at this share of its expected threshold.
-SAMPLE, STRETCH, MARGIN = 8, 64, 0.25
+SAMPLE, STRETCH, MARGIN = 8, 64, 0.5
 #: Bits a filter has for each phrase, and at most (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
 PROBES = 3
@@ -72,51 +73,31 @@ def _first_hash(word: np.ndarray, lang: np.ndarray) -> np.ndarray:
     return mix(word ^ mix(lang + _STEP))
 
 
-def phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
-    """Hashes of whole phrases, equal to those that counting works out word by word."""
-    split = pc.split_pattern(phrases.cast(pa.large_string()), " ")
-    k = pc.list_value_length(split).to_numpy()
-    begin = np.cumsum(k) - k
-    word, lang = string_hashes(split.flatten()), string_hashes(langs)
-    out = np.zeros(len(k), np.uint64)
-    for i in range(max(k, default=0)):
-        on = k > i
-        own = _first_hash(word[begin[on] + i], lang[on])
-        out[on] = own if i == 0 else _longer(out[on], own)
-    return out
-
+def make_filter(hashes: DataFrame) -> PhraseFilter:
+    """A filter of the staged column ``h`` of phrase hashes, of at most ``MOST_BITS`` bits."""
+    words = max(1, min(hashes.count() * BITS_EACH, MOST_BITS) // 64)
 
-def _bit_rows(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = phrase_hashes(b.column("lang"), b.column("phrase"))
-            for word, bit in PhraseFilter.places(h, words):
+            for word, bit in PhraseFilter.places(b.column("h").to_numpy().view(np.uint64), words):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], ["word", "mask"])
 
-    return run
-
-
-def make_filter(phrases: DataFrame) -> PhraseFilter:
-    """A filter of the staged table ``phrases`` (lang, phrase), of at most ``MOST_BITS`` bits."""
-    words = max(1, min(phrases.count() * BITS_EACH, MOST_BITS) // 64)
-    rows = (
-        phrases.select("lang", "phrase").mapInArrow(_bit_rows(words), "word bigint, mask bigint")
-        .groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow())
+    rows = hashes.select("h").mapInArrow(run, "word bigint, mask bigint").groupBy("word").agg(
+        F.bit_or("mask").alias("mask")).toArrow()
     bits = np.zeros(words, np.uint64)
     bits[rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
     return PhraseFilter(bits)
 
 
-def _without(phrases: DataFrame, known: object) -> DataFrame:
-    """Phrases that the broadcast filter ``known`` does not have."""
+def _without(found: DataFrame, known: object) -> DataFrame:
+    """Rows whose hash the broadcast filter ``known`` does not have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = phrase_hashes(b.column("lang"), b.column("phrase"))
-            yield b.filter(pa.array(~known.value.has(h)))
+            yield b.filter(pa.array(~known.value.has(b.column("h").to_numpy().view(np.uint64))))
 
-    return phrases.mapInArrow(run, phrases.schema)
+    return found.mapInArrow(run, found.schema)
 
 
 def _sampled(tokens: Tokens, pick: np.ndarray, one_in: int) -> tuple[Tokens, np.ndarray]:
@@ -130,24 +111,36 @@ def _sampled(tokens: Tokens, pick: np.ndarray, one_in: int) -> tuple[Tokens, np.
     return Tokens(tokens.words.filter(pa.array(on)), tokens.first, cut[on]), doc[on]
 
 
-def _emit(langs: pa.Array, words: pa.Array, lang_at: np.ndarray, word_at: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
-    parts = [words.take(pa.array(x)) for x in word_at]
-    phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", parts[0].type))
-    return pa.RecordBatch.from_arrays(
-        [langs.take(pa.array(lang_at)), phrase.cast(pa.string()), pa.array(np.full(len(n), len(parts), np.int32)), pa.array(n)],
-        ["lang", "phrase", "k", "n"])
+def _texts(langs: pa.Array, words: pa.Array, lang_at: np.ndarray, word_at: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, phrase, k, n) of phrases that are given by their words' places in the dictionary."""
+    for a in range(0, len(n), SEND_ROWS):
+        on = slice(a, a + SEND_ROWS)
+        parts = [words.take(pa.array(x[on])) for x in word_at]
+        phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", parts[0].type))
+        yield pa.RecordBatch.from_arrays(
+            [langs.take(pa.array(lang_at[on])), phrase.cast(pa.string()),
+             pa.array(np.full(len(phrase), len(parts), np.int32)), pa.array(n[on])], ["lang", "phrase", "k", "n"])
+
+
+def _hashed(h: np.ndarray, k: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (h, k, n)."""
+    for a in range(0, len(n), SEND_ROWS):
+        on = slice(a, a + SEND_ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h[on].view(np.int64)), pa.array(np.full(len(n[on]), k, np.int32)), pa.array(n[on])], ["h", "k", "n"])
 
 
 def _count(
-        within: object | None, new: object | None, longest: int, single: bool, local: int = 0,
-        sample: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, phrase, k, n) of blocks: phrases whose longest parts are in the filter ``within``.
-
-    With ``new``, only phrases around one in that filter are counted, and those that hold one are
-    followed to the full length without being in ``within``. ``single`` adds single words and,
-    as the empty phrase, all word occurrences. With ``local``, only words are looked up; longer
-    parts have to occur so often in the block. With ``sample``, one in so many stretches is
-    counted, by a column ``pick``.
+        within: object | None, longest: int, single: bool = False, new: object | None = None, local: int = 0,
+        sample: int = 0, texts: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of blocks: phrases whose longest parts are in the filter ``within``, by hash.
+
+    ``single`` adds single words. With ``new``, only phrases around one in that filter are
+    counted, and those that hold one are followed to the full length without being in
+    ``within``. With ``local``, only words are looked up; longer parts have to occur so often
+    in the block. With ``sample``, one in so many stretches is counted, by a column ``pick``.
+    With ``texts``, the phrases in ``within`` themselves are counted, as (lang, phrase, k, n),
+    and all words of a language as its empty phrase.
     """
 
     def block(c: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -165,20 +158,21 @@ def _count(
         key = lang_of * len(words) + word
         many = np.bincount(key, minlength=len(langs) * len(words))
         used = np.flatnonzero(many)
-        if single:
-            yield _emit(langs, words, used // len(words), [used % len(words)], many[used])
-            n = np.bincount(lang_of, minlength=len(langs))
-            yield pa.RecordBatch.from_arrays(
-                [langs, pa.array([""] * len(langs)), pa.array(np.zeros(len(langs), np.int32)), pa.array(n)], ["lang", "phrase", "k", "n"])
-        if within is None or longest < 2:
-            return
         dense = np.zeros(len(many), np.int64)
         dense[used] = np.arange(len(used))
-        first = _first_hash(string_hashes(words)[used % len(words)], string_hashes(langs)[used // len(words)])
         # the number of the phrase that begins at each token of ``at``, and the hash of each number
+        first = _first_hash(string_hashes(words)[used % len(words)], string_hashes(langs)[used // len(words)])
         ident, h, hit, at = dense[key], first, many[used], np.arange(len(word))
-        around = np.zeros(len(first), bool)
         word_hash = first[ident]
+        around = np.zeros(len(first), bool)
+        if texts:
+            n = np.bincount(lang_of, minlength=len(langs))
+            yield pa.RecordBatch.from_arrays(
+                [langs, pa.array([""] * len(langs)), pa.array(np.zeros(len(langs), np.int32)), pa.array(n)], ["lang", "phrase", "k", "n"])
+            on = within.value.has(h)
+            yield from _texts(langs, words, used[on] // len(words), [used[on] % len(words)], hit[on])
+        elif single:
+            yield from _hashed(h, 1, hit)
         for k in range(2, longest + 1):
             usable = within.value.has(h) | around if not local or k == 2 else hit >= local
             fresh = new.value.has(h) | around if new is not None else np.ones(len(h), bool)
@@ -197,17 +191,20 @@ def _count(
             hit = np.bincount(own, minlength=len(pair))
             shown = np.empty(len(pair), np.int64)
             shown[own[::-1]] = begin[::-1]
-            wanted = np.flatnonzero(fresh[a] | fresh[b])
-            if len(wanted):
-                i = shown[wanted]
-                yield _emit(langs, words, lang_of[i], [word[i + j] for j in range(k)], hit[wanted])
             h = _longer(h[a], word_hash[shown + k - 1])
+            if texts:
+                on = np.flatnonzero(within.value.has(h))
+                yield from _texts(langs, words, lang_of[shown[on]], [word[shown[on] + j] for j in range(k)], hit[on])
+            else:
+                on = fresh[a] | fresh[b]
+                yield from _hashed(h[on], k, hit[on])
             around = (fresh[a] | fresh[b]) & (new is not None)
             ident = np.full(len(word), -1, np.int64)
             ident[begin] = own
             at = begin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives a block's memory back, the usual pool keeps it
         for b in batches:
             for c in chunks(b, limit=BLOCK_BYTES):
                 yield from block(c)
@@ -215,65 +212,47 @@ def _count(
     return run
 
 
-_ROWS = "lang string, phrase string, k int, n bigint"
-
-
-def _counted(docs: DataFrame, least: int, run: Callable) -> DataFrame:
-    """Phrases with their counts over all of ``docs``, those of ``least`` and more, and the totals."""
-    return docs.mapInArrow(run, _ROWS).groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("n").alias("n")).where(
-        (F.col("n") >= least) | (F.col("k") == 0))
+def _often(docs: DataFrame, least: int, run: Callable) -> DataFrame:
+    """Hashes that occur ``least`` times and more over all of ``docs``: h, k, n."""
+    return docs.mapInArrow(run, "h bigint, k int, n bigint").groupBy("h").agg(
+        F.max("k").alias("k"), F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def _propose(docs: DataFrame, least: int, longest: int, sample: int) -> DataFrame:
     """Phrases that a sample of one in ``sample`` stretches of the texts suggests."""
     part = docs.select("text", "lang", F.xxhash64("doc_id").alias("pick"))
     low = max(2, int(least * MARGIN / sample))
-    send = docs.sparkSession.sparkContext.broadcast
-    words = stage(_counted(part, low, _count(None, None, 1, True, sample=sample)).where("k > 0"), "sample-words")
+    words = stage(_often(part, low, _count(None, 1, single=True, sample=sample)), "sample-words")
     if longest < 2:
         return words
-    longer = _counted(part, low, _count(send(make_filter(words)), None, longest, False, 2, sample))
-    return stage(words.union(longer), "proposed")
-
-
-def _extends(new: DataFrame, frequent: DataFrame, longest: int) -> bool:
-    """Whether a phrase of ``new`` can be a part of an uncounted phrase with two frequent parts."""
-    new = new.where(F.col("k") < longest)
-    if new.where(F.col("k") == 1).limit(1).count():
-        return True
-    words = F.split("phrase", " ")
-    ends = lambda df: df.where("k > 1").select(
-        "lang", "k", F.array_join(F.slice(words, 2, F.col("k") - 1), " ").alias("tail"),
-        F.array_join(F.slice(words, F.lit(1), F.col("k") - 1), " ").alias("head"))
-    n, f = ends(new), ends(frequent)
-    after = n.join(f.select("lang", "k", F.col("head").alias("tail")), ["lang", "k", "tail"], "left_semi")
-    before = n.join(f.select("lang", "k", F.col("tail").alias("head")), ["lang", "k", "head"], "left_semi")
-    return bool(after.select("lang").union(before.select("lang")).limit(1).count())
+    known = docs.sparkSession.sparkContext.broadcast(make_filter(words))
+    return stage(words.union(_often(part, low, _count(known, longest, local=2, sample=sample))), "proposed")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, sample: int = SAMPLE) -> tuple[DataFrame, int]:
     """All phrases of 1 to ``longest`` words that occur at least ``least`` times in a language.
 
     Returns a staged table (lang, phrase, k words, n occurrences), in which the empty phrase
-    has a language's word count, and the number of passes over all documents.
+    has a language's word count, and the number of passes that counted by hash.
     """
     spark = docs.sparkSession
     importable(spark)
     send = spark.sparkContext.broadcast
     every = docs.select("text", "lang")
     proposed = send(make_filter(_propose(docs, least, longest, sample)))
-    frequent = stage(_counted(every, least, _count(proposed, None, longest, True)), "frequent")
-    new = stage(_without(frequent.where("k > 0"), proposed), "border-failures")
+    often = stage(_often(every, least, _count(proposed, longest, single=True)), "often")
+    new = stage(_without(often, proposed), "border-failures")
     passes = 1
-    while _extends(new, frequent, longest):
-        known, fresh = send(make_filter(frequent.where("k > 0"))), send(make_filter(new))
-        counted = stage(_counted(every, least, _count(known, fresh, longest, False)), "expanded")
+    while new.where(F.col("k") < longest).limit(1).count():
+        known, fresh = send(make_filter(often)), send(make_filter(new))
+        around = stage(_often(every, least, _count(known, longest, new=fresh)), "around")
         passes += 1
-        found = stage(counted.join(frequent, ["lang", "phrase"], "left_anti"), "found")
-        frequent = stage(frequent.union(found), "frequent")
-        # what the pass found holds a phrase of ``new`` and was followed with it; only single words are never found so
-        new = found.where("k = 1")
-    return frequent, passes
+        often = stage(often.union(around).dropDuplicates(["h"]), "often")
+        # all that holds a phrase of ``new`` was followed to the full length: only words could be left, and all were counted
+        new = around.where("k = 1")
+    counted = every.mapInArrow(_count(send(make_filter(often)), longest, texts=True), "lang string, phrase string, k int, n bigint")
+    exact = counted.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
+    return stage(exact.where((F.col("n") >= least) | (F.col("k") == 0)), "frequent"), passes
 
 
 def _scored(candidates: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def test_collocations_sql_top_and_empty(spark):
 
 
 def test_border_failures_are_expanded(spark):
-    """A sample that proposes nothing useful still gives all phrases: the border finds them, expansions follow them."""
+    """A sample that proposes nothing still gives all phrases: the border finds them, expansions follow them."""
     rng = random.Random(4)
     rows = [("en", " ".join(["red", "green", "blue", "grey", "pink"] + [f"w{rng.randint(0, 5000)}"] * 2)) for _ in range(120)]
     docs = documents(spark, rows)
