@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import stage
+from .tasks import outlive, scratch, small, stage
 
 WINDOW, SHINGLE = 10, 3
 #: Benchmark tables up to this many rows are broadcast (about 60 bytes a row); larger ones
@@ -132,6 +132,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the rows whose text holds an occurrence of an item window.
+
+    Texts are judged, not ids: of rows that share a doc_id, or have none, each stays or goes by
+    its own text. Null and empty texts stay.
+    """
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    with scratch(docs.sparkSession):
+        found = decontaminate(docs.select(digest.alias("doc_id"), "text"), items, window)
+        gone = small(outlive(found.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct(), "contaminated"))
+    return docs.join(gone, digest == gone["__gone"], "left_anti")
+
+
 def _by(column: str):
     from pyspark.sql import Window
 

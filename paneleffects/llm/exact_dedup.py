@@ -15,7 +15,7 @@ def content_of(text: Column) -> Column:
 
 
 def exact_classes(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One row per distinct content: text_sha256, keep_id, group_size.
+    """One row per distinct content: text_sha256, keep_id, keep_points, group_size.
 
     Every task first combines its own equal texts (the partial aggregate), then the partial
     groups meet by digest, salt and full content, then at most ``salts`` winners of a digest
@@ -40,6 +40,7 @@ def exact_classes(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     return one.select(
         F.lower(F.hex("digest")).alias("text_sha256"),
         F.bitwise_not("rank.id").alias("keep_id"),
+        F.col("rank.points").alias("keep_points"),
         F.col("n").alias("group_size"),
     ).where("contents = 1 OR raise_error('two contents share a SHA-256 digest') IS NULL")
 
@@ -48,13 +49,17 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null and blank texts are one group of the empty content. Rows that repeat a doc_id are
-    rows of their own; of full repeats of the winning row all carry ``kept``. An empty table
+    rows of their own; only those as long as the winner can carry ``kept``, so of one doc_id
+    with several originals the longest does, and of full repeats of the winner all do. An empty table
     gives no rows, and other columns of ``docs`` are not read.
     """
-    rows = docs.select("doc_id", F.sha2(content_of(F.col("text")), 256).alias("text_sha256"))
+    rows = docs.select(
+        "doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("points"),
+        F.sha2(content_of(F.col("text")), 256).alias("text_sha256"))
     return rows.join(exact_classes(docs, salts), "text_sha256").select(
         "doc_id", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))).alias("kept"),
+        "text_sha256")
 
 
 SQL = """
@@ -65,7 +70,7 @@ WITH d AS (
 SELECT doc_id,
        first_value(doc_id) OVER w AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id = first_value(doc_id) OVER w AS kept,
+       doc_id = first_value(doc_id) OVER w AND points = first_value(points) OVER w AS kept,
        text_sha256
 FROM d
 WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id

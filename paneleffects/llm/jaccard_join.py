@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .regions import COARSE, LEAF, KeyBlock, link_regions, members_of
+from .regions import COARSE, LEAF, KeyBlock, far_vector, link_regions, members_of
 from .tasks import importable, outlive, scratch, small, stage
 from .text import chunks, mix, shingles_of, words_of
 
@@ -143,8 +143,8 @@ def _arrays(limit: Limit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 rows = []
                 for s, k in zip(_sets(c, limit.width), want, strict=True):
                     if _class_of(s) == k:  # else another row with this doc_id
-                        far = np.bincount((mix(s + np.uint64(7)) >> np.uint64(58)).astype(np.int64), minlength=COARSE)
-                        rows.append((int(k), len(s), far.astype(np.int32).tobytes(), s.tobytes()))
+                        far = far_vector((mix(s + np.uint64(7)) % np.uint64(COARSE)).astype(np.int64))
+                        rows.append((int(k), len(s), far, s.tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x, t) for x, t in zip(
@@ -192,3 +192,41 @@ def jaccard_components(docs: DataFrame, limit: Limit = Limit(), leaf: int = LEAF
         alone = known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return outlive(
             rooted.join(smallest, "root").select("doc_id", "n_shingles", "component_id").union(alone), "components")
+
+
+def _tagged(limit: Limit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in chunks(b):
+                cls = pa.array([_class_of(s) for s in _sets(c, limit.width)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*c.columns, cls], [*c.schema.names, "__class"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, limit: Limit = Limit(), leaf: int = LEAF) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: the smallest doc_id (null last).
+
+    Rows are judged by doc_id and set of shingles: rows that share a doc_id but not their words
+    are documents of their own, and of equal rows one stays. Texts without words all stay.
+    """
+    with scratch(docs.sparkSession):
+        known, roots = jaccard_links(docs, limit, leaf)
+        rows = known.where("n_shingles > 0").groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("times")).join(
+            roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("class").alias("cls"))
+        first = rows.groupBy("root").agg(F.min(rank).alias("first"), F.sum("times").alias("rows")).where(F.col("rows") > 1)
+        judged = rows.join(first, "root").select(
+            F.col("doc_id").alias("__id"), F.col("class").alias("__of"), "times",
+            (F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("class") == F.col("first.cls"))).alias("stays"))
+        judged = outlive(judged.where("NOT stays OR times > 1"), "judged")
+    tagged = docs.mapInArrow(_tagged(limit), docs.select("*", F.lit(0).cast("bigint").alias("__class")).schema)
+    of = small(judged)
+    same = tagged["doc_id"].eqNullSafe(of["__id"]) & (tagged["__class"] == of["__of"])
+    kept = tagged.join(of, same, "left_anti").select(docs.columns)
+    again = judged.where("stays")
+    if not again.limit(1).count():
+        return kept
+    some = small(again)
+    repeats = tagged.join(some, tagged["doc_id"].eqNullSafe(some["__id"]) & (tagged["__class"] == some["__of"]), "left_semi")
+    return kept.union(repeats.dropDuplicates(["doc_id", "__class"]).select(docs.columns))

@@ -64,6 +64,10 @@ def spell(texts: list[str | None]) -> Spelled:
     offsets = np.cumsum([0, *(len(t) + 1 for t in lowered)])
     table = _letters()
     inside = table[np.minimum(points, len(table) - 1)]
+    far = points >= len(table)
+    if far.any():  # beyond the table every point goes by its own category
+        some, at = np.unique(points[far], return_inverse=True)
+        inside[far] = np.array([chr(p).isalpha() for p in some])[at]
     at = np.flatnonzero(inside)
     c = points[at]
     joined = np.zeros(len(at), bool)

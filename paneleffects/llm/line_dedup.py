@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .regions import COARSE, LEAF, KeyBlock, link_regions, members_of
+from .regions import COARSE, LEAF, KeyBlock, far_vector, link_regions, members_of
 from .tasks import importable, outlive, scratch, small, stage
-from .text import chunks, mix
+from .text import chunks, mix, range_prints
 
 #: Edits between near-duplicate lines, and the shortest line that is compared at all.
 EDITS, MIN_CHARS = 2, 32
@@ -91,7 +91,7 @@ class Lines:
     end: np.ndarray
     doc: np.ndarray
     number: np.ndarray
-    total: np.ndarray  # sums of hashed code points, for fingerprints of any range
+    total: np.ndarray  # sums of hashed code points, for keys of any range, which only bring lines together
 
     @property
     def n(self) -> np.ndarray:
@@ -136,7 +136,7 @@ def lines_of(texts: list[str | None]) -> Lines:
 
 def class_of(lines: Lines) -> np.ndarray:
     """A 64-bit fingerprint of content and length; equal lines are one class."""
-    return (lines.prints(lines.start, lines.end) ^ mix(lines.n.astype(np.uint64))).view(np.int64)
+    return range_prints(None, lines.points, lines.start, lines.end).view(np.int64)
 
 
 def _listed(limit: Edits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -211,8 +211,7 @@ def _contents(limit: Edits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                         x = int(cls[i])
                         if x in wanted and x not in rows and lines.n[i] >= limit.min_chars:
                             p = lines.points[lines.start[i]:lines.end[i]]
-                            far = np.bincount(p.astype(np.int64) % COARSE, minlength=COARSE).astype(np.int32)
-                            rows[x] = (len(p), far.tobytes(), p.tobytes())
+                            rows[x] = (len(p), far_vector(p.astype(np.int64) % COARSE), p.tobytes())
                 if rows:
                     kinds = (pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays(

@@ -142,11 +142,21 @@ def _chosen(rate: float, salt: str) -> F.Column:
     return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1
 
 
+def prior_estimate(ones: int, n: int) -> float:
+    """The lower end of the 95 % interval of the share of 1 among the labelled rows.
+
+    A prior above the true share makes the risk blind to as many negatives, one below it only
+    makes the score stricter; unlabelled text may also hold kinds that nobody labelled.
+    """
+    share = min(ones / n, 0.99)
+    return max(share - 1.96 * np.sqrt(share * (1 - share) / n), share / 2)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fits on bounded samples of the documents outside the held-out fold; None without positives.
 
-    Trusted positives are rows labelled 1. The class prior is the share of 1 among all labelled
-    rows of the same folds. Unlabelled text comes from those folds of ``docs``.
+    Trusted positives are rows labelled 1. The class prior is estimated from all labelled rows
+    of the same folds (``prior_estimate``). Unlabelled text comes from those folds of ``docs``.
     """
     importable(docs.sparkSession)
     open_fold = fold(FOLDS) != HELD_OUT
@@ -154,7 +164,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Model | None:
     n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("quality") == 1).cast("int")), F.lit(0))).first()
     if not ones:
         return None
-    prior = min(ones / n, 0.99)
+    prior = prior_estimate(ones, n)
     rows = docs.where(open_fold).select("doc_id", "text")
     # bounded by MOST_POSITIVES, so it may be broadcast
     trusted = known.where((F.col("quality") == 1) & _chosen(MOST_POSITIVES / ones, "p")).select("doc_id").distinct()

@@ -23,8 +23,15 @@ from .text import mix
 BLOCK_KEYS = 1 << 21
 #: Items of a cell that are compared in one task, and pivots of a division.
 LEAF, PIVOTS = 2048, 8
-#: Entries of a ``far`` vector.
-COARSE = 64
+#: Pairs a task holds back to put equal ones together.
+SEND_PAIRS = 1 << 18
+#: Entries of a ``far`` vector: a part's count, at most 255, which can only lower a distance.
+COARSE = 128
+
+
+def far_vector(parts: np.ndarray) -> bytes:
+    """Distances to the fixed pivots: how many elements fall into each part (from 0 to ``COARSE`` - 1)."""
+    return np.minimum(np.bincount(parts, minlength=COARSE), 255).astype(np.uint8).tobytes()
 
 
 class Metric(Protocol):
@@ -125,12 +132,26 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def members_of(keyed: DataFrame) -> DataFrame:
-    """Staged members (key, class) of regions, from blocks of keys."""
-    return stage(keyed.groupBy("bucket").applyInArrow(_meet, "key bigint, class bigint").distinct(), "regions")
+    """Staged members (key, class, a) of regions, from blocks of keys; ``a`` is the region's smallest item.
+
+    Items that are near each other share many keys. Of regions with the same members one key
+    is kept: members are the same if their number, smallest, largest and the exclusive-or of
+    the items and of two hashes of them are.
+    """
+    met = stage(keyed.groupBy("bucket").applyInArrow(_meet, "key bigint, class bigint").distinct(), "regions")
+    item = F.col("class")
+    seen = met.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(item).alias("a"), F.max(item).alias("z"), F.bit_xor(item).alias("x"),
+        F.bit_xor(F.xxhash64(item)).alias("h"), F.bit_xor(F.xxhash64(item, F.lit(1))).alias("g"))
+    kept = seen.where("n > 1").groupBy("n", "a", "z", "x", "h", "g").agg(F.min("key").alias("key")).select("key", "a")
+    return stage(met.join(kept, "key"), "regions")
 
 
 def _far(blobs: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.int32) for x in blobs.to_pylist()]) if len(blobs) else np.zeros((0, COARSE), np.int32)
+    """A row of small counts each; two bytes, so that differences have their sign."""
+    if not len(blobs):
+        return np.zeros((0, COARSE), np.int16)
+    return np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, COARSE).astype(np.int16)
 
 
 def _possible(metric: Metric) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -177,9 +198,27 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
 
 
 def _leaf(metric: Metric) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cross-component pairs of each cell or tile pair that sizes and distance bounds allow."""
+    """Cross-component pairs of each cell or tile pair that sizes and distance bounds allow.
+
+    Pairs that meet in several of a task's regions are put together before they are sent on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for pairs in near(batches):
+            held.append(pairs)
+            size += pairs.shape[1]
+            if size > SEND_PAIRS:
+                held = [np.unique(np.concatenate(held, axis=1), axis=1)]
+                size = held[0].shape[1]
+                if size > SEND_PAIRS // 2:  # else there was much to put together: go on
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["a", "b"])
+                    held, size = [], 0
+        if held:
+            pairs = np.unique(np.concatenate(held, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for t in runs(batches, ["key", "cell", "tile"]):
             order = np.argsort(t["n"].to_numpy(), kind="stable")
             t = t.take(pa.array(order))
@@ -199,8 +238,7 @@ def _leaf(metric: Metric) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 if len(j):
                     found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
             if found:
-                pairs = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                yield np.concatenate(found, axis=1)
 
     return run
 
@@ -213,7 +251,7 @@ def _cells(metric: Metric) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             far, n = _far(b.column("far")), b.column("n").to_numpy()
             take, cells = [], []
             for i, pivots in enumerate(b.column("pivots").to_pylist()):
-                d = np.abs(np.stack([np.frombuffer(p, np.int32) for p in pivots]) - far[i]).sum(axis=1)
+                d = np.abs(np.frombuffer(b"".join(pivots), np.uint8).reshape(-1, COARSE).astype(np.int16) - far[i]).sum(axis=1)
                 # a partner within r of x has its nearest pivot at most 2 r farther from x than x's own
                 reach = np.flatnonzero(d <= d.min() + 2 * metric.bound(n[i], metric.highest(n[i])))
                 take += [i] * len(reach)
@@ -278,7 +316,7 @@ def _cross_pairs(rows: DataFrame, metric: Metric, leaf: int) -> DataFrame:
 
 
 def link_regions(members: DataFrame, items: DataFrame, metric: Metric, leaf: int = LEAF) -> DataFrame:
-    """Components (node, root) of linked items, from members (key, class) and items (class, n, far, set).
+    """Components (node, root) of linked items, from members (key, class, a) and items (class, n, far, set).
 
     Every region's smallest item is its pivot and meets all others. An item meets the pivot
     it shares most regions with first; its other pivots only where components still differ.
@@ -304,10 +342,8 @@ def link_regions(members: DataFrame, items: DataFrame, metric: Metric, leaf: int
         of = roots.select(F.col("node").alias(node), F.col("root").alias(root))
         return rows.join(of, node, "left").withColumn(root, F.coalesce(root, node))
 
-    pivot = members.groupBy("key").agg(F.min("class").alias("a"))
     star = stage(
-        members.join(pivot, "key").where("class != a").groupBy("a", F.col("class").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared")), "star")
+        members.where("class != a").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "star")
     first = stage(star.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")), "first-pivots")
     links = linked(first, "pivot-links")
     roots = components(links)
@@ -317,7 +353,7 @@ def link_regions(members: DataFrame, items: DataFrame, metric: Metric, leaf: int
     if others.limit(1).count():
         links = links.union(others)
         roots = components(links)
-    rooted = stage(root_of(members, roots, "class", "root"), "rooted")
+    rooted = stage(root_of(members.select("key", "class"), roots, "class", "root"), "rooted")
     mixed = rooted.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where(
         "size > 2 AND low != high")

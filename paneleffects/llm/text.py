@@ -18,6 +18,7 @@ _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD1B54A32D192ED03)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -101,13 +102,27 @@ def words_of(texts: pa.Array) -> Words:
         last = offsets[1:][np.diff(offsets) > 0] - 1
         closes[last] = inside[last]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, down = powers(n)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up, out=total[1:])
-    prints = mix((total[ends] - total[starts]) * down[starts]) if n else np.zeros(0, np.uint64)
+    prints = range_prints(_BYTE, data, starts, ends)
     return Words(starts, ends, prints, np.searchsorted(starts, offsets))
 
 
+def range_prints(table: np.ndarray | None, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of the ranges of ``values`` (through ``table``), which do not overlap and come in order.
+
+    Each value at each place of a range has a pseudo-random number of its own and these add up,
+    so there is no algebra of places by which different contents could be made to agree, as
+    there is with powers of a base.
+    """
+    n = ends - starts
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    own = values[place + np.repeat(starts, n)]
+    own = table[own] if table is not None else own.astype(np.uint64) * _BASE
+    total = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(mix(own + (place.astype(np.uint64) + np.uint64(1)) * _STEP), out=total[1:])
+    return mix(total[first + n] - total[first] + n.astype(np.uint64) * _BASE)
+
+
 def shingles_of(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints, document) of ``width`` consecutive words; shorter documents give one, empty none."""
     h, first = words.prints, words.first

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -27,6 +28,7 @@ from paneleffects.llm import (  # noqa: E402
 )
 from paneleffects.llm.queries import tokenizer_path  # noqa: E402
 from paneleffects.llm.tasks import fold  # noqa: E402
+from paneleffects.llm.text import words_of  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -59,7 +61,7 @@ def test_license_scan(spark):
     rng = random.Random(1)
     vocab = B.vocabulary(rng)
     rows = []
-    for d in range(60):
+    for d in range(160):
         text = [rng.choice(vocab) for _ in range(rng.randint(0, 120))]
         if d % 2:
             notice = rng.choice(list(license_scan.TEMPLATES.values())).split()
@@ -206,6 +208,54 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
     twice = exact_dedup.exact_dedup(spark.createDataFrame([(None, "a"), (3, "a"), (3, "a")], SCHEMA)).collect()
     assert {(r.keep_id, r.group_size) for r in twice} == {(3, 3)}
+    originals = exact_dedup.exact_dedup(spark.createDataFrame([(5, "a b"), (5, "ab"), (7, "ab"), (7, None)], SCHEMA)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept, r.group_size) for r in originals) == [
+        (5, 5, False, 3), (5, 5, True, 3), (7, 5, False, 3), (7, 7, True, 1)]
+
+
+def thue_morse(letters: str, size: int) -> str:
+    word = letters[0]
+    while len(word) < size:
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_powers_of_a_base_cannot_tell_apart(spark, size):
+    a, b = thue_morse("ab", size), thue_morse("ba", size)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    dropped = {r.doc_id: r.n_dropped for r in line_dedup.line_report(docs).collect()}
+    assert dropped == {1: 0, 2: 0, 3: 1}
+    spelled = words_of(pa.array([a, b, a.upper(), a + " " + b]))
+    assert spelled.prints[0] == spelled.prints[2] == spelled.prints[3] and spelled.prints[1] == spelled.prints[4] != spelled.prints[0]
+
+
+def test_keep_one_loses_no_text(spark):
+    u = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    rows = [(1, "t"), (2, "t"), (2, u), (3, u + " q"), (9, u), (9, u), (None, u), (None, "alone"), (None, "alone"), (4, None), (4, ""), (5, " ")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], SCHEMA + ", extra int")
+    got = jaccard_join.keep_one(docs, jaccard_join.Limit(5, 80, 100))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(1, "t"), (2, u), (None, "alone"), (4, None), (4, ""), (5, " ")], key=str)
+    assert jaccard_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_clean_judges_texts(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    rows = [(1, "x " + item), (1, "clean"), (None, item), (None, "clean too"), (2, None), (2, "")]
+    got = decontamination.keep_clean(table(spark, rows), bench)
+    assert got.columns == table(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(1, "clean"), (None, "clean too"), (2, None), (2, "")], key=str)
+
+
+def test_points_beyond_the_letter_table():
+    found = language_id.spell(["\U000E0041\U000E0042", "\U000F0000", "\U00031350", "ab"])
+    assert np.diff(found.first).tolist() == [0, 0, 1, 1]
 
 
 def test_jump_hash_moves_only_into_the_new_shard():
