@@ -14,18 +14,12 @@ from pyspark.sql import functions as F
 
 from paneleffects.llm import decontamination, jaccard_join, line_dedup, packing, quality
 from paneleffects.llm.queries import tokenizer_path
-from paneleffects.llm.tasks import outlive, read_table, scratch, small, stage
+from paneleffects.llm.tasks import read_table
 from paneleffects.sources.stages import stage_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is in the one-column table ``ids``."""
-    gone = small(stage(ids.distinct().toDF("__gone"), "gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; the model learns from the labels table."""
     model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
@@ -46,16 +40,12 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Five words a shingle and a similarity of 0.8.
     """
-    groups = jaccard_join.jaccard_components(docs, jaccard_join.Limit(5, 80, 100))
-    return _without(docs, groups.where("doc_id != component_id").select("doc_id"))
+    return jaccard_join.keep_one(docs, jaccard_join.Limit(5, 80, 100))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an occurrence of a benchmark window."""
-    with scratch(spark):
-        found = decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-        hit = outlive(found.where("contaminated").select("doc_id"), "contaminated")
-    return _without(docs, hit)
+    return decontamination.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
