@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .features import ALNUM, byte_class
+from .license_texts import NOTICES, TEXTS
 from .tasks import importable
-from .text import chunks, mix, raw, shingles_of, words_of
+from .text import chunks, mix, shingles_of, words_of
 
 #: Words of a shingle and the least share of a template's shingles that a match contains.
 WIDTH, CONTAINMENT = 5, 0.8
@@ -23,36 +25,11 @@ BLOCKS = np.array([1, 2, 3, 4, 5] + [k << i for i in range(1, 21) for k in (3, 4
 #: Templates a scan accepts; the index travels with the tasks, at most some 100 bytes a band.
 MOST_TEMPLATES = 20_000
 
-# The notices that name public licenses, as their own texts word them.
-TEMPLATES = {
-    "Apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
-        "compliance with the License. You may obtain a copy of the License at"),
-    "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version."),
-    "MIT-short": "Released under the MIT License.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without '
-        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-        "Software"),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met"),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
-        "not distributed with this file, You can obtain one at"),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies."),
-}
+#: Whole texts and the notices that name one.
+TEMPLATES = NOTICES | TEXTS
+
+#: Words are runs of letters and digits (and of all bytes above ASCII); punctuation only parts them.
+_WORD = ALNUM | byte_class([(0x41, 0x5A)])
 
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, BANDS, dtype=np.uint64) | np.uint64(1)
 
@@ -73,7 +50,7 @@ class Index:
     def build(cls, templates: dict[str, str]) -> Index:
         if len(templates) > MOST_TEMPLATES:
             raise ValueError(f"{len(templates)} templates; the index is made for {MOST_TEMPLATES}")
-        kept = {k: np.unique(shingles_of(words_of(pa.array([v])), WIDTH)[0]) for k, v in sorted(templates.items())}
+        kept = {k: np.unique(shingles_of(words_of(pa.array([v]), _WORD), WIDTH)[0]) for k, v in sorted(templates.items())}
         kept = {k: s for k, s in kept.items() if len(s)}
         return cls(list(kept), list(kept.values()), np.array([len(s) for s in kept.values()], np.int64))
 
@@ -100,25 +77,47 @@ def windows(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.cumsum(counts) - counts, blocks) + within * block, doc
 
 
+def _ladder(counts: np.ndarray, sizes: set[int]) -> list[tuple[int, np.ndarray | None]]:
+    """Block sizes to go through, and where the blocks of half the size begin that make one; None where none do."""
+    out = []
+    for root in sorted({s if s <= 5 else next(k for k in (3, 4, 5) if s % k == 0 and (s // k) & (s // k - 1) == 0) for s in sizes}):
+        chain = [root]
+        while root > 2 and any(s > chain[-1] and s % root == 0 and (s // root) & (s // root - 1) == 0 for s in sizes):
+            chain.append(2 * chain[-1])
+        for n, size in enumerate(chain):
+            if not n:
+                out.append((size, None))
+                continue
+            half = -(-counts // (size // 2))
+            first = np.cumsum(half) - half
+            own = -(-counts // size)
+            within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            out.append((size, np.repeat(first, own) + 2 * within))
+    return out
+
+
 def _scan(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = index.blocks()
         for b in batches:
             for c in chunks(b):
-                words = words_of(c.column("text"))
+                words = words_of(c.column("text"), _WORD)
                 shingles, of = shingles_of(words, WIDTH)
                 if not len(shingles) or not blocks:
                     continue
                 counts = np.bincount(of, minlength=c.num_rows)
                 ends = np.cumsum(counts)
                 near: set[tuple[int, int, int, int]] = set()
-                grids = {size: windows(counts, size) for size in blocks}
+                grids = [(size, *windows(counts, size), at) for size, at in _ladder(counts, set(blocks))]
                 for band in range(BANDS):
-                    hashed = _keys(shingles, band)
-                    for size, (_, bands) in blocks.items():
-                        key, own = bands[band]
-                        edge, doc = grids[size]
-                        low = np.minimum.reduceat(hashed, edge)
+                    hashed, lowest = _keys(shingles, band), None
+                    for size, edge, doc, at in grids:
+                        # minima of blocks, from those of half the size where there are any
+                        lowest = np.minimum.reduceat(hashed, edge) if at is None else np.minimum.reduceat(lowest, at)
+                        if size not in blocks:
+                            continue
+                        key, own = blocks[size][1][band]
+                        low = lowest.copy()
                         pair = doc[:-1] == doc[1:]
                         low[:-1][pair] = np.minimum(low[:-1], low[1:])[pair]
                         at = np.searchsorted(key, low)

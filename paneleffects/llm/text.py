@@ -88,11 +88,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words_of(texts: pa.Array) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with 64-bit fingerprints that ignore the case of A-Z."""
+def words_of(texts: pa.Array, word: np.ndarray | None = None) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+``, or runs of the bytes in ``word``, with 64-bit fingerprints that ignore the case of A-Z."""
     data, offsets = raw(texts)
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~_SPACE[data] if word is None else word[data]
     opens, closes = inside.copy(), inside.copy()
     if n:
         opens[1:] &= ~inside[:-1]

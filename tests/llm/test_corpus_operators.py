@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import sys
 import zlib
 from pathlib import Path
@@ -71,12 +72,13 @@ def test_license_scan(spark):
             text[at:at] = notice
         rows.append((d, " ".join(text)))
     rows += B.ODD
+    plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(B.LOWER))
     shingles = lambda w: [tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))] if w else []
     want = []
     for d, t in rows:
-        s = shingles(B.words(t))
+        s = shingles(plain(t))
         for name, template in license_scan.TEMPLATES.items():
-            wanted = set(shingles(B.words(template)))
+            wanted = set(shingles(plain(template)))
             b = int(license_scan.BLOCKS[np.searchsorted(license_scan.BLOCKS, len(wanted))])
             best = max((len(set(s[a:a + 2 * b]) & wanted) / len(wanted) for a in range(0, len(s), b)), default=0)
             if best >= license_scan.CONTAINMENT:
@@ -87,6 +89,32 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def test_notices_are_found_whatever_the_punctuation(spark):
+    """Every template, with commas and line ends around it and between some words."""
+    rng = random.Random(3)
+    rows, want = [], set()
+    for d, (name, text) in enumerate(license_scan.TEMPLATES.items()):
+        words = re.findall(r"\w+", text)
+        rows.append((d, "See below, " + "".join(w + rng.choice([" ", ", ", "\n", "; ", " - "]) for w in words) + "see LICENSE."))
+        want.add((d, name))
+    got = {(r.doc_id, r.license): r.containment for r in license_scan.scan_licenses(table(spark, rows)).collect()}
+    assert want <= set(got) and all(got[w] == 1.0 for w in want)
+
+
+def test_block_minima_by_halves():
+    rng = np.random.default_rng(4)
+    counts = np.array([0, 1, 7, 30, 0, 64, 5])
+    hashed = rng.integers(0, 1000, counts.sum())
+    sizes = {1, 2, 3, 5, 6, 12, 16, 40}
+    low = None
+    for size, at in license_scan._ladder(counts, sizes):
+        edge, _ = license_scan.windows(counts, size)
+        low = np.minimum.reduceat(hashed, edge) if at is None else np.minimum.reduceat(low, at)
+        assert np.array_equal(low, np.minimum.reduceat(hashed, edge)), size
+        sizes.discard(size)
+    assert not sizes
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     vocab = B.vocabulary(rng, 60)
