@@ -54,8 +54,7 @@ def long_to_wide(
 ) -> DataFrame:
     """One row per key, one column per name; two rows for one cell raise an error."""
     kind = df.schema[value].dataType.simpleString()
-    cells = df.groupBy(*keys, name).agg(_only(value, kind).alias(value))
-    return cells.groupBy(*keys).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
+    return df.groupBy(*keys).pivot(name, list(names)).agg(_only(value, kind))
 
 
 def wide_to_long(
@@ -74,9 +73,7 @@ def side_by_side(
     """
     if len(set(models)) < len(models):
         raise ValueError(f"model names repeat: {list(models)}")
-    kind = results.schema[value].dataType.simpleString()
-    results = results.groupBy(row, model).agg(_only(value, kind).alias(value))
-    return results.groupBy(row).pivot(model, list(models)).agg(F.first(value, ignorenulls=True))
+    return long_to_wide(results, [row], model, value, models)
 
 
 def transpose(

@@ -7,8 +7,8 @@ numbers. Units stay rows, so their number is not limited by the width of a table
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from ..sources.stages import stage_observed
 from ..spec import PanelSpec
 
 SCENARIO = "scenario"
+#: Why ``incomplete='drop'`` leaves out a unit.
+CAUSES = ("rows per unit and cluster", "missing outcomes", "missing covariates")
 #: Which of the clusters that some scenario leaves out a unit belongs to; 0 for none.
 LEFT = "left_class"
 
@@ -35,13 +37,16 @@ class UnitTable:
     """Columns: scenario, unit, treated, cluster, y_0.. (outcomes), x_0.. (covariates), z_0.. (modifiers).
 
     ``data`` has a row per unit. With ``groups``, scenario s leaves out the clusters in
-    ``groups[s]``; ``rows`` then has a row per unit and scenario that keeps it.
+    ``groups[s]``; ``rows`` then has a row per unit and scenario that keeps it. ``dropped`` counts
+    the units (per cluster, where it moves) that ``incomplete='drop'`` left out, by cause; a
+    unit can have several.
     """
 
     data: DataFrame
     spec: PanelSpec
     periods: tuple[int, ...]
     groups: tuple[tuple, ...] = ()
+    dropped: Mapping[str, int] = field(default_factory=dict)
 
     @property
     def outcome_cols(self) -> list[str]:
@@ -72,7 +77,7 @@ class UnitTable:
         """The same units with periods after ``last`` dropped and a new treatment start."""
         kept = tuple(t for t in self.periods if t <= last)
         drop = [f"y_{k}" for k in range(len(kept), len(self.periods))]
-        return UnitTable(self.data.drop(*drop), self.spec.with_(time_pre=time_pre), kept, self.groups)
+        return UnitTable(self.data.drop(*drop), self.spec.with_(time_pre=time_pre), kept, self.groups, self.dropped)
 
     def keep_units(self, keys: DataFrame, column: str) -> UnitTable:
         """Only the units listed in ``keys[column]``."""
@@ -196,6 +201,8 @@ def unit_tables(
             "NULL units": F.col("unit").isNull(),
         }
         faults += [F.count_if(kept & bad).alias(f"{i}|{name}") for name, bad in checks.items()]
+        if incomplete == "drop":
+            faults += [F.count_if(~F.coalesce(kept, F.lit(False)) & checks[name]).alias(f"{i}|drop|{name}") for name in CAUSES]
         parts.append((kept, [
             SCENARIO,  # stored, so that parameter tables join on it by hash
             "unit",
@@ -206,9 +213,10 @@ def unit_tables(
         ]))
     # the tasks that write the table count its faults
     wide, found = stage_observed(wide, faults, "units")
-    tables = [UnitTable(wide.filter(kept).select(*columns), spec, periods)
-              for (kept, columns), spec in zip(parts, specs, strict=True)]
-    broken = {k: n for k, n in found.items() if n}
+    lost = [{c: found[f"{i}|drop|{c}"] for c in CAUSES if found.get(f"{i}|drop|{c}")} for i in range(len(specs))]
+    tables = [UnitTable(wide.filter(kept).select(*columns), spec, periods, dropped=gone)
+              for (kept, columns), spec, gone in zip(parts, specs, lost, strict=True)]
+    broken = {k: n for k, n in found.items() if n and "|drop|" not in k}
     if first.cluster and incomplete == "drop":
         # only units that miss rows under one cluster are looked at again
         apart = wide.filter(F.col("n_rows") < len(periods)).groupBy("unit").agg(

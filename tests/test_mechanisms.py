@@ -281,6 +281,18 @@ def test_guard_counts_while_staging(spark, tmp_path):
         prep.stage_complete(df, ["k", "v"])
 
 
+def test_left_out_units_are_counted_by_cause(spark):
+    y, d, x, g = arrays(20, 5, 4)
+    panel = frame(spark, y, d, x, g).filter("NOT (unit = 3 AND time = 2002)")
+    panel = panel.withColumn("outcome", F.when((F.col("unit") == 5) & (F.col("time") == 2001), None).otherwise(F.col("outcome")))
+    panel = panel.withColumn("x1", F.when(F.col("unit").isin(7, 8), float("nan")).otherwise(F.col("x1")))
+    units = unit_table(panel, SPEC, range(2001, 2006), incomplete="drop")
+    assert units.dropped == {"rows per unit and cluster": 1, "missing outcomes": 2, "missing covariates": 2}
+    assert units.data.count() == 16
+    assert unit_table(panel, SPEC.with_(covariates=()), range(2001, 2006), incomplete="drop").dropped == {
+        "rows per unit and cluster": 1, "missing outcomes": 2}
+
+
 def test_owners_free_their_files(spark):
     folder = stages.stage_folder(spark).removeprefix("file:")
     before = set(os.listdir(folder))
