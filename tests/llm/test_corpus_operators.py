@@ -386,6 +386,26 @@ def test_genetic_operators_keep_items_whole():
         assert [int(sizes[b].sum()) for b in x.bins] == x.loads and max(x.loads) <= 100
 
 
+def test_crossover_wins_where_best_fit_misses_the_bound():
+    """Triplets that fill a bin exactly: best fit by falling size, and every seed, needs more bins than breeding."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        sizes = []
+        for _ in range(60):
+            a = int(rng.integers(380, 491))
+            b = int(rng.integers(250, (1000 - a) // 2 + 1))
+            sizes += [a, b, 1000 - a - b]
+        p = packing.Packing(np.array(sizes), 1000)
+        first = p.seed(rng, 0.0)
+        seeds = [len(p.seed(rng, 0.05 * k).bins) for k in range(24)]
+        crossed, cross = [], p.cross
+        p.cross = lambda *a: (crossed.append(1), cross(*a))[1]  # noqa: B023
+        best = p.evolve([first], rng, 24, 600)[0]
+        assert p.bound == 60 and len(crossed) == 600
+        assert len(best.bins) < min(seeds) < len(first.bins)
+        assert sorted(i for b in best.bins for i in b) == list(range(180)) and max(best.loads) <= 1000
+
+
 def test_edit_distance():
     rng = random.Random(12)
     for _ in range(3000):
