@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,36 +17,39 @@ from ..sources.stages import stage_folder
 #: A staged table of up to this many rows, a few numbers each, may be broadcast: some 50 MB at most.
 BROADCAST_ROWS = 500_000
 
-_OPEN: list[list[str]] = []
+#: The staged folders of the open scratches of this thread of work, innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scratches", default=())
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back; an open ``scratch`` removes it at its end."""
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def outlive(df: DataFrame, label: str) -> DataFrame:
     """``stage`` for the result of an open ``scratch``: it belongs to the next one outside."""
-    inner = _OPEN.pop()
+    token = _OPEN.set(_OPEN.get()[:-1])
     try:
         return stage(df, label)
     finally:
-        _OPEN.append(inner)
+        _OPEN.reset(token)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes the tables staged inside, in whatever store they lie, when the block ends."""
-    _OPEN.append([])
+    own: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(token)
+        for path in own:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
