@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packed import pack, pack_sorted, unpack, unpack_sorted
-from .tasks import stage
+from .tasks import small, stage
 from .text import mix
 
 #: Keys a task gathers before it combines them.
@@ -333,9 +333,13 @@ def link_regions(members: DataFrame, items: DataFrame, metric: Metric, leaf: int
         return verified(near, label)
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        x = items.select(F.col("class").alias("a"), "set")
-        y = items.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
-        return stage(pairs.join(x, "a").join(y, "b").select("a", "b", "set", "set_b")
+        """The linked ones of ``pairs``; only the sets of items that some pair names are shuffled."""
+        near = stage(pairs, f"{label}-near")
+        named = small(stage(near.select(F.col("a").alias("class")).union(near.select("b")).distinct(), f"{label}-items"))
+        sets = items.select("class", "set").join(named, "class", "left_semi")
+        x = sets.select(F.col("class").alias("a"), "set")
+        y = sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
+        return stage(near.join(x, "a").join(y, "b").select("a", "b", "set", "set_b")
                      .mapInArrow(_verify(metric), "a bigint, b bigint"), label)
 
     def root_of(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
