@@ -164,6 +164,36 @@ def test_katz(spark, share):
         assert math.isclose((10 ** pairs.log_probability(key, c, p)).sum(), 1, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("held", [10**6, 100, 30, 3])
+def test_katz_whole_vocabulary(spark, held):
+    """Words that tasks do not hold keep their own pairs, as contexts and as words."""
+    rng = random.Random(5)
+    vocab = B.vocabulary(rng, 300)
+    weights = [1 / (i + 1) for i in range(300)]
+    rows = [(i, " ".join(rng.choices(vocab, weights, k=rng.randint(0, 80)))) for i in range(150)] + B.ODD
+    df = table(spark, rows)
+    model = katz.fit_katz(df, fold(katz.FOLDS) != katz.HELD_OUT, frequent=max(held // 2, 1), held=held)
+    got = sorted(map(tuple, katz.score_katz(df, model).collect()), key=str)
+    want = sorted(((a, *rest) for a, _, *rest in B.katz(rows, 10**9)), key=str)
+    for x, y in zip(got, want, strict=True):
+        assert x[:4] == y[:4]
+        assert all(math.isclose(p, q, rel_tol=1e-9, abs_tol=1e-9) for p, q in zip(x[4:], y[4:], strict=True))
+
+
+def test_katz_pairs_of_words_below_one_in_a_million(spark):
+    """A table of 1.2 million tokens in which most words occur once or twice."""
+    rng = random.Random(6)
+    rare = B.vocabulary(rng, 300)
+    rows = [(0, "aa bb " * 600_000)] + [(i, " ".join(rng.choices(rare, k=12))) for i in range(1, 60)]
+    rows += [(100 + i, rows[i][1]) for i in range(1, 30)]
+    assert any(B.fold(d, 7) == 2 for d, _ in rows) and B.fold(0, 7) != 2
+    got = {r.doc_id: r for r in katz.katz_scores(table(spark, rows)).collect()}
+    want = B.katz(rows, 10**9)
+    assert len(got) == len(want)
+    for doc_id, _, *rest in want:
+        assert math.isclose(got[doc_id].score, rest[-1], rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_katz_edges(spark):
     assert katz.katz_scores(empty(spark)).count() == 0
     held = next(i for i in range(100) if B.fold(i, 7) == 2)
