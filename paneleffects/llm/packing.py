@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import zlib
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import importable, stage
+from .tasks import importable, lean, stage
+from .text import chunks, raw, words_of
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one sub-problem, islands that evolve it, individuals of an island, children of
@@ -21,84 +26,133 @@ CAPACITY, END_ID = 4096, 1
 GROUP, ISLANDS, POPULATION, CHILDREN, EPOCHS = 4096, 2, 4, 8, 2
 #: Sequences filled less are opened again and packed across sub-problems.
 WELL_FILLED = 0.99
-#: Distinct words whose ids a task keeps.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a task keeps, and bytes of text that it encodes at once.
+CACHE_WORDS, BLOCK_BYTES = 400_000, 1 << 19
 
 # A word of these characters is cut into letter runs, digits and other runs whatever stands
 # beside it, so its parts can be looked up alone. Apostrophes and "<" are left to the tokenizer.
 _PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 # Byte-level symbols: printable bytes stand for themselves, the others follow from U+0100 on.
 _OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_SYMBOLS = {b: chr(b) for b in _OWN} | {
-    b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
-_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_SYMBOLS = "".join(chr(b if b in _OWN else 0x100 + sum(x not in _OWN for x in range(b))) for b in range(256))
+_INSIDE = np.ones(256, bool)
+_INSIDE[[0x20, 9, 10, 13]] = False
+# Parts of lower-cased words, and the line feeds between words.
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|\n|[^a-z0-9ß-öø-ÿ\n]+")
+
+
+class Runs:
+    """Runs of token ids by number, end to end; number 0 is the empty run."""
+
+    def __init__(self) -> None:
+        self.flat, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 1
+        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = self.n + len(sizes), self.used + len(ids)
+        while len(self.begin) < n:
+            self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
+        while len(self.flat) < used:
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used:used] = ids
+        self.begin[self.n:n] = self.used + np.cumsum(sizes) - sizes
+        self.length[self.n:n] = sizes
+        self.n, self.used = n, used
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these runs in order, and where each run ends."""
+        sizes = self.length[at]
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - (ends - sizes), sizes)
+        return self.flat[place], ends
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The tokenizer of a file, which a worker reads once for all its tasks."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    return tokenizer
 
 
 class WordIds:
     """Token ids of texts, word by word, with a bounded cache.
 
     The tokenizer splits at white space and drops it, so a text's ids are those of its words
-    in order; each distinct word is encoded once.
+    in order. Words go by fingerprints of their bytes; each distinct word is encoded once, and
+    each distinct part of plain words.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.tokenizer.no_truncation()
+        self.tokenizer, self.limit = _tokenizer(path), limit
         self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {"": 0}
-        self.parts: dict[str, list[int]] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.words: dict[int, int] = {}
+        self.parts: dict[str, int] = {"\n": 0}
+        self.word_runs, self.part_runs = Runs(), Runs()
 
     def _merge(self, part: str) -> list[int]:
         """Ids of a part the tokenizer would not cut or change: byte symbols, then its merges."""
-        symbols = part if part.isascii() else "".join(map(_SYMBOLS.__getitem__, part.encode()))
+        symbols = part if part.isascii() else charmap_decode(part.encode(), "strict", _SYMBOLS)[0]
         return [t.id for t in self.model.tokenize(symbols)]
 
-    def _learn(self, words: list[str]) -> None:
-        cut = [_PARTS.findall(w.lower()) if _PLAIN.fullmatch(w) else None for w in words]
-        for parts in cut:
-            for part in parts or ():
-                if part not in self.parts:
-                    self.parts[part] = self._merge(part)
-        whole = iter(self._encode([w for w, parts in zip(words, cut, strict=True) if parts is None]))
-        ids = [next(whole) if parts is None else
-               self.parts[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.parts[p]]
-               for parts in cut]
-        n, sizes = len(self.words), np.array([len(x) for x in ids], np.int64)
-        while len(self.begin) < n + len(words):
-            self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
-        joined = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        while len(self.flat) < self.used + len(joined):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used:self.used + len(joined)] = joined
-        self.begin[n:n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.length[n:n + len(words)] = sizes
-        self.used += len(joined)
-        self.words.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    @staticmethod
+    def _enter(runs: Runs, ids: list[list[int]]) -> np.ndarray:
+        """The numbers of runs that join ``runs``."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        runs.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        return np.arange(runs.n - len(ids), runs.n)
+
+    def _parts_of(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words' parts, 0 between words."""
+        items = _PARTS.findall("\n".join(words).lower())
+        at = np.fromiter(map(self.parts.get, items, repeat(-1)), np.int64, len(items))
+        new = at < 0
+        if new.any():
+            missing = list(compress(items, new.tolist()))
+            parts = list(dict.fromkeys(missing))
+            self.parts.update(zip(parts, self._enter(self.part_runs, list(map(self._merge, parts))).tolist(), strict=True))
+            at[new] = np.fromiter(map(self.parts.__getitem__, missing), np.int64, len(missing))
+        return at
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The numbers of new words."""
+        plain = np.fromiter(map(bool, map(_PLAIN.fullmatch, words)), bool, len(words))
+        out = np.zeros(len(words), np.int64)
+        if plain.any():
+            at = self._parts_of(list(compress(words, plain.tolist())))
+            ids, ends = self.part_runs.take(at)
+            ends = np.r_[ends[at == 0], len(ids)]
+            self.word_runs.add(ids, np.diff(ends, prepend=0))
+            out[plain] = np.arange(self.word_runs.n - len(ends), self.word_runs.n)
+        if not plain.all():
+            found = self.tokenizer.encode_batch_fast(list(compress(words, (~plain).tolist())), add_special_tokens=False)
+            out[~plain] = self._enter(self.word_runs, [e.ids for e in found])
+        return out
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; many short texts at a time cost less than one by one."""
         if len(self.words) > self.limit:
             self.clear()
-        self.begin[0] = self.length[0] = 0
-        try:
-            at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn(list(dict.fromkeys(w for w in words if w not in self.words)))
-            at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        sizes = self.length[at]
-        ends = np.cumsum(sizes)
-        place = np.arange(ends[-1]) + np.repeat(self.begin[at] - (ends - sizes), sizes)
-        return self.flat[place]
+        found = words_of(texts, _INSIDE, None)
+        prints, first, at = np.unique(found.prints, return_index=True, return_inverse=True)
+        prints = prints.tolist()
+        number = np.fromiter(map(self.words.get, prints, repeat(-1)), np.int64, len(prints))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            blob, first = raw(texts)[0].tobytes(), first[new]
+            spans = zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)
+            number[new] = self._learn(b"\n".join([blob[x:y] for x, y in spans]).decode().split("\n"))
+            self.words.update(zip([prints[k] for k in new.tolist()], number[new].tolist(), strict=True))
+        ids, ends = self.word_runs.take(number[at])
+        return np.split(ids, np.r_[0, ends][found.first[1:-1]]) if len(texts) else []
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 PIECES = "row bigint, doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -107,11 +161,12 @@ PIECES = "row bigint, doc_id {kind}, piece int, start bigint, length bigint, ids
 def _cutter(path: str, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds(path)
+        gc.disable()  # words and ids hold no cycles, and there are many
         for b in batches:
             out: list[list] = [[] for _ in range(5 + with_ids)]
             take = []
-            for k, text in enumerate(b.column("text").to_pylist()):
-                ids = np.append(coder.encode(text or ""), np.uint32(END_ID)).astype("<u4")
+            for k, own in enumerate(chain.from_iterable(coder.encode_all(c.column("text")) for c in chunks(b, limit=BLOCK_BYTES))):
+                ids = np.append(own, np.uint32(END_ID)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start:start + capacity]
                     take.append(k)
@@ -128,6 +183,7 @@ def _cutter(path: str, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.R
                 columns.append(pa.array([x.tolist() for x in out[5]], pa.list_(pa.int64())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        gc.enable()
 
     return cut
 
@@ -140,7 +196,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with
     importable(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     schema = PIECES.format(kind=docs.schema["doc_id"].dataType.simpleString()) + ", ids array<bigint>" * with_ids
-    return rows.mapInArrow(_cutter(tokenizer, capacity, with_ids), schema)
+    return rows.mapInArrow(lean(_cutter(tokenizer, capacity, with_ids)), schema)
 
 
 class Packing:

@@ -88,8 +88,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words_of(texts: pa.Array, word: np.ndarray | None = None) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+``, or runs of the bytes in ``word``, with 64-bit fingerprints that ignore the case of A-Z."""
+def words_of(texts: pa.Array, word: np.ndarray | None = None, table: np.ndarray | None = _BYTE) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+``, or runs of the bytes in ``word``, with 64-bit fingerprints that ignore the case of A-Z
+    (without ``table`` they do not)."""
     data, offsets = raw(texts)
     n = len(data)
     inside = ~_SPACE[data] if word is None else word[data]
@@ -102,7 +103,7 @@ def words_of(texts: pa.Array, word: np.ndarray | None = None) -> Words:
         last = offsets[1:][np.diff(offsets) > 0] - 1
         closes[last] = inside[last]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    prints = range_prints(_BYTE, data, starts, ends)
+    prints = range_prints(table, data, starts, ends)
     return Words(starts, ends, prints, np.searchsorted(starts, offsets))
 
 

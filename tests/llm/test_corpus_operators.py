@@ -194,6 +194,17 @@ def test_katz_pairs_of_words_below_one_in_a_million(spark):
         assert math.isclose(got[doc_id].score, rest[-1], rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_words_in_blocks():
+    """Ids of texts encoded together, with case, special tokens and words that are no plain words."""
+    texts = ["", "a\tb\rc\nd", "<s> <S> don't </s>", "ÀÉ ß Straße 12a3,,b", "İst ΣΑΣ x y \x0b z", "日本 語", "A a a. A.", "x y " * 3000, " "]
+    plain = packing.WordIds(tokenizer_path("word_bpe_49k.json")).tokenizer
+    for limit in (3, 10**6):
+        coder = packing.WordIds(tokenizer_path("word_bpe_49k.json"), limit)
+        for _ in range(2):
+            got = coder.encode_all(pa.array([*texts, None], pa.string()).slice(1))
+            assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in [*texts[1:], ""]]
+
+
 def test_katz_edges(spark):
     assert katz.katz_scores(empty(spark)).count() == 0
     held = next(i for i in range(100) if B.fold(i, 7) == 2)
