@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .regions import COARSE, LEAF, KeyBlock, far_vector, link_regions, members_of
-from .tasks import importable, outlive, scratch, small, stage
+from .tasks import importable, lean, outlive, scratch, small, stage
 from .text import chunks, mix, shingles_of, words_of
 
 
@@ -160,17 +160,17 @@ def jaccard_links(docs: DataFrame, limit: Limit = Limit(), leaf: int = LEAF) ->
     importable(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
-    known = stage(texts.mapInArrow(_describe(limit), f"doc_id {kind}, n_shingles bigint, class bigint"), "sets")
+    known = stage(texts.mapInArrow(lean(_describe(limit)), f"doc_id {kind}, n_shingles bigint, class bigint"), "sets")
 
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = members_of(texts.mapInArrow(_keys(limit, buckets), KeyBlock.SCHEMA))
+    members = members_of(texts.mapInArrow(lean(_keys(limit, buckets)), KeyBlock.SCHEMA))
 
     active = members.select("class").distinct()
     first = small(stage(
         known.join(active, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "shown-by"))
     sets = stage(
         texts.join(first, texts["doc_id"].eqNullSafe(first["doc_id"])).select(texts["text"], first["class"])
-        .mapInArrow(_arrays(limit), "class bigint, n bigint, far binary, set binary").dropDuplicates(["class"]),
+        .mapInArrow(lean(_arrays(limit)), "class bigint, n bigint, far binary, set binary").dropDuplicates(["class"]),
         "active-sets")
     return known, link_regions(members, sets, limit, leaf)
 
@@ -220,7 +220,7 @@ def keep_one(docs: DataFrame, limit: Limit = Limit(), leaf: int = LEAF) -> DataF
             F.col("doc_id").alias("__id"), F.col("class").alias("__of"), "times",
             (F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("class") == F.col("first.cls"))).alias("stays"))
         judged = outlive(judged.where("NOT stays OR times > 1"), "judged")
-    tagged = docs.mapInArrow(_tagged(limit), docs.select("*", F.lit(0).cast("bigint").alias("__class")).schema)
+    tagged = docs.mapInArrow(lean(_tagged(limit)), docs.select("*", F.lit(0).cast("bigint").alias("__class")).schema)
     of = small(judged)
     same = tagged["doc_id"].eqNullSafe(of["__id"]) & (tagged["__class"] == of["__of"])
     kept = tagged.join(of, same, "left_anti").select(docs.columns)

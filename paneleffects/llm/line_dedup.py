@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .regions import COARSE, LEAF, KeyBlock, far_vector, link_regions, members_of
-from .tasks import importable, outlive, scratch, small, stage
+from .tasks import importable, lean, outlive, scratch, small, stage
 from .text import chunks, mix, range_prints
 
 #: Edits between near-duplicate lines, and the shortest line that is compared at all.
 EDITS, MIN_CHARS = 2, 32
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -234,17 +234,17 @@ def line_classes(docs: DataFrame, limit: Edits = Edits(), leaf: int = LEAF) -> t
     texts = docs.select("doc_id", "text")
     listed = stage(
         texts.withColumn("row", F.monotonically_increasing_id())
-        .mapInArrow(_listed(limit), f"row bigint, doc_id {kind}, line bigint, class bigint"), "lines")
+        .mapInArrow(lean(_listed(limit)), f"row bigint, doc_id {kind}, line bigint, class bigint"), "lines")
     lines = listed.where("class IS NOT NULL")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    members = members_of(texts.mapInArrow(_keys(limit, buckets), KeyBlock.SCHEMA))
+    members = members_of(texts.mapInArrow(lean(_keys(limit, buckets)), KeyBlock.SCHEMA))
     active = members.select("class").distinct()
     # one document shows each line that met another; a document shows no more lines than it has
     by = stage(lines.join(active, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "shown-by")
     shown = small(by.groupBy("doc_id").agg(F.collect_list("class").alias("classes")), by)
     items = stage(
         texts.join(shown, texts["doc_id"].eqNullSafe(shown["doc_id"])).select(texts["text"], "classes")
-        .mapInArrow(_contents(limit), "class bigint, n bigint, far binary, set binary").dropDuplicates(["class"]), "line-texts")
+        .mapInArrow(lean(_contents(limit)), "class bigint, n bigint, far binary, set binary").dropDuplicates(["class"]), "line-texts")
     roots = link_regions(members, items, limit, leaf).withColumnRenamed("node", "class")
     rooted = lines.join(roots, "class", "left").select("row", "doc_id", "line", "class", F.coalesce("root", "class").alias("root"))
     return rooted, listed.where("class IS NULL").select("row", "doc_id", F.col("line").alias("n_lines"))
@@ -312,4 +312,4 @@ def drop_repeated_lines(docs: DataFrame, limit: Edits = Edits(), leaf: int = LEA
     drop, _ = repeated_lines(docs, limit, leaf)
     per = drop.groupBy("doc_id").agg(F.collect_set(F.struct("line", "class")).alias("__drop")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(per, docs["doc_id"].eqNullSafe(per["__id"]), "left").drop("__id")
-    return joined.mapInArrow(_rewrite(docs.columns), docs.schema)
+    return joined.mapInArrow(lean(_rewrite(docs.columns)), docs.schema)

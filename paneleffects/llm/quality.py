@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tasks import fold, importable
+from .tasks import fold, importable, lean
 from .text import chunks, raw, words_of
 
 #: Documents of each kind that the fit reads at most (in expectation), chosen by a hash of doc_id.
@@ -183,7 +183,7 @@ def score_quality(docs: DataFrame, model: Model | None, columns: list[str]) -> D
     importable(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", score double"
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(_scorer(model, columns), schema)
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(lean(_scorer(model, columns)), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,4 +211,4 @@ def _keeper(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches the threshold; all without a model."""
     importable(docs.sparkSession)
-    return docs.mapInArrow(_keeper(model), docs.schema)
+    return docs.mapInArrow(lean(_keeper(model)), docs.schema)

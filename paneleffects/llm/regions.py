@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packed import pack, pack_sorted, unpack, unpack_sorted
-from .tasks import small, stage
+from .tasks import lean, small, stage
 from .text import mix
 
 #: Keys a task gathers before it combines them.
@@ -302,7 +302,7 @@ def _cross_pairs(rows: DataFrame, metric: Metric, leaf: int) -> DataFrame:
         pivots = chosen.groupBy("key", "cell").agg(F.transform(F.collect_list("p"), lambda p: p["far"]).alias("pivots"))
         split = stage(
             large.join(pivots, ["key", "cell"]).select("key", "class", "root", "n", "far", "cell", "size", "pivots")
-            .mapInArrow(_cells(metric), _ROW), "cells")
+            .mapInArrow(lean(_cells(metric)), _ROW), "cells")
         left = split.groupBy("key", "parent", "size", "cell").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy(
             "key", "parent", "size").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
         better = left.where("work <= 0.5 * size * size").selectExpr("key", "parent")
@@ -312,7 +312,7 @@ def _cross_pairs(rows: DataFrame, metric: Metric, leaf: int) -> DataFrame:
     for g in groups[1:]:
         every = every.union(g)
     dealt = every.repartition("key", "cell", "tile").sortWithinPartitions("key", "cell", "tile")
-    return dealt.mapInArrow(_leaf(metric), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(lean(_leaf(metric)), "a bigint, b bigint").distinct()
 
 
 def link_regions(members: DataFrame, items: DataFrame, metric: Metric, leaf: int = LEAF) -> DataFrame:
@@ -329,7 +329,7 @@ def link_regions(members: DataFrame, items: DataFrame, metric: Metric, leaf: int
         near = (
             pairs.select("a", "b").join(light.withColumnRenamed("class", "a"), "a")
             .join(light.selectExpr("class AS b", "n AS m", "far AS far_b"), "b")
-            .mapInArrow(_possible(metric), "a bigint, b bigint"))
+            .mapInArrow(lean(_possible(metric)), "a bigint, b bigint"))
         return verified(near, label)
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
@@ -340,7 +340,7 @@ def link_regions(members: DataFrame, items: DataFrame, metric: Metric, leaf: int
         x = sets.select(F.col("class").alias("a"), "set")
         y = sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
         return stage(near.join(x, "a").join(y, "b").select("a", "b", "set", "set_b")
-                     .mapInArrow(_verify(metric), "a bigint, b bigint"), label)
+                     .mapInArrow(lean(_verify(metric)), "a bigint, b bigint"), label)
 
     def root_of(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
         of = roots.select(F.col("node").alias(node), F.col("root").alias(root))

@@ -3,6 +3,7 @@
 import os
 from concurrent.futures import ThreadPoolExecutor
 
+from paneleffects.llm import tasks  # noqa: E402
 from paneleffects.llm.tasks import outlive, scratch, stage
 from paneleffects.sources.stages import stage_folder
 
@@ -27,3 +28,19 @@ def test_scratches_remove_their_own_tables(spark):
     with ThreadPoolExecutor(4) as pool:
         assert list(pool.map(work, range(8))) == list(range(8))
     assert set(os.listdir(folder)) == before
+
+
+def test_lean_tasks_give_memory_back(monkeypatch):
+    """At the end of a task, also of one that fails, and not before."""
+    given = []
+    monkeypatch.setattr(tasks, "give_back", lambda: given.append(1))
+    task = tasks.lean(lambda batches: (1 // b for b in batches))
+    out = task(iter([1, 1]))
+    assert next(out) == 1 and not given
+    assert list(out) == [1] and len(given) == 1
+    try:
+        list(task(iter([0])))
+    except ZeroDivisionError:
+        assert len(given) == 2
+    monkeypatch.undo()
+    tasks.give_back()
