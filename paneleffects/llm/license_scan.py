@@ -78,24 +78,33 @@ def windows(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ladder(counts: np.ndarray, sizes: set[int]) -> list[tuple[int, np.ndarray | None]]:
-    """Block sizes to go through, and where the blocks of half the size begin that make one; None where none do."""
+    """Block sizes to go through, and where the blocks of the size before begin that make one; None where none do."""
+    chains: dict[int, list[int]] = {}
+    for s in sorted(sizes):
+        root = s if s <= 5 else next(k for k in (3, 4, 5) if s % k == 0 and (s // k) & (s // k - 1) == 0)
+        chains.setdefault(4 if root in (1, 2) else root, []).append(s)
     out = []
-    for root in sorted({s if s <= 5 else next(k for k in (3, 4, 5) if s % k == 0 and (s // k) & (s // k - 1) == 0) for s in sizes}):
-        chain = [root]
-        while root > 2 and any(s > chain[-1] and s % root == 0 and (s // root) & (s // root - 1) == 0 for s in sizes):
-            chain.append(2 * chain[-1])
+    for chain in chains.values():
         for n, size in enumerate(chain):
             if not n:
                 out.append((size, None))
                 continue
-            half = -(-counts // (size // 2))
-            first = np.cumsum(half) - half
+            part = -(-counts // chain[n - 1])
+            first = np.cumsum(part) - part
             own = -(-counts // size)
             within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-            out.append((size, np.repeat(first, own) + 2 * within))
+            out.append((size, np.repeat(first, own) + size // chain[n - 1] * within))
     return out
 
 
+def _hits(lowest: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Blocks whose minimum is one of the sorted keys."""
+    if len(key) <= 8:
+        return np.flatnonzero(np.logical_or.reduce([lowest == k for k in key]))
+    at = np.minimum(np.searchsorted(key, lowest), len(key) - 1)
+    return np.flatnonzero(key[at] == lowest)
+
+
 def _scan(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = index.blocks()
@@ -112,18 +121,22 @@ def _scan(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 for band in range(BANDS):
                     hashed, lowest = _keys(shingles, band), None
                     for size, edge, doc, at in grids:
-                        # minima of blocks, from those of half the size where there are any
-                        lowest = np.minimum.reduceat(hashed, edge) if at is None else np.minimum.reduceat(lowest, at)
-                        if size not in blocks:
-                            continue
+                        # minima of blocks, from those of the size before where there are any
+                        if at is not None:
+                            lowest = np.minimum.reduceat(lowest, at)
+                        else:
+                            lowest = np.minimum.reduceat(hashed, edge) if size > 1 else hashed
                         key, own = blocks[size][1][band]
-                        low = lowest.copy()
-                        pair = doc[:-1] == doc[1:]
-                        low[:-1][pair] = np.minimum(low[:-1], low[1:])[pair]
-                        at = np.searchsorted(key, low)
-                        for w in np.flatnonzero((at < len(key)) & (key[np.minimum(at, len(key) - 1)] == low)).tolist():
-                            for k in range(int(at[w]), int(np.searchsorted(key, low[w], side="right"))):
-                                near.add((int(doc[w]), int(own[k]), int(edge[w]), int(min(edge[w] + 2 * size, ends[doc[w]]))))
+                        # a window is a block and the next one of its document; one of them has the window's minimum
+                        for hit in _hits(lowest, key).tolist():
+                            for w in (hit - 1, hit):
+                                if w < 0 or doc[w] != doc[hit]:
+                                    continue
+                                low = min(lowest[w], lowest[w + 1]) if w + 1 < len(doc) and doc[w + 1] == doc[w] else lowest[w]
+                                if low != lowest[hit]:
+                                    continue
+                                for k in range(int(np.searchsorted(key, low)), int(np.searchsorted(key, low, side="right"))):
+                                    near.add((int(doc[w]), int(own[k]), int(edge[w]), int(min(edge[w] + 2 * size, ends[doc[w]]))))
                 found: dict[tuple[int, int], tuple[float, int, int]] = {}
                 for d, t, x, y in sorted(near):
                     inside = np.isin(shingles[x:y], index.sets[t])

@@ -115,6 +115,31 @@ def test_block_minima_by_halves():
     assert not sizes
 
 
+def test_ladder_goes_through_the_sought_sizes_only():
+    counts, sizes = np.array([0, 1, 7, 300, 0, 64, 5]), {1, 3, 8, 20, 48, 160, 256}
+    assert sorted(size for size, _ in license_scan._ladder(counts, sizes)) == sorted(sizes)
+
+
+def test_hits_of_few_and_of_many_keys():
+    rng = np.random.default_rng(6)
+    lowest = rng.integers(0, 500, 4000).astype(np.uint64)
+    for n in (1, 2, 8, 9, 60):
+        key = np.sort(rng.integers(0, 520, n).astype(np.uint64))
+        assert np.array_equal(license_scan._hits(lowest, key), np.flatnonzero(np.isin(lowest, key)))
+
+
+def test_license_scan_with_many_templates_of_one_size(spark):
+    """Twelve templates of one block size, two alike; texts hold one each, some in their first or last words."""
+    rng = random.Random(8)
+    templates = {f"t{i:02}": " ".join(f"w{i if i else 1}x{k}" for k in range(24)) for i in range(12)}
+    rows = []
+    for d, t in enumerate(templates.values()):
+        before, after = (" ".join(f"v{rng.randrange(900)}" for _ in range(n)) for n in (d * 7 % 40 * (d % 3), d * 11 % 50 * (d % 2)))
+        rows.append((d, f"{before} {t} {after}"))
+    got = {(r.doc_id, r.license) for r in license_scan.scan_licenses(table(spark, rows), templates).collect()}
+    assert got == {(i, f"t{i:02}") for i in range(12)} | {(0, "t01"), (1, "t00")}
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     vocab = B.vocabulary(rng, 60)
