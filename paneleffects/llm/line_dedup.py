@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -91,12 +92,18 @@ class Lines:
     end: np.ndarray
     doc: np.ndarray
     number: np.ndarray
-    total: np.ndarray  # sums of hashed code points, for keys of any range, which only bring lines together
 
     @property
     def n(self) -> np.ndarray:
         return self.end - self.start
 
+    @cached_property
+    def total(self) -> np.ndarray:
+        """Sums of hashed code points, for keys of any range, which only bring lines together."""
+        total = np.zeros(len(self.points) + 1, np.uint64)
+        np.cumsum(mix(self.points.astype(np.uint64) + np.uint64(1)) * _powers(len(self.points) + 1)[0][:-1], out=total[1:])
+        return total
+
     def prints(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.total[end] - self.total[start]) * _powers(len(self.points) + 1)[1][start])
 
@@ -128,15 +135,12 @@ def lines_of(texts: list[str | None]) -> Lines:
     start = np.where(some, solid[np.minimum(first, max(len(solid) - 1, 0))] if len(solid) else 0, begin)
     end = np.where(some, solid[np.maximum(after - 1, 0)] + 1 if len(solid) else 0, start)
     head = np.searchsorted(doc, np.arange(len(texts)))
-    up = _powers(len(points) + 1)[0]
-    total = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return Lines(points, start, end, doc, np.arange(len(doc)) - head[doc], total)
+    return Lines(points, start, end, doc, np.arange(len(doc)) - head[doc])
 
 
-def class_of(lines: Lines) -> np.ndarray:
-    """A 64-bit fingerprint of content and length; equal lines are one class."""
-    return range_prints(None, lines.points, lines.start, lines.end).view(np.int64)
+def class_of(lines: Lines, on: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """A 64-bit fingerprint of content and length of the lines ``on``; equal lines are one class."""
+    return range_prints(None, lines.points, lines.start[on], lines.end[on]).view(np.int64)
 
 
 def _listed(limit: Edits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -147,7 +151,7 @@ def _listed(limit: Edits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             for c in chunks(b, limit=CHUNK):
                 lines = lines_of(c.column("text").to_pylist())
                 on = np.flatnonzero(lines.n >= limit.min_chars)
-                cls = class_of(lines)[on]
+                cls = class_of(lines, on)
                 count = np.bincount(lines.doc, minlength=c.num_rows)
                 docs = np.r_[lines.doc[on], np.arange(c.num_rows)]
                 yield pa.RecordBatch.from_arrays([
@@ -174,10 +178,10 @@ def _keys(limit: Edits, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
         for b in batches:
             for c in chunks(b, limit=CHUNK):
                 lines = lines_of(c.column("text").to_pylist())
-                cls = class_of(lines)
-                _, first = np.unique(cls, return_index=True)
-                on = first[lines.n[first] >= limit.min_chars]
-                start, n, cls = lines.start[on], lines.n[on], cls[on]
+                on = np.flatnonzero(lines.n >= limit.min_chars)
+                cls, first = np.unique(class_of(lines, on), return_index=True)
+                on = on[first]
+                start, n = lines.start[on], lines.n[on]
                 for shorter in range(k + 1):
                     size = n - shorter
                     ok = size >= limit.min_chars

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packed import pack, pack_sorted, unpack, unpack_sorted
-from .tasks import lean, small, stage
+from .tasks import BROADCAST_ROWS, gathered, lean, rows_of, small, stage
 from .text import mix
 
 #: Keys a task gathers before it combines them.
@@ -25,6 +25,8 @@ BLOCK_KEYS = 1 << 21
 LEAF, PIVOTS = 2048, 8
 #: Pairs a task holds back to put equal ones together.
 SEND_PAIRS = 1 << 18
+#: Items whose sizes and ``far`` vectors may be broadcast, and regions an item lists for its pairs.
+FAR_ROWS, LISTED = 50_000, 16
 #: Entries of a ``far`` vector: a part's count, at most 255, which can only lower a distance.
 COARSE = 128
 
@@ -177,6 +179,11 @@ def _verify(metric: Metric) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def _before(lists: pa.ChunkedArray, key: int) -> list[set[int]]:
+    """Of each item's listed regions those before ``key``."""
+    return [{x for x in listed if x < key} for listed in lists.to_pylist()]
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal ``keys`` of sorted batches, as tables of bounded groups."""
     rest: pa.Table | None = None
@@ -225,7 +232,7 @@ def _leaf(metric: Metric) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             n, cls, root, side = (t[c].to_numpy() for c in ("n", "class", "root", "side"))
             if root.min() == root.max():
                 continue
-            far = _far(t["far"])
+            far, first = _far(t["far"]), _before(t["first"], int(t["key"][0].as_py()))
             to_pivot = np.abs(far - far[0]).sum(axis=1)
             found = []
             top = np.searchsorted(n, metric.highest(n), side="right")
@@ -235,6 +242,8 @@ def _leaf(metric: Metric) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 most = metric.bound(n[i], n[j])
                 j = j[np.abs(to_pivot[j] - to_pivot[i]) <= most]  # triangle inequality at the first pivot
                 j = j[np.abs(far[j] - far[i]).sum(axis=1) <= metric.bound(n[i], n[j])]
+                # a region before this one that both list has the pair too
+                j = j[np.array([first[i].isdisjoint(first[k]) for k in j.tolist()], bool)]
                 if len(j):
                     found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
             if found:
@@ -256,17 +265,17 @@ def _cells(metric: Metric) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 reach = np.flatnonzero(d <= d.min() + 2 * metric.bound(n[i], metric.highest(n[i])))
                 take += [i] * len(reach)
                 cells += reach.tolist()
-            out = b.select(["key", "class", "root", "n", "far", "cell", "size"]).take(pa.array(take, pa.int64()))
+            out = b.select(["key", "class", "root", "n", "far", "first", "cell", "size"]).take(pa.array(take, pa.int64()))
             parent = out.column("cell").to_numpy().view(np.uint64)
             cell = mix(parent * np.uint64(PIVOTS) + np.array(cells, np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*out.columns, pa.array(cell, pa.int64())],
-                ["key", "class", "root", "n", "far", "parent", "size", "cell"])
+                ["key", "class", "root", "n", "far", "first", "parent", "size", "cell"])
 
     return run
 
 
-_ROW = "key bigint, class bigint, root bigint, n bigint, far binary, parent bigint, size bigint, cell bigint"
+_ROW = "key bigint, class bigint, root bigint, n bigint, far binary, first array<bigint>, parent bigint, size bigint, cell bigint"
 
 
 def _tiles(large: DataFrame, leaf: int) -> DataFrame:
@@ -275,7 +284,7 @@ def _tiles(large: DataFrame, leaf: int) -> DataFrame:
         "own", F.pmod(F.xxhash64("class"), F.col("tiles")))
     t = t.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)))
     return t.selectExpr(
-        "key", "class", "root", "n", "far", "cell", "least(own, other) * tiles + greatest(own, other) AS tile",
+        "key", "class", "root", "n", "far", "first", "cell", "least(own, other) * tiles + greatest(own, other) AS tile",
         "CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END AS side")
 
 
@@ -292,7 +301,7 @@ def _cross_pairs(rows: DataFrame, metric: Metric, leaf: int) -> DataFrame:
         sized = cells.join(sizes.where("low != high").select("key", "cell", "size"), ["key", "cell"])
         small = sized.where(F.col("size") <= leaf)
         groups.append(small.selectExpr(
-            "key", "class", "root", "n", "far", "cell", "CAST(0 AS bigint) AS tile", "0 AS side"))
+            "key", "class", "root", "n", "far", "first", "cell", "CAST(0 AS bigint) AS tile", "0 AS side"))
         large = sized.where(F.col("size") > leaf)
         if not large.limit(1).count():
             break
@@ -301,13 +310,13 @@ def _cross_pairs(rows: DataFrame, metric: Metric, leaf: int) -> DataFrame:
         chosen = ranked.groupBy("key", "cell", F.pmod(F.col("p.h"), F.lit(PIVOTS)).alias("k")).agg(F.min("p").alias("p"))
         pivots = chosen.groupBy("key", "cell").agg(F.transform(F.collect_list("p"), lambda p: p["far"]).alias("pivots"))
         split = stage(
-            large.join(pivots, ["key", "cell"]).select("key", "class", "root", "n", "far", "cell", "size", "pivots")
+            large.join(pivots, ["key", "cell"]).select("key", "class", "root", "n", "far", "first", "cell", "size", "pivots")
             .mapInArrow(lean(_cells(metric)), _ROW), "cells")
         left = split.groupBy("key", "parent", "size", "cell").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy(
             "key", "parent", "size").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
         better = left.where("work <= 0.5 * size * size").selectExpr("key", "parent")
         groups.append(_tiles(large.join(better.withColumnRenamed("parent", "cell"), ["key", "cell"], "left_anti"), leaf))
-        cells = split.join(better, ["key", "parent"]).select("key", "class", "root", "n", "far", "cell")
+        cells = split.join(better, ["key", "parent"]).select("key", "class", "root", "n", "far", "first", "cell")
     every = groups[0]
     for g in groups[1:]:
         every = every.union(g)
@@ -324,36 +333,47 @@ def link_regions(members: DataFrame, items: DataFrame, metric: Metric, leaf: int
     fixed pivots are attached only to pairs and regions that are still open.
     """
     light = items.select("class", "n", "far")
+    few = rows_of(items, FAR_ROWS) <= FAR_ROWS
+
+    def thin(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
 
-    def linked(pairs: DataFrame, label: str) -> DataFrame:
+    def linked(pairs: DataFrame, label: str, rows: int) -> DataFrame:
         near = (
-            pairs.select("a", "b").join(light.withColumnRenamed("class", "a"), "a")
-            .join(light.selectExpr("class AS b", "n AS m", "far AS far_b"), "b")
+            pairs.select("a", "b").join(thin(light.withColumnRenamed("class", "a")), "a")
+            .join(thin(light.selectExpr("class AS b", "n AS m", "far AS far_b")), "b")
             .mapInArrow(lean(_possible(metric)), "a bigint, b bigint"))
-        return verified(near, label)
+        return verified(gathered(near, rows), label)
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """The linked ones of ``pairs``; only the sets of items that some pair names are shuffled."""
         near = stage(pairs, f"{label}-near")
-        named = small(stage(near.select(F.col("a").alias("class")).union(near.select("b")).distinct(), f"{label}-items"))
-        sets = items.select("class", "set").join(named, "class", "left_semi")
-        x = sets.select(F.col("class").alias("a"), "set")
-        y = sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
-        return stage(near.join(x, "a").join(y, "b").select("a", "b", "set", "set_b")
-                     .mapInArrow(lean(_verify(metric)), "a bigint, b bigint"), label)
+        x = items.select(F.col("class").alias("a"), "set")
+        y = items.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
+        rows = rows_of(near)
+        if rows <= BROADCAST_ROWS:
+            both = x.join(F.broadcast(near), "a").join(y.join(F.broadcast(near.select("b")), "b", "left_semi"), "b")
+        else:
+            named = small(stage(near.select("a").union(near.select("b")).distinct(), f"{label}-items"))
+            both = (
+                near.join(x.join(named, "a", "left_semi"), "a")
+                .join(y.join(named.withColumnRenamed("a", "b"), "b", "left_semi"), "b"))
+        both = gathered(both.select("a", "b", "set", "set_b"), rows)
+        return stage(both.mapInArrow(lean(_verify(metric)), "a bigint, b bigint"), label)
 
     def root_of(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
-        of = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+        of = small(roots.select(F.col("node").alias(node), F.col("root").alias(root)), roots)
         return rows.join(of, node, "left").withColumn(root, F.coalesce(root, node))
 
     star = stage(
         members.where("class != a").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("shared")), "star")
-    first = stage(star.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")), "first-pivots")
-    links = linked(first, "pivot-links")
+    met = rows_of(star)
+    first = stage(gathered(star.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")), met), "first-pivots")
+    links = linked(first, "pivot-links", met)
     roots = components(links)
     others = star.join(first.withColumnRenamed("a", "tried"), "b").where("a != tried").select("a", "b")
     others = linked(
-        root_of(root_of(others, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b"), "more-links")
+        root_of(root_of(others, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b"), "more-links", met)
     if others.limit(1).count():
         links = links.union(others)
         roots = components(links)
@@ -361,8 +381,12 @@ def link_regions(members: DataFrame, items: DataFrame, metric: Metric, leaf: int
     mixed = rooted.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where(
         "size > 2 AND low != high")
+    held = stage(rooted.join(mixed.select("key"), "key"), "open-regions")
+    # of an item's open regions the first few in order; a pair is put out in the first that both list
+    listed = held.groupBy("class").agg(
+        F.slice(F.sort_array(F.collect_set("key")), 1, LISTED).alias("first"))
     open_rows = (
-        rooted.join(mixed.select("key"), "key").join(light, "class")
-        .select("key", "class", "root", "n", "far", F.lit(0).cast("bigint").alias("cell")))
-    more = verified(_cross_pairs(stage(open_rows, "open-regions"), metric, leaf), "cell-links")
+        held.join(listed, "class").join(thin(light), "class")
+        .select("key", "class", "root", "n", "far", "first", F.lit(0).cast("bigint").alias("cell")))
+    more = verified(_cross_pairs(stage(open_rows, "open-rows"), metric, leaf), "cell-links")
     return components(links.union(more)) if more.limit(1).count() else roots

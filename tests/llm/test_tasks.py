@@ -3,7 +3,12 @@
 import os
 from concurrent.futures import ThreadPoolExecutor
 
-from paneleffects.llm import tasks  # noqa: E402
+import numpy as np
+import pyarrow as pa
+
+from paneleffects.llm import regions, tasks  # noqa: E402
+from paneleffects.llm.components import components
+from paneleffects.llm.line_dedup import Edits
 from paneleffects.llm.tasks import outlive, scratch, stage
 from paneleffects.sources.stages import stage_folder
 
@@ -44,3 +49,43 @@ def test_lean_tasks_give_memory_back(monkeypatch):
         assert len(given) == 2
     monkeypatch.undo()
     tasks.give_back()
+
+
+def test_labels_of_few_nodes_are_written_in_few_files(spark):
+    """Chains and a star, under many shuffle partitions that are not put together."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with scratch(spark):
+            pairs = [(i + 1, i) for i in range(300) if i % 50] + [(1000, 1000 + k) for k in range(1, 200)] + [(7, 7)]
+            got = components(stage(spark.createDataFrame(pairs, "a bigint, b bigint"), "links"))
+            assert len(got.inputFiles()) <= 16
+            found = {r.node: r.root for r in got.collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = {}
+    for a, b in pairs:
+        for x in (a, b):
+            want[x] = 1000 if x >= 1000 else max((x - 1) // 50 * 50 + 1, 1)
+    assert found == want
+
+
+def _leaf_pairs(key: int, listed: list[list[int]]) -> list[tuple[int, int]]:
+    """Pairs put out for one region of items that are alike, each of a component of its own."""
+    n = len(listed)
+    batch = pa.RecordBatch.from_pydict({
+        "key": [key] * n, "class": list(range(n)), "root": list(range(n)), "n": [40] * n,
+        "far": [regions.far_vector(np.zeros(0, np.int64))] * n, "first": pa.array(listed, pa.list_(pa.int64())),
+        "cell": [0] * n, "tile": [0] * n, "side": [0] * n})
+    return [p for b in regions._leaf(Edits())(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+
+def test_pairs_of_several_regions_are_put_out_once():
+    """Items 0 and 1 list three regions both are in; 0 and 2 share none that both list, so each region tells of them."""
+    listed = [[-5, 3, 8], [-5, 3, 8], [-9, -8, -7]]
+    out = {key: _leaf_pairs(key, listed[:2]) for key in (-5, 3, 8)}
+    assert out == {-5: [(0, 1)], 3: [], 8: []}
+    for key in (11, 40):
+        assert (0, 2) in _leaf_pairs(key, listed)
