@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 
@@ -63,7 +64,9 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``limit`` bytes of text each, one document at least."""
-    _, ends = raw(batch.column(column))
+    # lengths alone: a copy of the batch's whole texts would stay beside it
+    ends = np.zeros(batch.num_rows + 1, np.int64)
+    np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), out=ends[1:])
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)

@@ -10,6 +10,7 @@ from paneleffects.llm import regions, tasks  # noqa: E402
 from paneleffects.llm.components import components
 from paneleffects.llm.line_dedup import Edits
 from paneleffects.llm.tasks import outlive, scratch, stage
+from paneleffects.llm.text import chunks
 from paneleffects.sources.stages import stage_folder
 
 
@@ -51,6 +52,17 @@ def test_lean_tasks_give_memory_back(monkeypatch):
     tasks.give_back()
 
 
+def test_chunks_hold_no_copy_of_their_batch():
+    texts = ["word " * 2000] * 1000 + [None, "", "x" * 3_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    held = pa.total_allocated_bytes()
+    seen, most = [], 0
+    for c in chunks(batch):
+        most = max(most, pa.total_allocated_bytes() - held)
+        seen += c.column("text").to_pylist()
+    assert seen == texts and most < 1 << 20
+
+
 def test_labels_of_few_nodes_are_written_in_few_files(spark):
     """Chains and a star, under many shuffle partitions that are not put together."""
     held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
