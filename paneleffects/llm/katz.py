@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packed import pack, pack_sorted, unpack, unpack_sorted
-from .tasks import fold, importable, stage
+from .tasks import fold, importable, lean, stage
 from .text import END, chunks, mix, words_of
 
 FOLDS, HELD_OUT = 7, 2
@@ -44,8 +44,9 @@ MOST_DISCOUNTED = 5
 #: Words of at least one in SHARE of the tokens are held by every task. Pairs of at least one
 #: in FREQUENT are scored where they stand, so no bucket gathers a hot pair.
 SHARE, FREQUENT = 1_000_000, 100_000
-#: Tokens that a task combines at once.
-BLOCK_TOKENS = 1 << 22
+#: Tokens that a task combines at once, the ranges of buckets in which it does so, and the bytes
+#: of text it reads at once.
+BLOCK_TOKENS, RANGES, CHUNK_BYTES = 1 << 22, 16, 1 << 18
 
 _K = MOST_DISCOUNTED
 _TABLE = "bucket int, kind int, keys binary, counts binary"
@@ -149,7 +150,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_TOKENS) -> Ite
     """Chunks of documents with about ``limit`` tokens together (six bytes a token)."""
     held, size = [], 0
     for b in batches:
-        for c in chunks(b):
+        for c in chunks(b, limit=CHUNK_BYTES):
             held.append(c)
             size += c.column("text").nbytes // 6 + c.num_rows
             if size > limit:
@@ -159,8 +160,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_TOKENS) -> Ite
         yield held
 
 
-def _combined(keys: list[np.ndarray], bucket_of: Callable[[np.ndarray], np.ndarray], buckets: int, kind: int) -> Iterator[pa.RecordBatch]:
-    key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+class _Ranges:
+    """Columns of a block's chunks by range of buckets: what is sorted and put out at once is a
+    range's part of the block, and its memory is free before the next."""
+
+    def __init__(self, buckets: int) -> None:
+        self.step = -(-buckets // RANGES)
+        self.held: list[list[list[np.ndarray]]] = [[] for _ in range(-(-buckets // self.step))]
+
+    def add(self, bucket: np.ndarray, *columns: np.ndarray) -> None:
+        order, ends = _dealt((bucket // self.step).astype(np.uint16), len(self.held))
+        for held, x, y in zip(self.held, ends[:-1], ends[1:], strict=True):
+            held.append([c[order[x:y]] for c in columns])
+
+    def __iter__(self) -> Iterator[list[np.ndarray]]:
+        for held in self.held:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            yield columns
+
+
+def _combined(keys: np.ndarray, bucket_of: Callable[[np.ndarray], np.ndarray], buckets: int, kind: int) -> Iterator[pa.RecordBatch]:
+    key, n = np.unique(keys, return_counts=True)
     order, ends = _dealt(bucket_of(key), buckets)
     key, n = key[order], n[order].astype(np.int64)
     rows = [(b, kind, pack_sorted(key[x:y]), pack(n[x:y])) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
@@ -173,8 +194,14 @@ def _word_bucket(buckets: int) -> Callable[[np.ndarray], np.ndarray]:
 
 def _count_words(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _word_bucket(buckets)
         for block in _blocks(batches):
-            yield from _combined([tokens_of(c)[0] for c in block], _word_bucket(buckets), buckets, 1)
+            words = _Ranges(buckets)
+            for c in block:
+                prints = tokens_of(c)[0]
+                words.add(of(prints), prints)
+            for (prints,) in words:
+                yield from _combined(prints, of, buckets, 1)
 
     return run
 
@@ -263,21 +290,24 @@ def _count_pairs(known: Broadcast, buckets: int) -> Callable[[Iterator[pa.Record
         v: Vocabulary = known.value
         of, of_word = _pair_bucket(v, buckets), _word_bucket(buckets)
         for block in _blocks(batches):
-            near, far = [], []
+            near, by_word, by_context = (_Ranges(buckets) for _ in range(3))
             for c in block:
                 prints, doc = tokens_of(c)
                 h, w = _pairs(v.code(prints), doc, v.begin)
-                on = (h < _NUMBERS) & (w < _NUMBERS)
-                near.append(_pair_key(h[on], w[on]))
-                far.append((h[~on], w[~on]))
-            for rows in _combined(near, lambda key: of(*_numbers(key)), buckets, PAIR):
-                yield _with_nulls(rows)
-            h, w = (np.concatenate(x) for x in zip(*far, strict=True))
-            w, h, n = _merged(w, h, np.ones(len(w), np.int64))
-            rare = w >= _NUMBERS
-            yield from _rows_of(BY_WORD, of_word(w[rare]), h[rare], w[rare], n[rare], np.zeros(rare.sum(), np.int64), buckets)
-            h, w, n = _merged(h[~rare], w[~rare], n[~rare])
-            yield from _rows_of(BY_CONTEXT, of_word(h), h, w, n, np.zeros(len(n), np.int64), buckets)
+                on, rare = (h < _NUMBERS) & (w < _NUMBERS), w >= _NUMBERS
+                near.add(of(h[on], w[on]), _pair_key(h[on], w[on]))
+                by_word.add(of_word(w[rare]), w[rare], h[rare])
+                on |= rare
+                by_context.add(of_word(h[~on]), h[~on], w[~on])
+            for (key,) in near:
+                for rows in _combined(key, lambda key: of(*_numbers(key)), buckets, PAIR):
+                    yield _with_nulls(rows)
+            for w, h in by_word:
+                w, h, n = _merged(w, h, np.ones(len(w), np.int64))
+                yield from _rows_of(BY_WORD, of_word(w), h, w, n, np.zeros(len(n), np.int64), buckets)
+            for h, w in by_context:
+                h, w, n = _merged(h, w, np.ones(len(h), np.int64))
+                yield from _rows_of(BY_CONTEXT, of_word(h), h, w, n, np.zeros(len(n), np.int64), buckets)
 
     return run
 
@@ -456,7 +486,7 @@ def _ask(known: Broadcast, pairs: Broadcast, hot: Broadcast, buckets: int) -> Ca
         counts, of_pair, of_word = np.r_[0, v.counts], _pair_bucket(v, buckets), _word_bucket(buckets)
         for k, block in enumerate(_blocks(batches)):
             number = (TaskContext.get().partitionId() << 32) + k
-            at, asked, ids = 0, {PAIR: [], WORD: []}, []
+            at, asked, ids = 0, {PAIR: _Ranges(buckets), WORD: _Ranges(buckets)}, []
             settled = {"n_tokens": [], "score": [], "base": [], "known": []}
             for c in block:
                 prints, doc = tokens_of(c)
@@ -468,33 +498,38 @@ def _ask(known: Broadcast, pairs: Broadcast, hot: Broadcast, buckets: int) -> Ca
                 rare = word == 0
                 sums = lambda x, on: np.bincount(doc[on], weights=x, minlength=c.num_rows)  # noqa: B023, E731
                 settled["n_tokens"].append(np.bincount(doc, minlength=c.num_rows))
-                settled["score"].append(sums(hot_seen[place[is_hot]], is_hot) if is_hot.any() else np.zeros(c.num_rows))
+                score = sums(hot_seen[place[is_hot]], is_hot) if is_hot.any() else np.zeros(c.num_rows)
                 settled["base"].append(sums(v.base(counts[word[~rare]]), ~rare))
                 settled["known"].append(np.bincount(doc[~rare], minlength=c.num_rows))
-                asked[PAIR].append((pair[~is_hot], doc[~is_hot] + at, of_pair(h[~is_hot], w[~is_hot]).astype(np.int32), (log_p[word] + backoff[before])[~is_hot]))
-                asked[WORD].append((prints[rare], doc[rare] + at, of_word(prints[rare]).astype(np.int32), np.zeros(rare.sum())))
+                value = log_p[word] + backoff[before]
+                for kind, key, on in (PAIR, pair, ~is_hot), (WORD, prints, rare):
+                    # a document lies in one chunk, so what is counted here needs no merging
+                    order = np.flatnonzero(on)
+                    order = order[np.argsort(key[order], kind="stable")]
+                    start = np.flatnonzero(np.r_[True, (np.diff(key[order]) > 0) | (np.diff(doc[order]) != 0)]) if len(order) else np.zeros(0, np.int64)
+                    n = np.diff(np.r_[start, len(order)])
+                    first = order[start]
+                    if kind == PAIR:  # times first: gains take much of these sums back
+                        score += np.bincount(doc[first], weights=value[first] * n, minlength=c.num_rows)
+                    bucket = of_pair(h[first], w[first]) if kind == PAIR else of_word(key[first])
+                    asked[kind].add(bucket, bucket.astype(np.int32), key[first], (doc[first] + at).astype(np.uint32), n.astype(np.uint32))
+                settled["score"].append(score)
                 ids.append(c.column("doc_id"))
                 at += c.num_rows
-            rows, settled = [], {k: np.concatenate(x) for k, x in settled.items()}
             for kind in (PAIR, WORD):
-                key, doc, bucket, value = (np.concatenate(x) for x in zip(*asked[kind], strict=True))
-                order = np.lexsort((doc, key))
-                key, doc, bucket, value = key[order], doc[order], bucket[order], value[order]
-                start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, np.int64)
-                n = np.diff(np.r_[start, len(key)])
-                key, doc = key[start], doc[start].astype(np.uint32)
-                # times first: gains take much of these sums back
-                settled["score"] += np.bincount(doc, weights=value[start] * n, minlength=at)
-                order, ends = _dealt(bucket[start], buckets)
-                key, doc, n = key[order], doc[order], n[order].astype(np.uint32)
-                rows += [(b, kind, number, pack_sorted(key[x:y]), pack(doc[x:y]), pack(n[x:y]), None)
-                         for b, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if y > x]
+                for bucket, key, doc, n in asked[kind]:
+                    order = np.lexsort((key, bucket))  # documents stay in order
+                    key, doc, n = key[order], doc[order], n[order]
+                    dealt, start = np.unique(bucket[order], return_index=True)
+                    yield from _batch(
+                        [(b, kind, number, pack_sorted(key[x:y]), pack(doc[x:y]), pack(n[x:y]), None)
+                         for b, x, y in zip(dealt, start, np.r_[start, len(key)][1:], strict=True)], names, kinds)
+            settled = {k: np.concatenate(x) for k, x in settled.items()}
             table = pa.table({"doc_id": pa.chunked_array(ids), **settled})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
-            rows.append((number % buckets, DOCUMENT, number, None, None, None, sink.getvalue().to_pybytes()))
-            yield from _batch(rows, names, kinds)
+            yield from _batch([(number % buckets, DOCUMENT, number, None, None, None, sink.getvalue().to_pybytes())], names, kinds)
 
     return run
 
@@ -587,7 +622,7 @@ def fit_katz(docs: DataFrame, train: Column, share: int | None = None, frequent:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where(train).select("text")
     words = stage(
-        rows.mapInArrow(_count_words(buckets), _TABLE).groupBy("bucket")
+        rows.mapInArrow(lean(_count_words(buckets)), _TABLE).groupBy("bucket")
         .applyInArrow(_store_words, _TABLE + ", n bigint, types bigint, of array<double>"), "katz-words")
     total = words.agg(F.sum("n"), F.sum("types"), *[F.sum(F.col("of")[r]) for r in range(_K + 2)]).first()
     n, types, of = int(total[0] or 0), int(total[1] or 0), np.array([float(x or 0) for x in total[2:]])
@@ -603,7 +638,7 @@ def fit_katz(docs: DataFrame, train: Column, share: int | None = None, frequent:
         rest, scale = 1 / (n + 1), n / (n + 1)
     vocabulary = Vocabulary(prints[order], counts[order], n, types, discount, rest, scale, share is not None)
     known = sc.broadcast(vocabulary)
-    placed = rows.mapInArrow(_count_pairs(known, buckets), _PLACED).groupBy("bucket").applyInArrow(_place(known, buckets), _PLACED)
+    placed = rows.mapInArrow(lean(_count_pairs(known, buckets)), _PLACED).groupBy("bucket").applyInArrow(_place(known, buckets), _PLACED)
     stored = stage(placed.groupBy("bucket").applyInArrow(_store_pairs(known), _PAIRS), "katz-pairs")
     of2 = stored.agg(*[F.sum(F.col("of")[r]) for r in range(_K + 2)]).first()
     stats = np.zeros((vocabulary.begin + 1, _K + 2))
@@ -621,7 +656,7 @@ def score_katz(docs: DataFrame, model: Katz) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     asked = docs.select("doc_id", "text").mapInArrow(
-        _ask(model.vocabulary, model.pairs, model.hot, model.buckets), _ASKED)
+        lean(_ask(model.vocabulary, model.pairs, model.hot, model.buckets)), _ASKED)
     columns = ["bucket", "kind", "keys", "counts", "h", "w", "of_word"]
     words = model.words_table.select(*columns[:4], *[F.lit(None).cast("binary").alias(k) for k in columns[4:]])
     stored = words.union(model.pairs_table.select(columns))

@@ -1,12 +1,14 @@
 """Staged tables of nested and of concurrent scratches."""
 
 import os
+import tracemalloc
 from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 
-from paneleffects.llm import regions, tasks  # noqa: E402
+from paneleffects.llm import katz, regions, tasks  # noqa: E402
 from paneleffects.llm.components import components
 from paneleffects.llm.line_dedup import Edits
 from paneleffects.llm.tasks import outlive, scratch, stage
@@ -101,3 +103,47 @@ def test_pairs_of_several_regions_are_put_out_once():
     assert out == {-5: [(0, 1)], 3: [], 8: []}
     for key in (11, 40):
         assert (0, 2) in _leaf_pairs(key, listed)
+
+
+def test_katz_tasks_hold_little_beside_their_block(monkeypatch):
+    """Counting and asking take few bytes a token, put a block out in parts, and leave out nothing."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(100_000)])
+    texts = [" ".join(words[(rng.pareto(0.6, 2000) * 20).astype(np.int64) % len(words)]) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    prints, doc = katz.tokens_of(batch)
+    key, n = np.unique(prints, return_counts=True)
+    v = katz.Vocabulary(key[n > 20], n[n > 20], len(prints), len(key), katz.good_turing(np.zeros(7)), 0.1, 1.0)
+    known, buckets = SimpleNamespace(value=v), 40
+    model = SimpleNamespace(value=katz.Pairs.of(katz.good_turing(np.zeros(7)), np.zeros((v.begin + 1, 7))))
+    hot = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(katz, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+
+    def rows(run):
+        """The task's rows, its most memory in bytes a token, and its largest batch's share of what it puts out."""
+        tracemalloc.start()
+        out = list(run(iter([batch])))
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        sizes = [b.nbytes for b in out]
+        return pa.Table.from_batches(out).to_pylist(), most / len(prints), max(sizes) / sum(sizes)
+
+    got, most, share = rows(katz._count_words(buckets))
+    assert most < 30 and share < 0.2, (most, share)
+    count = np.concatenate([katz.unpack(r["counts"], np.int64) for r in got])
+    found = np.concatenate([katz.unpack_sorted(r["keys"]) for r in got])
+    assert (np.sort(found) == key).all() and (count[np.argsort(found)] == n).all()
+    got, most, share = rows(katz._count_pairs(known, buckets))
+    assert most < 35 and share < 0.2, (most, share)
+    assert sum(katz.unpack(r["counts"], np.int64).sum() for r in got) == len(prints)
+    got, most, share = rows(katz._ask(known, model, hot, buckets))
+    assert most < 60 and share < 0.2, (most, share)
+    h, w = katz._pairs(v.code(prints), doc, v.begin)
+    for kind, of in (katz.PAIR, katz._pair_key(h, w)), (katz.WORD, prints[w >= katz._NUMBERS]):
+        own = doc if kind == katz.PAIR else doc[w >= katz._NUMBERS]
+        want, n = np.unique(np.rec.fromarrays([of, own]), return_counts=True)
+        found = [r for r in got if r["kind"] == kind]
+        columns = [np.concatenate([f(r) for r in found]) for f in (
+            lambda r: katz.unpack_sorted(r["keys"]), lambda r: katz.unpack(r["docs"], np.uint32), lambda r: katz.unpack(r["counts"], np.uint32))]
+        order = np.lexsort(columns[1::-1])
+        assert (columns[0][order] == want.f0).all() and (columns[1][order] == want.f1).all() and (columns[2][order] == n).all()
