@@ -4,11 +4,14 @@ import os
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute_texts as B  # noqa: E402
 import corpus_pipeline as P  # noqa: E402
+from paneleffects.llm.tasks import BATCH_BYTES, BATCH_SETTING, bounded_batches  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -51,3 +54,26 @@ def test_stages(spark, tmp_path):
     packed = inputs["best_fit_packing out"]
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {d for d, _ in rows("best_fit_packing")}
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 4096").count() == 0
+
+
+def test_python_gets_texts_in_bounded_batches(spark):
+    """A stage leaves no task with all its texts in one batch; a limit of the session's own stays."""
+    docs = spark.range(2000, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("short line\n"), 800), F.col("id").cast("string")).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    held = spark.conf.get(BATCH_SETTING, None)
+    try:
+        spark.conf.unset(BATCH_SETTING)
+        kept = P.line_stage(spark, docs, FOLDER)
+        got = docs.mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+        assert sum(r.rows for r in got) == 2000 and max(r.bytes for r in got) < 2 * BATCH_BYTES
+        assert kept.exceptAll(docs).isEmpty() and kept.count() == 2000
+        spark.conf.set(BATCH_SETTING, "5m")
+        bounded_batches(spark)
+        assert spark.conf.get(BATCH_SETTING) == "5m"
+    finally:
+        spark.conf.unset(BATCH_SETTING) if held is None else spark.conf.set(BATCH_SETTING, held)
